@@ -6,14 +6,17 @@ from collections.abc import Callable
 
 import corpus_pipeline
 
-from . import simhash
+from . import decontamination, exact_dedup, simhash, toxicity
 
 
 def queries() -> dict[str, Callable]:
     return {
+        "op5_exact_dedup": exact_dedup.op5_exact_dedup,
         "op7_simhash_near_dedup": simhash.op7_simhash_near_dedup,
+        "op8_toxicity": toxicity.op8_toxicity,
+        "op10_decontamination": decontamination.op10_decontamination,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_exact_dedup": exact_dedup.OP5_SQL}

@@ -7,9 +7,9 @@ A CGK random walk reads a window word by word and, by a random bit for the step
 word, stays or moves on; its 3n outputs of two windows differ in few places if few edits
 part them. Keys of a few sampled outputs, repeated until a pair at the limit is met with
 the target recall, pair windows with items of their size, and the edit distance of each
-pair is then computed. Windows that no item can be near to are left out first: k edits
-spoil at most 2k of the n - 1 neighbouring pairs of words, so at least n - 1 - 2k of them
-must be among the pairs of the benchmark.
+pair is then computed. Windows that no item can be near to are left out first, which
+loses nothing: k edits spoil at most 2k of the n - 1 neighbouring pairs of words, so the
+n + k words from a start on must hold all but 2k of the different pairs of one item.
 """
 
 from __future__ import annotations
@@ -48,18 +48,24 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ x >> np.uint64(33)
 
 
-def cgk(windows: np.ndarray, sizes: np.ndarray, seed: int) -> np.ndarray:
-    """The walks over rows of word codes, row i of sizes[i] words: three outputs for each word of the widest."""
+def walk_bits(codes: int, steps: int, seed: int) -> np.ndarray:
+    """Random bits for each code, the unknown word and the padding (the last rows, so that their negative codes find them): 64 steps in a word."""
+    rows, cols = np.arange(codes + 2, dtype=np.uint64), np.arange(-(-steps // 64), dtype=np.uint64)
+    return _mix((rows[:, None] << np.uint64(24)) + (cols << np.uint64(8)) + np.uint64(seed))
+
+
+def cgk(windows: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """Outputs of the walks over rows of word codes, three times as many as words, a column for each window."""
     n, wide = windows.shape
-    padded = np.concatenate([windows, np.full((n, 1), PAD, windows.dtype)], axis=1)
-    rows, at = np.arange(n), np.zeros(n, np.int64)
+    padded = np.concatenate([windows, np.full((n, 1), PAD, windows.dtype)], axis=1).ravel()
+    base = np.arange(n, dtype=np.int64) * (wide + 1)
+    at, end = base.copy(), base + wide
     out = np.empty((3 * wide, n), np.int32)
-    steps = _mix(np.arange(3 * wide, dtype=np.uint64) + np.uint64(seed << 32))
     for t in range(3 * wide):
-        code = np.where(at < sizes, padded[rows, np.minimum(at, wide)], PAD)
+        code = padded[np.minimum(at, end)]
         out[t] = code
-        at += (_mix(code.astype(np.int64).view(np.uint64) ^ steps[t]) & np.uint64(1)).astype(np.int64)
-    return out.T
+        at += (bits[code, t >> 6] >> np.uint64(t & 63) & np.uint64(1)).astype(np.int64)
+    return out
 
 
 def edit_distances(windows: np.ndarray, items: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -102,60 +108,93 @@ class ItemIndex:
         self.codes = {n: np.stack([codes[k] for k in by_size[n]]) for n in self.sizes}
         rng = np.random.default_rng(5)
         self.places = {n: rng.integers(0, 3 * n, (self.repeats, self.sampled)) for n in self.sizes}
+        own = np.concatenate([np.full(len(c) - 1, k) for k, c in enumerate(codes)] or [np.empty(0, np.int64)])
+        pairs = np.unique(np.stack([np.concatenate([self._pairs(c) for c in codes] or [own]), own], axis=1), axis=0)
+        #: The pairs of neighbouring words, sorted, with the item that each is in, and a table that shows whether a pair can be there.
+        self.pairs, self.pair_items = pairs[:, 0].copy(), pairs[:, 1].copy()
         self.near = np.zeros(1 << 22, bool)
-        for c in codes:
-            self.near[self._pair(c)] = True
+        self.near[self.pairs & 0x3FFFFF] = True
+        self.item_size = np.array([len(c) for c in codes], np.int64)
+        #: Different pairs of an item that k edits leave.
+        self.needed = np.array([len(np.unique(self._pairs(c))) - 2 * self.edits[len(c)] for c in codes], np.int64)
+        self.bits = [walk_bits(len(self.vocabulary), 3 * max(self.sizes, default=0), seed) for seed in range(self.walks)]
         self.tables = {}
         for n in self.sizes:
-            embedded = self._embedded(self.codes[n], np.full(len(self.ids[n]), n))
+            embedded = self._embedded(self.codes[n])
             for r in range(self.repeats):
                 keys = self._keys(embedded, n, r)
                 order = np.argsort(keys, kind="stable")
                 self.tables[n, r] = keys[order], order
 
-    def _pair(self, codes: np.ndarray) -> np.ndarray:
-        """Place in the table of neighbouring words; 0 if one of them is unknown, which no pair of the benchmark has."""
+    @staticmethod
+    def _pairs(codes: np.ndarray) -> np.ndarray:
+        """A number for each two neighbouring words; -1 if one is unknown."""
         a, b = codes[:-1].astype(np.int64), codes[1:].astype(np.int64)
-        mixed = _mix((a.astype(np.uint64) << np.uint64(32)) ^ b.astype(np.uint64)) >> np.uint64(42)
-        return np.where((a < 0) | (b < 0), 0, np.maximum(mixed.astype(np.int64), 1))
+        return np.where((a < 0) | (b < 0), -1, (_mix((a.astype(np.uint64) << np.uint64(32)) ^ b.astype(np.uint64)) >> np.uint64(2)).astype(np.int64))
 
-    def _embedded(self, windows: np.ndarray, sizes: np.ndarray) -> list[np.ndarray]:
-        return [cgk(windows, sizes, seed) for seed in range(self.walks)]
+    def _embedded(self, windows: np.ndarray) -> list[np.ndarray]:
+        return [cgk(windows, bits) for bits in self.bits]
 
     def _keys(self, embedded: list[np.ndarray], n: int, r: int) -> np.ndarray:
-        key = np.full(len(embedded[0]), r, np.uint64)
+        outputs = embedded[r % self.walks]
+        key = np.full(outputs.shape[1], r, np.uint64)
         for place in self.places[n][r]:
-            key = _mix(key ^ embedded[r % self.walks][:, place].astype(np.int64).view(np.uint64))
+            key = _mix(key ^ outputs[place].astype(np.int64).view(np.uint64))
         return key
 
-    def starts(self, codes: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-        """For each size of item, the starts of windows that hold enough pairs of the benchmark."""
-        m = len(codes)
-        total = np.concatenate(([0], np.cumsum(self.near[self._pair(codes)]))) if m > 1 else np.zeros(1, np.int64)
-        for n in self.sizes:
-            k = self.edits[n]
-            if m < n - k or total[-1] < n - 1 - 2 * k:
-                continue
-            at = np.arange(m - (n - k) + 1)
-            held = total[np.minimum(at + n + k - 1, m - 1)] - total[np.minimum(at, m - 1)]
-            if len(found := np.flatnonzero(held >= n - 1 - 2 * k)):
-                yield n, found
+    def starts(self, codes: np.ndarray) -> set[tuple[int, int]]:
+        """(size, start) of the windows with enough pairs of one item in reach."""
+        m, out = len(codes), set()
+        if not self.sizes or m < self.sizes[0] - self.edits[self.sizes[0]]:
+            return out
+        pair = self._pairs(codes)
+        at = np.flatnonzero((pair >= 0) & self.near[pair & 0x3FFFFF])
+        if len(at) >= self.needed.min():
+            lo, hi = np.searchsorted(self.pairs, pair[at], "left"), np.searchsorted(self.pairs, pair[at], "right")
+            n = hi - lo
+            item = self.pair_items[np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+            at = np.repeat(at, n)
+            order = np.lexsort((at, item))
+            item, at = item[order], at[order]
+            for k in np.unique(item[np.bincount(item, minlength=len(self.needed))[item] >= self.needed[item]]).tolist():
+                size, need = int(self.item_size[k]), int(max(1, self.needed[k]))
+                mine, reach = at[slice(*np.searchsorted(item, [k, k + 1]))], size + self.edits[size] - 2
+                begin, last = mine[: len(mine) - need + 1], mine[need - 1 :]
+                dense = last - begin <= reach
+                spots = {s for f, t in zip(begin[dense].tolist(), last[dense].tolist(), strict=True) for s in range(max(0, t - reach), f + 1)}
+                out.update((size, s) for s in self._varied(pair[mine], mine, np.array(sorted(spots), np.int64), reach, need))
+        for n in {int(self.item_size[k]) for k in np.flatnonzero(self.needed <= 0)}:
+            out.update((n, s) for s in range(max(0, m - (n - self.edits[n]) + 1)))
+        return out
+
+    @staticmethod
+    def _varied(pair: np.ndarray, at: np.ndarray, starts: np.ndarray, reach: int, need: int) -> list[int]:
+        """The starts with `need` different pairs within reach; pairs at places in order."""
+        order = np.argsort(pair, kind="stable")
+        before = np.full(len(at), -1)
+        same = pair[order[1:]] == pair[order[:-1]]
+        before[order[1:][same]] = at[order[:-1][same]]
+        out: list[int] = []
+        for s in np.array_split(starts, -(-len(starts) // 4096)) if len(starts) else []:
+            lo, hi = np.searchsorted(at, s[0]), np.searchsorted(at, s[-1] + reach, "right")
+            p, b = at[lo:hi], before[lo:hi]
+            held = ((p >= s[:, None]) & (p <= s[:, None] + reach) & (b < s[:, None])).sum(axis=1) if hi - lo < 4096 else np.array([((w := slice(*np.searchsorted(at, [x, x + reach + 1]))), (before[w] < x).sum())[1] for x in s])
+            out += s[held >= need].tolist()
+        return out
 
     def search(self, texts: list[np.ndarray]) -> Iterator[tuple[int, int, int, int, int]]:
         """(text, item_id, distance, first word, words) of the nearest place of each item near a text; texts in codes."""
-        spots = [(t, n, s) for t, codes in enumerate(texts) for n, found in self.starts(codes) for s in found.tolist()]
+        spots = [(t, n, s) for t, codes in enumerate(texts) for n, s in sorted(self.starts(codes))]
         best: dict[tuple[int, int], tuple[int, int, int]] = {}
         for block in range(0, len(spots), 8192):
             text, size, start = (np.array(x) for x in zip(*spots[block : block + 8192], strict=True))
-            wide = int(size.max())
-            windows = np.full((len(text), wide), PAD, np.int32)
-            for i, (t, n, s) in enumerate(spots[block : block + 8192]):
-                part = texts[t][s : s + n]
-                windows[i, : len(part)] = part
-            embedded = self._embedded(windows, size)
             for n in np.unique(size).tolist():
                 rows = np.flatnonzero(size == n)
-                mine, pairs = [e[rows] for e in embedded], []
+                windows = np.full((len(rows), n), PAD, np.int32)
+                for i, w in enumerate(rows):
+                    part = texts[text[w]][start[w] : start[w] + n]
+                    windows[i, : len(part)] = part
+                mine, pairs = self._embedded(windows), []
                 for r in range(self.repeats):
                     keys, order = self.tables[n, r]
                     key = self._keys(mine, n, r)

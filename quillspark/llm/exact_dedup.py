@@ -129,6 +129,24 @@ def repeated_fingerprints(fps: DataFrame, q_bits: int = 20, shards: int | None =
     return parts.groupBy("shard").applyInArrow(_repeated, "fp long, n long")
 
 
+def _routed(docs: DataFrame, id_col: str, text_col: str, broadcast_rows: int) -> DataFrame:
+    """Normalised rows with the count n of their fingerprint where that is above one, else null; the whole row too."""
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    rows = rows.select("row", "doc_id", without_blanks(F.col("text")).alias("norm"), F.coalesce(F.length("text"), F.lit(0)).alias("points"))
+    rows = rows.withColumn("fp", F.xxhash64("norm"))
+    repeated = materialise(repeated_fingerprints(rows), "repeated")
+    routed = rows.join(F.broadcast(repeated) if repeated.count() <= broadcast_rows else repeated, "fp", "left")
+    return routed.withColumn("text_sha256", F.sha2("norm", 256))
+
+
+def _matched(some: DataFrame, rows_per_salt: int) -> DataFrame:
+    """Routed rows with the group that their bytes put them in; groups of many rows are salted by the count of their fingerprint."""
+    groups = some.groupBy("text_sha256", "norm").agg(F.count("*").alias("group_size"), F.max(F.struct("points", F.bitwise_not("doc_id").alias("id"))).alias("best"), F.max("n").alias("n"))
+    groups = groups.select("text_sha256", "norm", "group_size", F.bitwise_not("best.id").alias("keep_id"), F.col("best.points").alias("most"), F.explode(F.sequence(F.lit(0), F.floor(F.col("n") / rows_per_salt).cast("int"))).alias("salt"))
+    salted = some.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.floor(F.col("n") / rows_per_salt) + 1).cast("int"))
+    return salted.join(groups, ["text_sha256", "norm", "salt"])
+
+
 def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", broadcast_rows: int = 500_000, rows_per_salt: int = 5_000) -> DataFrame:
     """(doc_id, keep_id, group_size, kept, text_sha256) for each row.
 
@@ -139,22 +157,19 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     other columns are not looked at. Repeated fingerprints are broadcast only if there are
     at most `broadcast_rows` of them; beyond that they meet their rows in a shuffle.
     """
-    spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).select("doc_id", without_blanks(F.col("text")).alias("norm"), F.coalesce(F.length("text"), F.lit(0)).alias("points"))
-    rows = rows.withColumn("fp", F.xxhash64("norm"))
-    repeated = materialise(repeated_fingerprints(rows), "repeated")
-    routed = rows.join(F.broadcast(repeated) if repeated.count() <= broadcast_rows else repeated, "fp", "left")
-    routed = routed.withColumn("text_sha256", F.sha2("norm", 256))
-
+    routed = _routed(docs, id_col, text_col, broadcast_rows)
     alone = routed.where("n is null").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256")
-    some = routed.where("n is not null")
-    groups = some.groupBy("text_sha256", "norm").agg(F.count("*").alias("group_size"), F.max(F.struct("points", F.bitwise_not("doc_id").alias("id"))).alias("best"), F.max("n").alias("n"))
-    groups = groups.select("text_sha256", "norm", "group_size", F.bitwise_not("best.id").alias("keep_id"), F.explode(F.sequence(F.lit(0), F.floor(F.col("n") / rows_per_salt).cast("int"))).alias("salt"))
-    salted = some.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.floor(F.col("n") / rows_per_salt) + 1).cast("int"))
-    joined = salted.join(groups, ["text_sha256", "norm", "salt"])
+    joined = _matched(routed.where("n is not null").drop("row"), rows_per_salt)
     return alone.union(joined.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256"))
 
 
+def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", broadcast_rows: int = 500_000, rows_per_salt: int = 5_000) -> DataFrame:
+    """One row, with all its columns, of each group of equal texts: the one that exact_duplicates keeps; any one of rows that repeat it."""
+    routed = _routed(docs, id_col, text_col, broadcast_rows)
+    kept = _matched(routed.where("n is not null"), rows_per_salt).where("doc_id <=> keep_id and points = most")
+    return routed.where("n is null").select("row.*").union(kept.dropDuplicates(["text_sha256", "norm", "salt"]).select("row.*"))
+
+
 def op5_exact_dedup(spark, sf_dir: str) -> DataFrame:
     """The group of every document."""
     return exact_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))

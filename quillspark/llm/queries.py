@@ -6,15 +6,17 @@ from collections.abc import Callable
 
 import corpus_pipeline
 
-from . import decontamination, exact_dedup, simhash, toxicity
+from . import decontamination, exact_dedup, packing, simhash, toxicity
 
 
 def queries() -> dict[str, Callable]:
     return {
+        "op3_best_fit_packing": packing.op3_best_fit_packing,
         "op5_exact_dedup": exact_dedup.op5_exact_dedup,
         "op7_simhash_near_dedup": simhash.op7_simhash_near_dedup,
         "op8_toxicity": toxicity.op8_toxicity,
         "op10_decontamination": decontamination.op10_decontamination,
+        "pipeline": corpus_pipeline.run,
     }
 
 

@@ -236,6 +236,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return rows.join(classes, "fp").select("doc_id", "fp", "component_id")
 
 
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, bits: int = 4, broadcast_rows: int = 500_000) -> DataFrame:
+    """The rows of docs, with all columns, whose id is the smallest of its component.
+
+    Rows without an id can't be named and stay, and so do rows that repeat an id that
+    stays. Ids to drop are broadcast only if there are at most `broadcast_rows`.
+    """
+    near = near_duplicates(docs, id_col, text_col, width, bits)
+    dropped = materialise(near.where("doc_id <> component_id").select(F.col("doc_id").alias("_dropped")).distinct(), "dropped")
+    dropped = F.broadcast(dropped) if dropped.count() <= broadcast_rows else dropped
+    return docs.join(dropped, docs[id_col].cast("long") == F.col("_dropped"), "left_anti")
+
+
 def op7_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document."""
     out = near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -110,6 +110,7 @@ def fit(sample: list[tuple[str, int]], buckets: int = 1 << 17, dim: int = 8, win
     first = np.cumsum(sizes) - sizes
     e, w, b = rng.normal(0, 0.1, (buckets, dim)).astype(np.float32), rng.normal(0, 0.5, (2, dim)).astype(np.float32), np.zeros(2, np.float32)
     ge, gw = np.full(buckets, 1e-6, np.float32), np.full((2, dim), 1e-6, np.float32)
+    decay = 2 / len(coded)
     share = np.array([0.5 / max(1, sum(y == c for *_, y in coded)) for c in (0, 1)])
 
     for epoch in range(epochs):
@@ -138,6 +139,8 @@ def fit(sample: list[tuple[str, int]], buckets: int = 1 << 17, dim: int = 8, win
             dw, dx = p.T @ x, (p @ w).astype(np.float32)
             touched, back = np.unique(subs, return_inverse=True)
             g = np.stack([np.bincount(back, dx[of, d] * each, len(touched)) for d in range(dim)], axis=1).astype(np.float32)
+            g += decay * e[touched]
+            dw += decay * w
             gw += dw**2
             ge[touched] += (g**2).mean(axis=1)
             w -= (rate * 0.2 * dw / np.sqrt(gw)).astype(np.float32)
@@ -173,37 +176,60 @@ def _calibrate(x: np.ndarray, y: np.ndarray, clean: float = 5.0) -> tuple[float,
     return float(slope), float(-slope * cross)
 
 
-def _scores(model: ToxicityModel | None, cached: int = 300_000) -> Callable:
+class _Scorer:
+    """Scores of texts; keeps the values of up to `cached` words."""
+
+    def __init__(self, model: ToxicityModel | None, cached: int = 300_000) -> None:
+        self.model, self.known, self.values = model, {}, np.empty(cached)
+
+    def __call__(self, text: str | None) -> float:
+        words = words_of(text or "") if self.model else []
+        if not words:
+            return 0.0
+        if new := list(set(words).difference(self.known)):
+            if len(self.known) + len(new) > len(self.values):
+                self.known.clear()
+                new = list(set(words))
+                self.values = np.empty(max(len(self.values), len(new)))
+            self.values[len(self.known) : len(self.known) + len(new)] = self.model.word_values(new)
+            self.known.update(zip(new, range(len(self.known), len(self.known) + len(new)), strict=True))
+        return self.model.score(np.fromiter(map(self.known.__getitem__, words), np.int64, len(words)), self.values)
+
+
+def _scores(model: ToxicityModel | None) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        score = _Scorer(model)
+        for batch in batches:
+            scores = pa.array([score(t.as_py()) for t in batch.column(0)], pa.float64())
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], scores], names=[*batch.schema.names[1:], "score"])
+
+    return run
+
+
+def _below(model: ToxicityModel | None, text_at: int, threshold: float) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[bytes, int] = {}
-        values = np.empty(cached)
+        score = _Scorer(model)
         for batch in batches:
-            scores = []
-            for text in batch.column(0):
-                words = words_of(text.as_py() or "") if model else []
-                if new := list(set(words).difference(known)):
-                    if len(known) + len(new) > len(values):
-                        known.clear()
-                        new = list(set(words))
-                        values = np.empty(max(len(values), len(new)))
-                    values[len(known) : len(known) + len(new)] = model.word_values(new)
-                    known.update(zip(new, range(len(known), len(known) + len(new)), strict=True))
-                scores.append(model.score(np.fromiter(map(known.__getitem__, words), np.int64, len(words)), values) if words else 0.0)
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(scores, pa.float64())], names=[*batch.schema.names[1:], "score"])
+            yield batch.filter(pa.array([score(t.as_py()) < threshold for t in batch.column(text_at)], pa.bool_()))
 
     return run
 
 
-def score_documents(docs: DataFrame, model: ToxicityModel | None, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text", score_col: str = "score") -> DataFrame:
-    """The columns `keep` and a score in 0 to 1 of each row's whole text.
+def drop_toxic(docs: DataFrame, model: ToxicityModel | None, threshold: float = 0.5, text_col: str = "text") -> DataFrame:
+    """The rows of docs, with all columns, whose score is below the threshold; null and empty texts stay."""
+    prepare(docs.sparkSession)
+    return docs.mapInArrow(_below(model, docs.columns.index(text_col), threshold), docs.schema)
+
+
+def score_documents(docs: DataFrame, model: ToxicityModel | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, score): a score in 0 to 1 of each row's whole text.
 
     Null, empty and wordless texts score 0, as does everything where there is no model.
-    Repeated rows stay. `keep` may hold the text too; no other column is read.
+    Repeated rows stay; no other column is read.
     """
     prepare(docs.sparkSession)
-    rows = docs.select(F.col(text_col).alias("_text"), *keep)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[1:])
-    return rows.mapInArrow(_scores(model), f"{schema}, score double").withColumnRenamed("score", score_col)
+    rows = docs.select(F.col(text_col).alias("text"), F.col(id_col).cast("long").alias("doc_id"))
+    return rows.mapInArrow(_scores(model), "doc_id long, score double")
 
 
 def train(docs: DataFrame, labels: DataFrame, per_class: int = 2500, max_chars: int = 100_000) -> ToxicityModel | None:

@@ -6,19 +6,24 @@ from collections.abc import Callable
 
 import corpus_pipeline
 
-from . import decontamination, exact_dedup, packing, simhash, toxicity
+from . import decontamination, exact_dedup, language, licenses, packing, pii, quality, simhash, toxicity, url_filter
 
 
 def queries() -> dict[str, Callable]:
     return {
+        "op1_pii_surrogates": pii.op1_pii_surrogates,
+        "op2_license_scan": licenses.op2_license_scan,
         "op3_best_fit_packing": packing.op3_best_fit_packing,
+        "op4_language_id": language.op4_language_id,
         "op5_exact_dedup": exact_dedup.op5_exact_dedup,
+        "op6_quality_classifier": quality.op6_quality_classifier,
         "op7_simhash_near_dedup": simhash.op7_simhash_near_dedup,
         "op8_toxicity": toxicity.op8_toxicity,
+        "op9_url_filter": url_filter.op9_url_filter,
         "op10_decontamination": decontamination.op10_decontamination,
         "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_exact_dedup": exact_dedup.OP5_SQL}
+    return {"op5_exact_dedup": exact_dedup.OP5_SQL, "op9_url_filter": url_filter.OP9_SQL}

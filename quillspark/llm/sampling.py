@@ -5,20 +5,33 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Hashes that a rate is measured against.
+SPAN = 1 << 30
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, per_class: int, max_chars: int, id_col: str = "doc_id", text_col: str = "text") -> list[tuple[str, object]]:
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, per_class: int, max_chars: int, id_col: str = "doc_id", text_col: str = "text", max_classes: int = 256) -> list[tuple[str, object]]:
     """At most `per_class` (text, label) of each class, chosen by a hash of the id, whole texts of at most `max_chars` characters.
 
-    `labels` has (doc_id, label), the label one of a few values; rows with a null are left out,
-    of repeated ids the largest label counts. Only ids (at most classes x per_class) and then
-    their texts are collected.
+    `labels` has (doc_id, label), the label one of at most `max_classes` values; rows with a
+    null are left out, of repeated ids the largest label counts. What is collected are
+    counts of classes, ids (about 1.3 x per_class of each class) and the texts of those.
     """
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), "label").where("doc_id is not null and label is not null").groupBy("doc_id").agg(F.max("label").alias("label"))
-    classes = sorted(r[0] for r in known.select("label").distinct().orderBy("label").limit(64).collect())
-    mine = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where(F.col("text").isNotNull() & (F.length("text") <= max_chars))
-    chosen = [r for c in classes for r in known.where(F.col("label") == F.lit(c)).orderBy(F.xxhash64("doc_id", F.lit(7)), "doc_id").limit(per_class).collect()]
-    if not chosen:
+    counts = known.groupBy("label").count().orderBy(F.desc("count"), "label").limit(max_classes + 1).collect()
+    if len(counts) > max_classes:
+        raise ValueError(f"more than {max_classes} classes")
+    if not counts:
         return []
-    ids = docs.sparkSession.createDataFrame([tuple(r) for r in chosen], known.schema)
-    rows = mine.join(F.broadcast(ids), "doc_id").groupBy("doc_id", "label").agg(F.max("text").alias("text"))
-    return [(r["text"], r["label"]) for r in sorted(rows.collect(), key=lambda r: (r["doc_id"]))]
+    spark = docs.sparkSession
+    rates = spark.createDataFrame([(r["label"], int(SPAN * min(1.0, (1.3 * per_class + 20) / r["count"]))) for r in counts], f"label {known.schema['label'].dataType.simpleString()}, below long")
+    place = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(SPAN))
+    chosen = known.join(F.broadcast(rates), "label").where(place < F.col("below")).select("doc_id", "label", place.alias("place")).collect()
+    ids, taken = [], {}
+    for r in sorted(chosen, key=lambda r: (r["place"], r["doc_id"])):
+        if taken.setdefault(r["label"], 0) < per_class:
+            taken[r["label"]] += 1
+            ids.append((r["doc_id"], r["label"]))
+    wanted = spark.createDataFrame(ids, known.schema)
+    mine = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where(F.col("text").isNotNull() & (F.length("text") <= max_chars))
+    rows = mine.join(F.broadcast(wanted), "doc_id").groupBy("doc_id", "label").agg(F.max("text").alias("text"))
+    return [(r["text"], r["label"]) for r in sorted(rows.collect(), key=lambda r: r["doc_id"])]

@@ -2,6 +2,6 @@
 
 from __future__ import annotations
 
-from .operators import library  # noqa: F401
+from .operators import library, retrieval  # noqa: F401
 
-FLAGSHIP = "tag_frequency"
+FLAGSHIP = "rrf_hybrid"

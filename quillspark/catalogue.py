@@ -2,6 +2,6 @@
 
 from __future__ import annotations
 
-from .operators import library, retrieval, structure, text_metrics  # noqa: F401
+from .operators import library, retrieval, state, structure, text_metrics, translation  # noqa: F401
 
 FLAGSHIP = "rrf_hybrid"

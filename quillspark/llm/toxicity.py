@@ -88,6 +88,16 @@ def best_window(values: np.ndarray, window: int) -> tuple[int, float]:
     return k, float(means[k])
 
 
+def _grouped(words: list[bytes], buckets: int, block: int = 20_000) -> tuple[np.ndarray, np.ndarray]:
+    """The buckets of each word, word after word, and how many each has; made in blocks, to hold little at a time."""
+    out, sizes = [], []
+    for k in range(0, len(words), block):
+        at, bucket = subwords(words[k : k + block], buckets)
+        out.append(bucket[np.argsort(at, kind="stable")].astype(np.int32))
+        sizes.append(np.bincount(at, minlength=len(words[k : k + block])))
+    return np.concatenate(out), np.concatenate(sizes)
+
+
 def fit(sample: list[tuple[str, int]], buckets: int = 1 << 17, dim: int = 8, window: int = 24, epochs: int = 12, rate: float = 0.5, seed: int = 11) -> ToxicityModel | None:
     """From whole texts and labels 0 or 1; None unless both labels are there.
 
@@ -96,17 +106,17 @@ def fit(sample: list[tuple[str, int]], buckets: int = 1 << 17, dim: int = 8, win
     kept from training and calibrates the scores.
     """
     rng = np.random.default_rng(seed)
-    docs = [(w, int(y)) for t, y in sample if (w := words_of(t))]
-    if len({y for _, y in docs}) < 2:
-        return None
     names: dict[bytes, int] = {}
-    coded = [(np.fromiter((names.setdefault(x, len(names)) for x in w), np.int64, len(w)), y) for w, y in docs]
-    coded = [(ids, fresh(ids, window), y) for ids, y in coded]
+    coded = []
+    for text, y in sample:
+        if words := words_of(text):
+            ids = np.fromiter((names.setdefault(x, len(names)) for x in words), np.int32, len(words))
+            coded.append((ids, fresh(ids, window), int(y)))
+    if len({y for *_, y in coded}) < 2:
+        return None
     kept = [x for k, x in enumerate(coded) if k % 5 == 4]
     coded = [x for k, x in enumerate(coded) if k % 5 != 4]
-    at, bucket = subwords(list(names), buckets)
-    order = np.argsort(at, kind="stable")
-    bucket, sizes = bucket[order], np.bincount(at, minlength=len(names))
+    bucket, sizes = _grouped(list(names), buckets)
     first = np.cumsum(sizes) - sizes
     e, w, b = rng.normal(0, 0.1, (buckets, dim)).astype(np.float32), rng.normal(0, 0.5, (2, dim)).astype(np.float32), np.zeros(2, np.float32)
     ge, gw = np.full(buckets, 1e-6, np.float32), np.full((2, dim), 1e-6, np.float32)

@@ -243,9 +243,10 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     stays. Ids to drop are broadcast only if there are at most `broadcast_rows`.
     """
     near = near_duplicates(docs, id_col, text_col, width, bits)
-    dropped = materialise(near.where("doc_id <> component_id").select(F.col("doc_id").alias("_dropped")).distinct(), "dropped")
+    dropped = materialise(near.where("doc_id <> component_id").select("doc_id").distinct(), "dropped")
     dropped = F.broadcast(dropped) if dropped.count() <= broadcast_rows else dropped
-    return docs.join(dropped, docs[id_col].cast("long") == F.col("_dropped"), "left_anti")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    return rows.join(dropped, "doc_id", "left_anti").select("row.*")
 
 
 def op7_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:

@@ -98,7 +98,7 @@ def _grouped(words: list[bytes], buckets: int, block: int = 20_000) -> tuple[np.
     return np.concatenate(out), np.concatenate(sizes)
 
 
-def fit(sample: list[tuple[str, int]], buckets: int = 1 << 17, dim: int = 8, window: int = 24, epochs: int = 12, rate: float = 0.5, seed: int = 11) -> ToxicityModel | None:
+def fit(sample: list[tuple[str, int]], buckets: int = 1 << 17, dim: int = 8, window: int = 24, epochs: int = 24, rate: float = 0.5, seed: int = 11) -> ToxicityModel | None:
     """From whole texts and labels 0 or 1; None unless both labels are there.
 
     The first rounds read random windows of a text; later ones the window that scores

@@ -1,0 +1,345 @@
+"""Results against SQL, brute force, exact round trips and held-out labels."""
+
+import random
+import re
+import zlib
+from itertools import combinations
+
+import numpy as np
+import pytest
+import xxhash
+from conftest import SF, assert_same
+
+import corpus_pipeline
+from quillspark.llm import decontamination, exact_dedup, language, licenses, packing, pii, quality, queries, simhash, toxicity
+from quillspark.llm.common import table
+
+LARGER = "/root/testdata/sf0.01"
+BLANKS = re.compile(r"[\x20\x09-\x0D]")
+
+
+@pytest.fixture(scope="module")
+def documents(spark):
+    return {r["doc_id"]: r["text"] for r in table(spark, SF, "documents").select("doc_id", "text").collect()}
+
+
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_against_sql(spark, name):
+    assert_same(queries.queries()[name](spark, LARGER), queries.oracle_sql()[name], LARGER)
+
+
+def unlike_fold(doc_id: int, n: int) -> int:
+    return zlib.crc32(str(doc_id).encode()) % n
+
+
+# --- packing ---------------------------------------------------------------
+
+
+def all_ids(text):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(packing.default_tokenizer())
+    t.encode_special_tokens = True
+    return [*t.encode(text or "", add_special_tokens=False).ids, 0]
+
+
+def assert_packed(rows, texts):
+    """Pieces are the documents' ids, cut only where they must be; places are gapless in sequences of at most 2048."""
+    by_doc, by_sequence = {}, {}
+    for r in rows:
+        by_doc.setdefault(r["doc_id"], []).append(r)
+        by_sequence.setdefault(r["sequence_id"], []).append(r)
+    assert set(by_doc) == set(texts)
+    for doc_id, pieces in by_doc.items():
+        pieces.sort(key=lambda r: r["piece"])
+        ids, at = all_ids(texts[doc_id]), 0
+        assert [p["piece"] for p in pieces] == list(range(-(-len(ids) // 2048)))
+        for p in pieces:
+            own = np.array(ids[at : at + p["length"]], "<u4")
+            assert (p["start"], p["ids_crc32"]) == (at, zlib.crc32(own.tobytes()))
+            assert p["length"] == 2048 or p["piece"] == 0
+            at += p["length"]
+        assert at == len(ids)
+    for held in by_sequence.values():
+        held.sort(key=lambda r: r["offset"])
+        assert [r["offset"] for r in held] == np.cumsum([0, *(r["length"] for r in held[:-1])]).tolist()
+        assert sum(r["length"] for r in held) <= 2048
+    return len(by_sequence)
+
+
+def test_packing_round_trip(spark, documents):
+    rows = packing.op3_best_fit_packing(spark, SF).collect()
+    least = -(-sum(r["length"] for r in rows) // 2048)
+    assert assert_packed(rows, documents) <= 1.02 * least + 1
+
+
+def test_packing_meets_every_capacity():
+    lengths = np.random.default_rng(1).integers(1, 900, 4000)
+    for rule in ("norm", "dot"):
+        caps = packing.Capacities(documents=6, attention=1_000_000, rule=rule)
+        bins = packing.pack(lengths, caps)
+        assert np.bincount(bins, lengths).max() <= 2048 and np.bincount(bins).max() <= 6 and np.bincount(bins, lengths.astype(float) ** 2).max() <= 1_000_000
+        assert len(np.unique(bins)) <= 1.15 * max(lengths.sum() / 2048, len(lengths) / 6, (lengths.astype(float) ** 2).sum() / 1e6)
+
+
+def test_both_encoders_agree():
+    path = packing.default_tokenizer()
+    for text in ("plain words, and 123 numbers", "naïve Straße — ‘quoted’ 日本語 🙂", "a  b\n\n\tc <|endoftext|> d", "x" * 5000, " " * 3000 + "y"):
+        assert packing.encode(path, text).tolist() == all_ids(text)[:-1]
+
+
+# --- classifiers -----------------------------------------------------------
+
+
+def labelled(spark, scores, column, sf):
+    rows = scores.where("held_out").join(table(spark, sf, "labels").select("doc_id", column).dropna(), "doc_id").collect()
+    return np.array([r["score"] for r in rows]), np.array([r[column] for r in rows]), np.array([r["predicted"] for r in rows])
+
+
+def area(score, y):
+    order = np.argsort(np.argsort(score)) + 1.0
+    return (order[y == 1].sum() - (y == 1).sum() * ((y == 1).sum() + 1) / 2) / ((y == 1).sum() * (y == 0).sum())
+
+
+def test_language_on_held_out_documents(spark):
+    out = language.op4_language_id(spark, LARGER)
+    rows = out.where("held_out").join(table(spark, LARGER, "documents").select("doc_id", "lang", "text").where("lang is not null"), "doc_id").collect()
+    rows = [r for r in rows if r["lang_pred"] != "und"]
+    assert len(rows) > 100 and np.mean([r["lang"] == r["lang_pred"] for r in rows]) >= 0.93
+    assert all(unlike_fold(r["doc_id"], 3) == 1 for r in rows)
+
+
+def test_quality_on_held_out_labels(spark):
+    score, y, _ = labelled(spark, quality.op6_quality_classifier(spark, "/root/testdata/sf0.1"), "quality", "/root/testdata/sf0.1")
+    assert len(y) > 100 and area(score, y) >= 0.8
+
+
+def test_toxicity_on_held_out_labels(spark):
+    score, y, predicted = labelled(spark, toxicity.op8_toxicity(spark, "/root/testdata/sf0.1"), "toxic", "/root/testdata/sf0.1")
+    assert y.sum() > 5 and area(score, y) >= 0.88  # about a tenth of the labels follow from nothing in the text
+    assert predicted[y == 1].mean() >= 0.65 and predicted[y == 0].mean() <= 0.03
+
+
+def test_isotonic_is_the_nearest_rising_fit():
+    rng = np.random.default_rng(2)
+    for _ in range(20):
+        v, w = rng.normal(size=7), rng.uniform(0.5, 2, 7)
+        fitted = quality.isotonic(v, w)
+        assert (np.diff(fitted) >= -1e-12).all()
+        cost = lambda x: (w * (v - x) ** 2).sum()  # noqa: E731, B023
+        for cuts in (c for n in range(7) for c in combinations(range(1, 7), n)):
+            parts = np.split(np.arange(7), cuts)
+            steps = np.concatenate([np.full(len(p), np.average(v[p], weights=w[p])) for p in parts])
+            assert (np.diff(steps) < -1e-12).any() or cost(steps) >= cost(fitted) - 1e-9
+
+
+# --- duplicates ------------------------------------------------------------
+
+
+def plain_fingerprint(text):
+    words = [w for w in BLANKS.split(re.sub("[A-Z]", lambda m: m[0].lower(), text or "")) if w]
+    hashes = [xxhash.xxh64_intdigest(" ".join(words[i : i + 4]).encode(), 42) for i in range(max(1, len(words) - 3))] if words else []
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def plain_components(fingerprints):
+    root = {i: i for i in fingerprints}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    ids = sorted(fingerprints)
+    values = np.array([fingerprints[i] for i in ids], np.uint64)
+    for k, i in enumerate(ids):
+        for j in np.flatnonzero(np.bitwise_count(values[k + 1 :] ^ values[k]) <= 4):
+            a, b = sorted((find(i), find(ids[k + 1 + int(j)])))
+            root[b] = a
+    return {i: find(i) for i in ids}
+
+
+def test_simhash_against_all_pairs(spark, documents):
+    expected = {i: plain_fingerprint(t) for i, t in documents.items()}
+    out = {r["doc_id"]: (int(r["fingerprint"], 16), r["component_id"]) for r in simhash.op7_simhash_near_dedup(spark, SF).collect()}
+    roots = plain_components(expected)
+    assert out == {i: (expected[i], roots[i]) for i in documents}
+
+
+def test_links_of_crowded_and_sparse_fingerprints(spark):
+    rng = random.Random(4)
+    values = {rng.getrandbits(64) for _ in range(300)}
+    for v in list(values)[:60]:
+        for _ in range(6):
+            values.add(v := v ^ sum({1 << rng.randrange(64) for _ in range(rng.randrange(1, 6))}))
+    hub = rng.getrandbits(64)
+    values |= {hub ^ (1 << a) ^ (1 << b) for a, b in combinations(range(14), 2)}
+    fps = spark.createDataFrame([(v - (1 << 64) if v >> 63 else v,) for v in values], "fp long")
+    expected = plain_components({v: v for v in values})
+    for limit in (64, 4):
+        root = {v: v for v in values}
+
+        def find(x):
+            while root[x] != x:  # noqa: B023
+                x = root[x]  # noqa: B023
+            return x
+
+        for a, b in simhash.links(fps, bucket_limit=limit).collect():
+            a, b = a % (1 << 64), b % (1 << 64)
+            assert (a ^ b).bit_count() <= 4
+            x, y = sorted((find(a), find(b)))
+            root[y] = x
+        assert {v: find(v) for v in values} == expected
+
+
+def test_quotient_filters_lose_nothing():
+    rng = np.random.default_rng(3)
+    parts = [rng.integers(0, 1 << 63, 500, dtype=np.uint64) >> np.uint64(rng.integers(0, 55)) for _ in range(5)]
+    filters = [exact_dedup.CountingQuotientFilter.build(p, 12) for p in parts]
+    merged = filters[0].merge(*(exact_dedup.CountingQuotientFilter.unpack(f.pack()) for f in filters[1:]))
+    values, counts = np.unique(np.concatenate(parts), return_counts=True)
+    assert (merged.fingerprints() == values).all() and (merged.counts == counts).all()
+    shards = [f for _, f in merged.shards(7)]
+    assert (np.concatenate([f.fingerprints() for f in shards]) == values).all()
+
+
+# --- decontamination -------------------------------------------------------
+
+
+def least_distance(words, item):
+    """Edit distance of an item to the nearest run of words."""
+    row = np.zeros(len(words) + 1, int)
+    same = {w: np.array([x == w for x in words], bool) for w in set(item)}
+    steps = np.arange(len(words) + 1)
+    for i, w in enumerate(item, 1):
+        best = np.concatenate([[i], np.minimum(row[1:] + 1, row[:-1] + ~same[w])])
+        row = np.minimum.accumulate(best - steps) + steps
+    return int(row.min())
+
+
+def plain_leaks(texts, items):
+    words = {i: decontamination.words_of(t or "") for i, t in texts.items()}
+    out = set()
+    for item_id, text in items.items():
+        item = decontamination.words_of(text or "")
+        if len(item) >= 5:
+            out |= {(i, item_id) for i, w in words.items() if w and least_distance(w, item) <= int(0.2 * len(item) + 1e-9)}
+    return out
+
+
+def benchmark_items(spark, sf):
+    return {r["item_id"]: r["text"] for r in table(spark, sf, "benchmark").collect()}
+
+
+def test_leaks_against_all_windows(spark, documents):
+    out = decontamination.op10_decontamination(spark, SF).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in out} == plain_leaks(documents, benchmark_items(spark, SF))
+
+
+def test_leaks_with_edits(spark):
+    rng = random.Random(6)
+    items = benchmark_items(spark, SF)
+    texts, filler = {}, [f"filler{k}" for k in range(500)]
+    for n, text in enumerate(items.values()):
+        words = text.split()
+        for share in (0.0, 0.1, 0.19, 0.4):
+            w = list(words)
+            for _ in range(int(share * len(w))):
+                at = rng.randrange(len(w))
+                kind = rng.randrange(3)
+                w[at : at + (kind != 0)] = ["changed"] * (kind != 1)
+            texts[len(texts)] = " ".join([*rng.choices(filler, k=n), *w, *rng.choices(filler, k=30)])
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    found = {(r["doc_id"], r["item_id"]) for r in decontamination.contaminated_passages(docs, table(spark, SF, "benchmark")).collect()}
+    expected = plain_leaks(texts, items)
+    assert found <= expected and len(found) >= 0.99 * len(expected)
+
+
+# --- licenses and private data ---------------------------------------------
+
+
+def test_patience_alignment():
+    rng = random.Random(8)
+    for _ in range(200):
+        a, b = ([rng.choice(b"abcdefgh") for _ in range(rng.randrange(12))] for _ in range(2))
+        found = licenses.patience(a, b)
+        assert all(a[i] == b[j] for i, j in found) and all(i < k and j < m for (i, j), (k, m) in zip(found, found[1:], strict=False))
+        unlike = rng.sample(range(12), 12), rng.sample(range(12), 9)
+        longest = np.zeros((13, 10), int)
+        for i, j in np.ndindex(12, 9):
+            longest[i + 1, j + 1] = longest[i, j] + 1 if unlike[0][i] == unlike[1][j] else max(longest[i, j + 1], longest[i + 1, j])
+        assert len(licenses.patience(*unlike)) == longest[-1, -1]
+
+
+def test_licenses_with_lost_words(spark):
+    rng, rows = random.Random(9), []
+    for k, (name, (text, needed)) in enumerate(licenses.TEMPLATES.items()):
+        words = text.split()
+        kept = [w for w in words if len(words) < 20 or rng.random() > 0.1 or any(n in w.lower() for n in needed)]
+        rows += [(k, name, "some opening words here " * k + " ".join(kept) + " and more"), (100 + k, None, " ".join(rng.sample(words, len(words) // 2)))]
+    docs = spark.createDataFrame(rows, "doc_id long, name string, text string")
+    found = {(r["doc_id"], r["license"]) for r in licenses.license_spans(docs).collect()}
+    assert {(k, name) for k, name, _ in rows if name} <= found
+    assert not {f for f in found if f[0] >= 100}
+
+
+def luhn(digits):
+    return sum(sum(divmod(int(d) * (1 + k % 2), 10)) for k, d in enumerate(reversed(digits))) % 10 == 0
+
+
+def test_surrogates(spark):
+    texts = [
+        "Mr. John Miller wrote to Mary Miller, john.miller@example.com, on +1 (415) 555-2671.",
+        "JOHN.MILLER@EXAMPLE.COM and Herr Schmidt; call 415-555-2671 or 415.555.9999.",
+        "Card 4111 1111 1111 1111, again 4111-1111-1111-1111; host 10.1.2.3; Анна Петрова.",
+        "nothing to see",
+    ]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = {r["doc_id"]: r for r in pii.surrogate_texts(docs, "k1").collect()}
+    new = [out[k]["text"] for k in range(4)]
+    for gone in ("Miller", "john", "Schmidt", "2671", "9999", "4111 1", "10.1.2.3", "Петрова"):
+        assert not any(gone.lower() in t.lower() for t in new), gone
+    assert new[3] == texts[3] and out[3]["n_entities"] == 0
+    john, mary = re.match(r"Mr\. (\w+) (\w+) wrote to (\w+) (\w+),", new[0]).groups()[:2], re.search(r"wrote to (\w+) (\w+),", new[0]).groups()
+    assert john[1] == mary[1] and john[0] in pii.GIVEN["latin", "m"] and mary[0] in pii.GIVEN["latin", "f"]
+    mail = re.search(r"\S+@\S+\.com", new[0])[0].rstrip(",")
+    assert mail.upper() == new[1].split()[0]
+    area_, rest = re.search(r"\+1 \((\d{3})\) (\d{3}-\d{4})\.", new[0]).groups()
+    assert f"{area_}-{rest}" in new[1] and re.search(r"or \d{3}\.\d{3}\.\d{4}\.", new[1])
+    cards = re.search(r"Card (\d{4} \d{4} \d{4} \d{4}), again (\d{4}-\d{4}-\d{4}-\d{4});", new[2]).groups()
+    assert cards[0].replace(" ", "") == cards[1].replace("-", "") and luhn(cards[0].replace(" ", ""))
+    assert re.search(r"host 10(\.\d{1,3}){3}; [А-Я][а-я]+ [А-Я][а-я]+ова\.", new[2])
+    again = {r["doc_id"]: r["text"] for r in pii.surrogate_texts(docs.repartition(3), "k1").collect()}
+    assert [again[k] for k in range(4)] == new
+    other = {r["doc_id"]: r["text"] for r in pii.surrogate_texts(docs, "k2").collect()}
+    assert other[0] != new[0]
+
+
+def test_surrogates_are_distinct(spark):
+    parts = spark.createDataFrame([("surname:latin", f"name{chr(97 + k // 26 % 26)}{chr(97 + k % 26)}{k // 676}") for k in range(3000)], "kind string, value string")
+    rows = pii.distinct_surrogates(parts, "k").collect()
+    assert len(rows) == len({r["surrogate"] for r in rows}) == 3000 and not {r["surrogate"] for r in rows} & {r["value"] for r in rows}
+
+
+def test_pii_stays_in_the_jvm(spark, capsys):
+    pii.op1_pii_surrogates(spark, SF).explain()
+    assert not re.search("Python|Pandas|Arrow", capsys.readouterr().out)
+
+
+# --- the pipeline ----------------------------------------------------------
+
+
+def test_pipeline_against_plain_stages(spark, documents):
+    docs = table(spark, SF, "documents")
+    scores = {r["doc_id"]: r["score"] for r in toxicity.score_documents(docs, toxicity.train(docs, table(spark, SF, "labels"))).collect()}
+    left = {i: t for i, t in documents.items() if scores[i] < 0.5}
+    groups = {}
+    for i, t in left.items():
+        groups.setdefault(BLANKS.sub("", t or ""), []).append(i)
+    left = {i: left[i] for i in (min(g, key=lambda i: (-len(left[i] or ""), i)) for g in groups.values())}
+    roots = plain_components({i: plain_fingerprint(t) for i, t in left.items()})
+    left = {i: left[i] for i in sorted(set(roots.values()))}
+    leaks = plain_leaks(left, benchmark_items(spark, SF))
+    left = {i: t for i, t in left.items() if i not in {d for d, _ in leaks}}
+    assert 0 < len(left) < len(documents)
+    assert_packed(corpus_pipeline.run(spark, SF).collect(), left)

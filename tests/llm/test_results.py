@@ -11,7 +11,7 @@ import xxhash
 from conftest import SF, assert_same
 
 import corpus_pipeline
-from quillspark.llm import decontamination, exact_dedup, language, licenses, packing, pii, quality, queries, simhash, toxicity
+from quillspark.llm import decontamination, exact_dedup, language, licenses, packing, pii, quality, queries, simhash, toxicity, url_filter
 from quillspark.llm.common import table
 
 LARGER = "/root/testdata/sf0.01"
@@ -326,6 +326,24 @@ def test_pii_stays_in_the_jvm(spark, capsys):
     assert not re.search("Python|Pandas|Arrow", capsys.readouterr().out)
 
 
+# --- hosts -----------------------------------------------------------------
+
+
+def test_hosts_without_outcomes(spark):
+    """New hosts of a bad domain or suffix are blocked, those of good or unknown ones allowed; the bound is that of the prior."""
+    rows = [(f"http://h{k}.{domain}/", int(k % 50 < share)) for domain, share in (("bad.zz", 49), ("worse.zz", 50), ("good.aa", 1), ("fine.aa", 0)) for k in range(400)]
+    new = {"http://new.bad.zz/": "block", "http://new.other.zz/": "block", "http://new.good.aa/": "allow", "http://new.other.aa/": "allow", "http://new.one.qq/": "allow"}
+    pages = spark.createDataFrame([(k, u) for k, u in enumerate([u for u, _ in rows] + list(new))], "page_id long, url string")
+    outcomes = spark.createDataFrame([(k, b) for k, (_, b) in enumerate(rows)], "page_id long, bad int")
+    out = url_filter.judge_pages(pages, outcomes)
+    assert out.count() == len(rows) + len(new)
+    of = {r["host"]: r for r in out.where(f"page_id >= {len(rows)}").collect()}
+    assert {u: of[u[7:-1]]["verdict"] for u in new} == new
+    assert all(r["bad_rate"] is not None and r["bad_rate_low"] < r["bad_rate"] for r in of.values())
+    # a host with one good outcome more lies below a new one of the same domain
+    assert of["new.bad.zz"]["bad_rate"] > out.where("host = 'h49.bad.zz'").first()["bad_rate"]
+
+
 # --- the pipeline ----------------------------------------------------------
 
 

@@ -52,6 +52,8 @@ KINDS = {
 PATTERN = r"(?<![\p{L}\p{N}])(?:" + "|".join(KINDS.values()) + ")"
 #: Draws after which a surrogate may be longer than what it replaces, and equal to a part that the corpus holds.
 STRICT_DRAWS = 4
+#: Addresses of the private ranges that have surrogates of their own.
+PRIVATE = {"10.": 256 * 256 * 254, "192.168.": 256 * 254}
 
 
 def _digits(c: Column) -> Column:
@@ -151,7 +153,12 @@ def surrogate_of(kind: Column, value: Column, draw: Column, key: str) -> Column:
     )
     top = F.substring_index(value, ".", -1)
     domain = F.concat(_reshaped(F.substring(value, F.lit(1), F.length(value) - F.length(top) - 1), seed), longer, F.lit("."), top)
-    surname = lambda script: F.concat(*(_pick(F.concat(seed, F.lit(f"s{i}")), SYLLABLES[script]) for i in range(4)))
+
+    def surname(script: str) -> Column:
+        syllable = lambda i: _pick(F.concat(seed, F.lit("s"), i.cast("string")), SYLLABLES[script])
+        more = F.when(draw >= STRICT_DRAWS, F.array_join(F.transform(F.sequence(F.lit(4), F.greatest(draw, F.lit(STRICT_DRAWS)).cast("int") - STRICT_DRAWS + 4), syllable), ""))
+        return F.concat(*(syllable(F.lit(i)) for i in range(4)), F.coalesce(more, F.lit("")))
+
     given = F.lit(None).cast("string")
     for names in GIVEN.values():
         order = sorted(names, key=lambda n: hashlib.sha256(f"{key}|{n}".encode()).digest())
@@ -173,17 +180,53 @@ def surrogate_of(kind: Column, value: Column, draw: Column, key: str) -> Column:
     )
 
 
+def _permuted(value: Column, key: str, prefix: str) -> Column:
+    """An address of a private range by another of it: a keyed permutation without fixed points.
+
+    The ends .0 and .255 are permuted among themselves. A Feistel network over the two
+    sides of the address, a step of its right side, and the network backwards.
+    """
+    octets = F.split(value, r"\.")
+    at = lambda i: F.get(octets, F.lit(i)).cast("long")
+    left, n = (at(1) * 256 + at(2), 65536) if prefix == "10." else (at(2), 256)
+    edge = at(3).isin(0, 255)
+    right, m = F.when(edge, (at(3) / 255).cast("long")).otherwise(at(3) - 1), F.when(edge, F.lit(2).cast("long")).otherwise(F.lit(254).cast("long"))
+    seed = F.concat(F.lit(f"{key}|{prefix}|"), m.cast("string"))
+
+    def network(sides: Column, rounds: range, sign: int) -> Column:
+        def one(x: Column, k: Column) -> Column:
+            of = lambda side: F.concat_ws("|", seed, k.cast("string"), side.cast("string"))
+            on_left = F.pmod(x["left"] + sign * _draw(of(x["right"]), n), F.lit(n).cast("long"))
+            on_right = F.pmod(x["right"] + sign * _draw(of(x["left"]), m), m)
+            return F.struct(F.when(k % 2 == 0, on_left).otherwise(x["left"]).alias("left"), F.when(k % 2 == 1, on_right).otherwise(x["right"]).alias("right"))
+
+        return F.aggregate(F.array(*map(F.lit, rounds)), sides, one)
+
+    there = network(F.struct(left.alias("left"), right.alias("right")), range(6), 1)
+    step = F.struct(there["left"].alias("left"), F.pmod(there["right"] + 1 + _draw(F.concat(seed, F.lit("step")), m - 1), m).alias("right"))
+    back = network(step, range(5, -1, -1), -1)
+    head = (F.lit("10"), F.floor(back["left"] / 256).cast("string"), (back["left"] % 256).cast("string")) if prefix == "10." else (F.lit("192.168"), back["left"].cast("string"))
+    return F.concat_ws(".", *head, F.when(edge, back["right"] * 255).otherwise(back["right"] + 1).cast("string"))
+
+
 def distinct_surrogates(parts: DataFrame, key: str, max_draws: int = 64) -> DataFrame:
     """(kind, value, surrogate) of different parts (kind, value): no two of a kind share a surrogate.
 
     Of parts whose draws collide the least value keeps it, the others draw again; in the
     first draws no surrogate equals a part of its kind in the corpus either. Given names
-    are permuted within their gender and script, which cannot collide. A kind whose form has
-    no room for that many parts ends in an error.
+    are permuted within their gender and script, which cannot collide, and so are addresses
+    within a private range of which the corpus holds over a quarter: there surrogates are
+    addresses that the corpus may hold. Surnames grow with the draw. Another kind whose form
+    has no room for that many parts ends in an error.
     """
-    spark = parts.sparkSession
     given = parts.where("kind = 'given'").select("kind", "value", surrogate_of(F.col("kind"), F.col("value"), F.lit(0), key).alias("surrogate"))
     waiting, done = parts.where("kind <> 'given'"), None
+    within = lambda prefix: (F.col("kind") == "ip") & F.startswith(F.col("value"), F.lit(prefix))
+    held = parts.agg(*(F.count_if(within(prefix)).alias(str(k)) for k, prefix in enumerate(PRIVATE))).first()
+    for (prefix, room), n in zip(PRIVATE.items(), held, strict=True):
+        if 4 * n > room:
+            given = given.union(parts.where(within(prefix)).select("kind", "value", _permuted(F.col("value"), key, prefix).alias("surrogate")))
+            waiting = waiting.where(~within(prefix))
     for draw in range(max_draws):
         drawn = waiting.withColumn("surrogate", surrogate_of(F.col("kind"), F.col("value"), F.lit(draw), key))
         owners = drawn.groupBy("kind", "surrogate").agg(F.min("value").alias("value"))

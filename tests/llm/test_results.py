@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 import xxhash
 from conftest import SF, assert_same
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from quillspark.llm import decontamination, exact_dedup, language, licenses, packing, pii, quality, queries, simhash, toxicity, url_filter
@@ -321,6 +322,26 @@ def test_surrogates_are_distinct(spark):
     assert len(rows) == len({r["surrogate"] for r in rows}) == 3000 and not {r["surrogate"] for r in rows} & {r["value"] for r in rows}
 
 
+def test_surnames_beyond_the_short_forms(spark, monkeypatch):
+    """More surnames than short forms: two syllables leave 16 of them; on a list of 20, the forms of four are gone at 160,000."""
+    monkeypatch.setitem(pii.SYLLABLES, "latin", ("ba", "ber"))
+    parts = spark.createDataFrame([("surname:latin", f"name{k}") for k in range(200)], "kind string, value string")
+    rows = pii.distinct_surrogates(parts, "k").collect()
+    assert len(rows) == len({r["value"] for r in rows}) == len({r["surrogate"] for r in rows}) == 200
+    assert all(re.fullmatch("(ba|ber)+", r["surrogate"]) and r["surrogate"] != r["value"] for r in rows)
+
+
+def test_all_addresses_of_a_private_range(spark):
+    parts = spark.range(65536).selectExpr("'ip' AS kind", "concat('192.168.', id div 256, '.', id % 256) AS value").unionByName(spark.createDataFrame([("ip", "10.1.2.3"), ("ip", "8.8.8.8")], "kind string, value string"))
+    rows = {r["value"]: r["surrogate"] for r in pii.distinct_surrogates(parts, "k").collect()}
+    assert len(rows) == len(set(rows.values())) == 65538 and all(a != b for a, b in rows.items())
+    assert {b for a, b in rows.items() if a.startswith("192.168.")} == {a for a in rows if a.startswith("192.168.")}
+    assert rows["10.1.2.3"].startswith("10.") and rows["192.168.0.0"].rpartition(".")[2] in ("0", "255")
+    wide = spark.range(1 << 24).sample(0.005, 1).selectExpr("concat('10.', id div 65536, '.', id div 256 % 256, '.', id % 256) AS value")
+    out = wide.select("value", pii._permuted(F.col("value"), "k", "10.").alias("new"))
+    assert out.where("new = value OR NOT new rlike '^10([.][0-9]{1,3}){3}$'").count() == 0 and out.select("new").distinct().count() == out.count() > 80_000
+
+
 def test_pii_stays_in_the_jvm(spark, capsys):
     pii.op1_pii_surrogates(spark, SF).explain()
     assert not re.search("Python|Pandas|Arrow", capsys.readouterr().out)

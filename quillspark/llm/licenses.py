@@ -4,6 +4,8 @@ A window of a text is aligned with the text of a license: words that occur once
 are anchors, the longest run of anchors that rises in both is kept, and the gaps between
 are aligned in the same way. Coverage is the share of the license's words that are
 matched. Windows are placed where enough different words of the license lie close by.
+Names of licenses, SPDX identifiers and the reserved-rights line are too short for that
+and are looked for word by word.
 """
 
 from __future__ import annotations
@@ -12,6 +14,7 @@ from bisect import bisect_left
 from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import product
 
 import numpy as np
 import pyarrow as pa
@@ -81,9 +84,73 @@ TEMPLATES: dict[str, tuple[str, tuple[str, ...]]] = {
     "CC-BY-NC-4.0 statement": ("Licensed under CC BY-NC 4.0.", ("cc", "by", "nc")),
     "CC-BY-4.0 statement": ("This work is licensed under a Creative Commons Attribution 4.0 International License.", ("creative", "attribution")),
     "BSD statement": ("Released under the BSD 3-Clause License.", ("bsd",)),
+    "LGPL": (
+        """This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as
+        published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version. This library is
+        distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or
+        FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details.""",
+        ("gnu", "lesser"),
+    ),
+    "AGPL": (
+        """This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as
+        published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is
+        distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or
+        FITNESS FOR A PARTICULAR PURPOSE. See the GNU Affero General Public License for more details.""",
+        ("gnu", "affero"),
+    ),
+    "GNU license text": (
+        """Copyright (C) Free Software Foundation, Inc. Everyone is permitted to copy and distribute verbatim copies of this license document,
+        but changing it is not allowed.""",
+        ("verbatim", "changing"),
+    ),
+    "Apache-2.0 text": (
+        """Apache License Version 2.0, January 2004 http://www.apache.org/licenses/ TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION
+        1. Definitions. "License" shall mean the terms and conditions for use, reproduction, and distribution""",
+        ("apache", "reproduction"),
+    ),
+    "MPL-2.0 text": (
+        """Mozilla Public License Version 2.0 1. Definitions 1.1. "Contributor" means each individual or legal entity that creates, contributes
+        to the creation of, or owns Covered Software.""",
+        ("mozilla", "contributor"),
+    ),
 }
 
 
+def _phrases() -> dict[str, str]:
+    """Wording: name, of all short forms."""
+    out = {"All rights reserved": "All rights reserved", "SPDX-License-Identifier": "SPDX identifier", "CC0": "CC0", "CC0 1.0": "CC0-1.0", "Creative Commons Zero": "CC0"}
+    gnu = (("GPL", "General", ("1", "2", "3")), ("LGPL", "Lesser General", ("2", "2.1", "3")), ("LGPL", "Library General", ("2",)), ("AGPL", "Affero General", ("1", "3")))
+    spdx = ["MIT", "MIT-0", "ISC", "0BSD", "BSD-2-Clause", "BSD-3-Clause", "BSD-4-Clause", "BSD-3-Clause-Clear", "Apache-1.1", "Apache-2.0", "MPL-1.1", "MPL-2.0", "EPL-1.0", "EPL-2.0", "EUPL-1.2", "BSL-1.0", "Zlib", "Unlicense", "WTFPL", "Artistic-2.0", "CC0-1.0", "OFL-1.1"]
+    for short, long, versions in gnu:
+        for v in versions:
+            full = v if "." in v else f"{v}.0"
+            for form in (f"GNU {long} Public License", f"GNU {short}", short):
+                out |= {f"{form} {how}{n}": f"{short}-{full}" for how in ("", "version ", "v") for n in (v, full)}
+            out[f"{short}v{v}"] = f"{short}-{full}"
+            spdx += [f"{short}-{full}{end}" for end in ("", "-only", "-or-later")]
+    words = {"BY": ["Attribution"], "SA": ["ShareAlike", "Share Alike"], "ND": ["NoDerivatives", "NoDerivs", "No Derivatives"], "NC": ["NonCommercial", "Non Commercial"]}
+    for code in ("BY", "BY-SA", "BY-ND", "BY-NC", "BY-NC-SA", "BY-NC-ND"):
+        spelled = [" ".join(x) for x in product(*(words[c] for c in code.split("-")))]
+        for form in (f"CC {code}", *(f"Creative Commons {x}" for x in spelled)):
+            if form != "CC BY":  # two common words
+                out[form] = f"CC-{code}"
+            out |= {f"{form} {v}": f"CC-{code}-{v}" for v in ("1.0", "2.0", "2.5", "3.0", "4.0")}
+        spdx += [f"CC-{code}-{v}" for v in ("1.0", "2.0", "2.5", "3.0", "4.0")]
+    for name, forms in {
+        "MIT": ("MIT License", "MIT licence"),
+        "Apache-2.0": ("Apache License Version 2.0", "Apache License 2.0", "Apache License v2.0", "Apache 2.0"),
+        "MPL-2.0": ("Mozilla Public License Version 2.0", "Mozilla Public License 2.0", "Mozilla Public License v. 2.0", "Mozilla Public License v2.0", "MPL 2.0"),
+        "BSD-2-Clause": ("BSD 2-Clause", "2-Clause BSD"),
+        "BSD-3-Clause": ("BSD 3-Clause", "3-Clause BSD"),
+    }.items():
+        out |= dict.fromkeys(forms, name)
+    return out | {f"SPDX-License-Identifier: {x}": f"SPDX {x}" for x in spdx}
+
+
+#: Short forms that are looked for word by word, with their names.
+PHRASES: dict[str, str] = _phrases()
+
+
 def patience(a: list[bytes], b: list[bytes]) -> list[tuple[int, int]]:
     """Matched places of two sequences, rising in both: equal ends, then the anchors' longest rising run, then its gaps."""
     out: list[tuple[int, int]] = []
@@ -161,7 +228,35 @@ class Template:
                 after = s + last + 1
 
 
-def _found(templates: list[Template]) -> Callable:
+class Phrases:
+    """Short wordings whose words all stand side by side; at each place the longest counts."""
+
+    def __init__(self, names: dict[str, str]) -> None:
+        self.by_first: dict[bytes, list[tuple[list[bytes], str]]] = {}
+        for text, name in names.items():
+            if words := words_of(text):
+                self.by_first.setdefault(words[0], []).append((words, name))
+        for held in self.by_first.values():
+            held.sort(key=lambda x: -len(x[0]))
+
+    def find(self, words: list[bytes], known: set[bytes]) -> Iterator[tuple[str, float, int, int]]:
+        """As Template.find."""
+        starts: list[int] = []
+        for first in self.by_first.keys() & known:
+            if any(known.issuperset(w) for w, _ in self.by_first[first]):
+                at = -1
+                for _ in range(words.count(first)):
+                    starts.append(at := words.index(first, at + 1))
+        after = 0
+        for s in sorted(starts):
+            for w, name in self.by_first[words[s]] if s >= after else ():
+                if words[s : s + len(w)] == w:
+                    yield name, 1.0, s, len(w)
+                    after = s + len(w)
+                    break
+
+
+def _found(templates: list[Template | Phrases]) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows: list[tuple] = []
@@ -178,16 +273,19 @@ def _found(templates: list[Template]) -> Callable:
     return run
 
 
-def license_spans(docs: DataFrame, templates: dict[str, tuple[str, tuple[str, ...]]] | None = None, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def license_spans(docs: DataFrame, templates: dict[str, tuple[str, tuple[str, ...]]] | None = None, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text", phrases: dict[str, str] | None = None) -> DataFrame:
     """(doc_id, license, coverage, start, words): each place where a text covers at least `least` of a wording.
 
     Texts are read whole, as lower-case words. A place spans from the first to the last
     matched word; places of one wording don't overlap, those of different ones may. Null
     and empty texts have none; repeated rows give repeated results; no other column is
-    read. The wordings are a list written by hand, held by each task.
+    read. The wordings are a list written by hand, held by each task. Those of `phrases`
+    (wording: name) must be there whole and side by side; they are PHRASES, or none beside
+    templates of the caller's own.
     """
     prepare(docs.sparkSession)
     known = [Template(name, words_of(text), frozenset(w.encode() for w in needed), least) for name, (text, needed) in (templates or TEMPLATES).items()]
+    known.append(Phrases(phrases if phrases is not None else {} if templates else PHRASES))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(_found(known), "doc_id long, license string, coverage double, start long, words long")
 

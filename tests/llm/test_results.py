@@ -284,6 +284,28 @@ def test_licenses_with_lost_words(spark):
     assert not {f for f in found if f[0] >= 100}
 
 
+def test_short_forms_of_licenses(spark):
+    texts = {
+        "(c) Some Body. All rights reserved.": "All rights reserved",
+        "// SPDX-License-Identifier: GPL-2.0-or-later": "SPDX GPL-2.0-or-later",
+        "# SPDX-License-Identifier: MIT-0": "SPDX MIT-0",
+        "SPDX-License-Identifier: Unheard-Of": "SPDX identifier",
+        "Licensed under the GNU General Public License, version 3": "GPL-3.0",
+        "under the GNU General Public License v2": "GPL-2.0",
+        "the GNU Lesser General Public License, version 2.1": "LGPL-2.1",
+        "the GNU Affero General Public License version 3": "AGPL-3.0",
+        "shared as CC BY-SA 4.0 here": "CC-BY-SA-4.0",
+        "shared as CC BY 4.0 here": "CC-BY-4.0",
+        "Creative Commons Attribution-NoDerivatives 4.0": "CC-BY-ND-4.0",
+        "dedicated by CC0 1.0": "CC0-1.0",
+        "see the MIT License file": "MIT",
+        "all of the rights are reserved by gnu and cc, by and by": None,
+    }
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = sorted((r["doc_id"], r["license"]) for r in licenses.license_spans(docs).collect())
+    assert found == [(k, name) for k, name in enumerate(texts.values()) if name]
+
+
 def luhn(digits):
     return sum(sum(divmod(int(d) * (1 + k % 2), 10)) for k, d in enumerate(reversed(digits))) % 10 == 0
 

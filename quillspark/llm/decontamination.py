@@ -4,19 +4,22 @@ Texts and items are sequences of lower-case words. An item of n words is in a te
 some run of its words is within k = floor((1 - similarity) * n) insertions, deletions and
 replacements of words of it. At each word of a text starts a window the size of the item.
 A CGK random walk reads a window word by word and, by a random bit for the step and the
-word, stays or moves on; its 3n outputs of two windows differ in few places if few edits
-part them. Keys of a few sampled outputs, repeated until a pair at the limit is met with
-the target recall, pair windows with items of their size, and the edit distance of each
-pair is then computed. Windows that no item can be near to are left out first, which
+word, stays or moves on; the outputs of two windows differ in few places if few edits
+part them. Half of the steps move on, so of the outputs only the first 1.5n, which lie
+before the padding, are sampled, and padding never makes a key. Keys of a few sampled
+outputs, repeated until simulated pairs at the limit meet with the target recall, pair
+windows with items of their size, and the edit distance of each pair is then computed.
+Windows that no item can be near to are left out first, which
 loses nothing: k edits spoil at most 2k of the n - 1 neighbouring pairs of words, so the
 n + k words from a start on must hold all but 2k of the different pairs of one item.
 """
 
 from __future__ import annotations
 
-import math
+import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 from itertools import repeat
 
 import numpy as np
@@ -24,20 +27,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import prepare
+from .common import materialise, prepare
 
 UNKNOWN, PAD, BEYOND = -1, -2, -3
 _MARKS = bytes(range(33)) + bytes(c for c in range(33, 128) if not chr(c).isalnum())
 MARKS = bytes.maketrans(_MARKS, b" " * len(_MARKS))
 #: Quotation marks, dashes and dots beyond ASCII, which part words too.
-WIDE_MARKS = str.maketrans(dict.fromkeys("«»“”„‘’‚‹›–—―…·¡¿    　。、，！？；：（）「」", " "))
+WIDE_MARKS = re.compile("[«»“”„‘’‚‹›–—―…·¡¿    　。、，！？；：（）「」]")
 
 
 def words_of(text: str) -> list[bytes]:
     """Lower-case words in UTF-8: what lies between blanks and punctuation."""
     text = text.lower()
     if not text.isascii():
-        text = text.translate(WIDE_MARKS)
+        text = WIDE_MARKS.sub(" ", text)
     return text.encode("utf-8", "replace").translate(MARKS).split()
 
 
@@ -54,14 +57,19 @@ def walk_bits(codes: int, steps: int, seed: int) -> np.ndarray:
     return _mix((rows[:, None] << np.uint64(24)) + (cols << np.uint64(8)) + np.uint64(seed))
 
 
+def steps_of(n: int) -> int:
+    """Steps of a walk over n words that mostly end before the padding."""
+    return max(1, 3 * n // 2)
+
+
 def cgk(windows: np.ndarray, bits: np.ndarray) -> np.ndarray:
-    """Outputs of the walks over rows of word codes, three times as many as words, a column for each window."""
+    """Outputs of the walks over rows of word codes, a column for each window."""
     n, wide = windows.shape
     padded = np.concatenate([windows, np.full((n, 1), PAD, windows.dtype)], axis=1).ravel()
     base = np.arange(n, dtype=np.int64) * (wide + 1)
     at, end = base.copy(), base + wide
-    out = np.empty((3 * wide, n), np.int32)
-    for t in range(3 * wide):
+    out = np.empty((steps_of(wide), n), np.int32)
+    for t in range(len(out)):
         code = padded[np.minimum(at, end)]
         out[t] = code
         at += (bits[code, t >> 6] >> np.uint64(t & 63) & np.uint64(1)).astype(np.int64)
@@ -81,17 +89,43 @@ def edit_distances(windows: np.ndarray, items: np.ndarray) -> tuple[np.ndarray,
     return row.min(axis=1), row.argmin(axis=1)
 
 
+@lru_cache(maxsize=1024)
+def repeats_of(n: int, edits: int, sampled: int, walks: int, recall: float, pairs: int = 1000, vocabulary: int = 3000) -> int:
+    """Keys that make simulated pairs of n words, `edits` random edits apart, meet with the target recall.
+
+    Repeats share walks, so they are not independent: the number is measured, not computed.
+    """
+    rng = np.random.default_rng(n)
+    a = rng.integers(0, vocabulary, (pairs, n)).astype(np.int32)
+    b = []
+    for row in a.tolist():
+        for kind, new in zip(rng.integers(0, 3, edits).tolist(), rng.integers(0, vocabulary, edits).tolist(), strict=True):
+            at = int(rng.integers(0, len(row)))
+            row[at : at + (kind != 0)] = [new] * (kind != 1)
+        b.append((row + rng.integers(0, vocabulary, n).tolist())[:n])
+    agree = []
+    for seed in range(walks):
+        bits = walk_bits(vocabulary, steps_of(n), seed)
+        x, y = cgk(a, bits), cgk(np.array(b, np.int32), bits)
+        agree.append((x == y) & (x != PAD))
+    met, most = np.zeros(pairs, bool), 1 << 12
+    for r in range(most):
+        met |= agree[r % walks][rng.integers(0, steps_of(n), sampled)].all(axis=0)
+        if r >= 2 * walks - 1 and met.mean() >= recall:
+            return r + 1
+    return most
+
+
 @dataclass
 class ItemIndex:
     """Items of one block of the benchmark, by their number of words, with their keys."""
 
     items: list[tuple[int, str]]
     similarity: float = 0.8
-    min_words: int = 5
+    min_words: int = 1
     sampled: int = 2
-    recall: float = 0.99
-    agreement: float = 0.3
-    walks: int = 4
+    recall: float = 0.995
+    walks: int = 8
     vocabulary: dict[bytes, int] = field(default_factory=dict)
 
     def __post_init__(self) -> None:
@@ -100,14 +134,13 @@ class ItemIndex:
         by_size: dict[int, list[int]] = {}
         for k, c in enumerate(codes):
             by_size.setdefault(len(c), []).append(k)
-        #: Enough keys for the target recall where only a share `agreement` of the outputs agrees.
-        self.repeats = math.ceil(math.log(1 - self.recall) / math.log(1 - self.agreement**self.sampled))
         self.sizes = sorted(by_size)
         self.edits = {n: int((1 - self.similarity) * n + 1e-9) for n in self.sizes}
         self.ids = {n: np.array([coded[k][0] for k in by_size[n]], np.int64) for n in self.sizes}
         self.codes = {n: np.stack([codes[k] for k in by_size[n]]) for n in self.sizes}
         rng = np.random.default_rng(5)
-        self.places = {n: rng.integers(0, 3 * n, (self.repeats, self.sampled)) for n in self.sizes}
+        self.repeats = {n: repeats_of(m := self._rung(n), int((1 - self.similarity) * m + 1e-9), self.sampled, self.walks, self.recall) for n in self.sizes}
+        self.places = {n: rng.integers(0, steps_of(n), (self.repeats[n], self.sampled)) for n in self.sizes}
         own = np.concatenate([np.full(len(c) - 1, k) for k, c in enumerate(codes)] or [np.empty(0, np.int64)])
         pairs = np.unique(np.stack([np.concatenate([self._pairs(c) for c in codes] or [own]), own], axis=1), axis=0)
         #: The pairs of neighbouring words, sorted, with the item that each is in, and a table that shows whether a pair can be there.
@@ -117,15 +150,23 @@ class ItemIndex:
         self.item_size = np.array([len(c) for c in codes], np.int64)
         #: Different pairs of an item that k edits leave.
         self.needed = np.array([len(np.unique(self._pairs(c))) - 2 * self.edits[len(c)] for c in codes], np.int64)
-        self.bits = [walk_bits(len(self.vocabulary), 3 * max(self.sizes, default=0), seed) for seed in range(self.walks)]
+        self.bits = [walk_bits(len(self.vocabulary), steps_of(max(self.sizes, default=0)), seed) for seed in range(self.walks)]
         self.tables = {}
         for n in self.sizes:
             embedded = self._embedded(self.codes[n])
-            for r in range(self.repeats):
-                keys = self._keys(embedded, n, r)
-                order = np.argsort(keys, kind="stable")
+            for r in range(self.repeats[n]):
+                keys, valid = self._keys(embedded, n, r)
+                order = np.flatnonzero(valid)[np.argsort(keys[valid], kind="stable")].astype(np.int32)
                 self.tables[n, r] = keys[order], order
 
+    @staticmethod
+    def _rung(n: int) -> int:
+        """The size that n is simulated as: n itself up to 20, then the next on a ladder."""
+        m = 20
+        while m < n:
+            m = m * 5 // 4
+        return n if n <= 20 else m
+
     @staticmethod
     def _pairs(codes: np.ndarray) -> np.ndarray:
         """A number for each two neighbouring words; -1 if one is unknown."""
@@ -135,12 +176,14 @@ class ItemIndex:
     def _embedded(self, windows: np.ndarray) -> list[np.ndarray]:
         return [cgk(windows, bits) for bits in self.bits]
 
-    def _keys(self, embedded: list[np.ndarray], n: int, r: int) -> np.ndarray:
+    def _keys(self, embedded: list[np.ndarray], n: int, r: int) -> tuple[np.ndarray, np.ndarray]:
+        """The keys of a repeat, and which of them hold no padding."""
         outputs = embedded[r % self.walks]
-        key = np.full(outputs.shape[1], r, np.uint64)
+        key, valid = np.full(outputs.shape[1], r, np.uint64), np.ones(outputs.shape[1], bool)
         for place in self.places[n][r]:
             key = _mix(key ^ outputs[place].astype(np.int64).view(np.uint64))
-        return key
+            valid &= outputs[place] >= 0
+        return key, valid
 
     def starts(self, codes: np.ndarray) -> set[tuple[int, int]]:
         """(size, start) of the windows with enough pairs of one item in reach."""
@@ -164,7 +207,8 @@ class ItemIndex:
                 spots = {s for f, t in zip(begin[dense].tolist(), last[dense].tolist(), strict=True) for s in range(max(0, t - reach), f + 1)}
                 out.update((size, s) for s in self._varied(pair[mine], mine, np.array(sorted(spots), np.int64), reach, need))
         for n in {int(self.item_size[k]) for k in np.flatnonzero(self.needed <= 0)}:
-            out.update((n, s) for s in range(max(0, m - (n - self.edits[n]) + 1)))
+            spots = range(max(0, m - (n - self.edits[n]) + 1)) if n > 1 else np.flatnonzero(np.isin(codes, self.codes[1])).tolist()
+            out.update((n, s) for s in spots)
         return out
 
     @staticmethod
@@ -195,10 +239,11 @@ class ItemIndex:
                     part = texts[text[w]][start[w] : start[w] + n]
                     windows[i, : len(part)] = part
                 mine, pairs = self._embedded(windows), []
-                for r in range(self.repeats):
+                for r in range(self.repeats[n]):
                     keys, order = self.tables[n, r]
-                    key = self._keys(mine, n, r)
+                    key, valid = self._keys(mine, n, r)
                     lo, hi = np.searchsorted(keys, key, "left"), np.searchsorted(keys, key, "right")
+                    hi = np.where(valid, hi, lo)
                     who = np.repeat(rows, hi - lo)
                     what = order[np.repeat(lo - (np.cumsum(hi - lo) - (hi - lo)), hi - lo) + np.arange(len(who))] if len(who) else order[:0]
                     pairs.append(np.stack([who, what], axis=1))
@@ -255,34 +300,39 @@ def _clean(index: ItemIndex, text_at: int) -> Callable:
     return run
 
 
-def indexes(benchmark: DataFrame, block_chars: int = 8_000_000, **settings) -> Iterator[ItemIndex]:
-    """The benchmark (item_id, text) in blocks of about `block_chars` characters; only one block is held at a time."""
+def indexes(benchmark: DataFrame, block_chars: int = 4_000_000, **settings) -> Iterator[tuple[ItemIndex, bool]]:
+    """The benchmark (item_id, text) in blocks of about `block_chars` characters, and whether it is one of several."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("item_id is not null and text is not null")
     blocks = 1 + (items.agg(F.sum(F.length("text"))).first()[0] or 0) // block_chars
     for k in range(blocks):
-        yield ItemIndex([tuple(r) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).orderBy("item_id", "text").collect()], **settings)
+        yield ItemIndex([tuple(r) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).orderBy("item_id", "text").collect()], **settings), blocks > 1
 
 
 def contaminated_passages(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
     """(doc_id, item_id, distance, start, words), a row for each benchmark item that a document holds.
 
     The place is the nearest to the item, of these the first: `words` words from the word
-    `start` on. Null and empty texts hold nothing; items of fewer than `min_words` words
-    are not looked for; rows that repeat give repeated results. Other columns are not read.
+    `start` on. Items of under five words allow no edit, so they are found as they stand,
+    a single word too; `min_words` leaves the shortest out if that is not wanted. Null and
+    empty texts hold nothing; rows that repeat give repeated results. Other columns are not
+    read. Of a benchmark in several blocks, what one block finds is written before the next
+    is read, so driver and tasks hold one block at a time.
     """
     prepare(docs.sparkSession)
     rows, out = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), None
-    for index in indexes(benchmark, **settings):
+    for index, several in indexes(benchmark, **settings):
         found = rows.mapInArrow(_found(index), "doc_id long, item_id long, distance long, start long, words long")
+        found = materialise(found, "leaks") if several else found
         out = found if out is None else out.union(found)
     return out
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", **settings) -> DataFrame:
-    """The rows of docs, with all columns, whose text holds no item of the benchmark."""
+    """The rows of docs, with all columns, whose text holds no item of the benchmark; blocks as in contaminated_passages."""
     prepare(docs.sparkSession)
-    for index in indexes(benchmark, **settings):
+    for index, several in indexes(benchmark, **settings):
         docs = docs.mapInArrow(_clean(index, docs.columns.index(text_col)), docs.schema)
+        docs = materialise(docs, "clean") if several else docs
     return docs
 
 

@@ -35,9 +35,13 @@ def default_tokenizer() -> str:
 def _tokenizer(path: str):
     from tokenizers import Tokenizer
 
-    out = Tokenizer.from_file(path)
-    out.encode_special_tokens = True
-    return out
+    return Tokenizer.from_file(path)
+
+
+@lru_cache(maxsize=2)
+def _added(path: str) -> tuple[str, ...]:
+    """Tokens beside the merges, such as that of the end of a text: they have their own ids wherever a text spells them."""
+    return tuple(t.content for t in _tokenizer(path).get_added_tokens_decoder().values())
 
 
 @lru_cache(maxsize=2)
@@ -60,9 +64,9 @@ def longest_run(data: bytes) -> int:
 
 
 def encode(path: str, text: str, run: int = 2000) -> np.ndarray:
-    """The ids of a whole text by the tokenizer, no special tokens. Texts with runs of over `run` bytes take the library that merges those in less than quadratic time."""
+    """The ids of a whole text by the tokenizer, none added. The ranks give the same ids, but not for texts that spell an added token, and merge runs of over `run` bytes in quadratic time; those go to the tokenizer."""
     ranks = _ranks(path)
-    if ranks is None or len(text) > run and longest_run(text.encode()) > run:
+    if ranks is None or any(t in text for t in _added(path)) or len(text) > run and longest_run(text.encode()) > run:
         return np.array(_tokenizer(path).encode(text, add_special_tokens=False).ids, "<u4")
     return np.array(ranks.encode_ordinary(text), "<u4")
 
@@ -159,17 +163,19 @@ def _packed(caps: Capacities) -> Callable:
     return run
 
 
-def pack_pieces(pieces: DataFrame, caps: Capacities | None = None, group_tokens: int = 24_000_000) -> DataFrame:
+def pack_pieces(pieces: DataFrame, caps: Capacities | None = None, group_tokens: int = 24_000_000, group_pieces: int = 200_000) -> DataFrame:
     """The pieces with sequence_id and offset: places in a sequence are gapless from 0.
 
-    Pieces are dealt by a hash of what they are to groups of about `group_tokens` tokens,
-    so one group and its waste, some sequences at most, do not grow with the corpus.
+    Pieces are dealt by a hash of what they are to groups of about `group_tokens` tokens, or
+    of `group_pieces` pieces where those are short, so one group, its time and its waste,
+    some sequences at most, do not grow with the corpus.
     Repeated rows are pieces of their own. `pieces` needs the column length, above 0, and
     is read twice: give a written table. No piece gives no sequence.
     """
     prepare(pieces.sparkSession)
     caps = caps or Capacities()
-    groups = 1 + (pieces.agg(F.sum("length")).first()[0] or 0) // group_tokens
+    held = pieces.agg(F.sum("length").alias("tokens"), F.count("*").alias("n")).first()
+    groups = 1 + max((held["tokens"] or 0) // group_tokens, held["n"] // group_pieces)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema.fields) + ", sequence_id long, offset long"
     keyed = pieces.withColumn("pack_group", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(groups)))
     return keyed.groupBy("pack_group").applyInArrow(_packed(caps), schema)

@@ -9,7 +9,6 @@ responses to a byte and to a pair of bytes, so that a window is a few lookups.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -21,10 +20,14 @@ from pyspark.sql import functions as F
 from .common import prepare, remainder
 from .sampling import labelled_sample
 
-LETTER = re.compile(r"[^\W\d_]")
 UNDETERMINED = "und"
 
 
+def has_letter(text: str) -> bool:
+    """Whether a character is of Unicode's category L; numbers such as ½ or ① are not."""
+    return any(map(str.isalpha, text))
+
+
 @dataclass
 class ByteNetwork:
     """Embedding (256 x d), for each width k filters (k * d x f) and their biases, and the softmax (all filters x languages)."""
@@ -70,7 +73,7 @@ def _windows(text: bytes, window: int, overlap: int) -> list[bytes]:
 
 def fit(sample: list[tuple[str, str]], window: int = 256, widths: tuple[int, ...] = (2, 3, 4), dim: int = 8, filters: int = 16, epochs: int = 8, per_text: int = 3, rate: float = 0.01, seed: int = 5) -> ByteNetwork | None:
     """From whole texts and their languages, windows at random places and of random lengths in each round, by Adam; None without texts."""
-    texts = [(t.encode("utf-8", "replace"), y) for t, y in sample if LETTER.search(t)]
+    texts = [(t.encode("utf-8", "replace"), y) for t, y in sample if has_letter(t)]
     languages = sorted({y for _, y in texts})
     if not languages:
         return None
@@ -143,7 +146,7 @@ class Reader:
         """(language, probability) of each whole text."""
         cut, own, size = [], [], []
         for i, text in enumerate(texts):
-            if text and LETTER.search(text):
+            if text and has_letter(text):
                 data = text.encode("utf-8", "replace")
                 parts = _windows(data, self.net.window, self.widest - 1)
                 cut += parts

@@ -17,11 +17,13 @@ BLANKS = " \t\n\x0b\x0c\r"
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where the session names none (tests on one machine) a folder below the
-    local temporary one is taken.
+    Only where the session names none and runs on one machine (tests) a folder below the
+    local temporary one is taken; on a cluster that would lose rows, so it is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = f"file://{tempfile.gettempdir()}/quillspark-{spark.sparkContext.applicationId}"
     return f"{base.rstrip('/')}/quillspark"
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import bibliographic_year, like_escape
 from ..registry import query
+from ..sources.shared import materialise
 from ..sources.tables import table
 
 #: A customer is deleted, an order unsupported or its file missing, by these residues of the key.
@@ -262,7 +263,7 @@ def ordered_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT id, root, depth FROM walk""",
 )
 def tree_depth_root(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Depth and root of each node of a tree given by parents: one join for each level, to the deepest."""
+    """Depth and root of each node of a tree given by parents."""
     r, n, s = (table(spark, sf_dir, t) for t in ("region", "nation", "supplier"))
     node = (
         r.select(F.concat(F.lit("r"), "r_regionkey").alias("id"), F.lit(None).cast("string").alias("parent"))
@@ -272,13 +273,23 @@ def tree_depth_root(spark: SparkSession, sf_dir: str) -> DataFrame:
     return depth_and_root(node)
 
 
-def depth_and_root(node: DataFrame, deepest: int = 64) -> DataFrame:
-    """(id, root, depth) of nodes (id, parent) reachable from a root; nodes on or below a cycle have no row."""
-    level = node.where("parent IS NULL").select("id", F.col("id").alias("root"), F.lit(0).cast("bigint").alias("depth"))
-    out, below = level, node.where("parent IS NOT NULL")
-    for _ in range(deepest):
-        level = below.join(level.select(F.col("id").alias("parent"), "root", (F.col("depth") + 1).alias("depth")), "parent").select("id", "root", "depth")
-        if level.isEmpty():
+def depth_and_root(node: DataFrame) -> DataFrame:
+    """(id, root, depth) of nodes (id, parent): null and the largest number for those on or below a cycle or a missing parent.
+
+    Parents are doubled: each round a node's ancestor becomes its ancestor's ancestor, so a
+    chain of n nodes takes log2 n rounds, each written to the shared folder. A node that
+    still has an ancestor after as many rounds as there can be is on or below a cycle.
+    """
+    known = node.select(F.col("id").alias("parent")).distinct().withColumn("known", F.lit(True))
+    start = node.join(known, "parent", "left")
+    lost = F.col("parent").isNotNull() & F.col("known").isNull()
+    at = materialise(start.select("id", F.when(~lost, F.col("parent")).alias("up"), F.col("id").alias("top"), lost.alias("lost"), F.lit(0).cast("bigint").alias("depth")).withColumn("top", F.coalesce("up", "top")).withColumn("depth", F.when(F.col("up").isNotNull(), 1).otherwise(0).cast("bigint")), "tree")
+    for _ in range(max(1, at.count().bit_length())):
+        if at.where("up IS NOT NULL").isEmpty():
             break
-        out = out.union(level)
-    return out
+        above = at.select(F.col("id").alias("up"), F.col("up").alias("next"), F.col("top").alias("above"), F.col("lost").alias("above_lost"), F.col("depth").alias("more"))
+        done = at.where("up IS NULL")
+        going = at.where("up IS NOT NULL").join(above, "up").select("id", F.col("next").alias("up"), F.col("above").alias("top"), F.col("above_lost").alias("lost"), (F.col("depth") + F.col("more")).alias("depth"))
+        at = materialise(done.unionByName(going), "tree")
+    bad = F.col("lost") | F.col("up").isNotNull()
+    return at.select("id", F.when(~bad, F.col("top")).alias("root"), F.when(bad, F.lit((1 << 63) - 1)).otherwise(F.col("depth")).alias("depth"))

@@ -7,9 +7,7 @@ what is left keeps the best of all. No pair of rows is formed by a join.
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable, Iterator
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import title_key, title_of
 from ..registry import query
+from ..sources.shared import materialise, prepare
 from ..sources.tables import table
 
 RRF = 60
@@ -25,13 +24,6 @@ K1, B = 1.2, 0.75
 WEIGHTS = {"title": 8.0, "abstract": 2.0}
 
 
-def prepare(spark: SparkSession) -> None:
-    """Let Python workers find this package when it is run from a checkout."""
-    root, env = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
-    if root not in env.get("PYTHONPATH", "").split(os.pathsep):
-        env["PYTHONPATH"] = os.pathsep.join(x for x in (root, env.get("PYTHONPATH", "")) if x)
-
-
 def _blocks(queries: DataFrame, id_col: str, size: int) -> Iterator[list]:
     """The queries in blocks of about `size` rows."""
     n = 1 + queries.count() // size
@@ -48,9 +40,12 @@ def _nearest(ids: list[int], vectors: np.ndarray, k: int) -> Callable:
                 continue
             key = batch.column(0).to_numpy(zero_copy_only=False)
             rows = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1)
-            near = (rows**2).sum(axis=1)[None] - 2 * vectors @ rows.T
+            size = (rows**2).sum(axis=1)
+            near = size[None] - 2 * vectors @ rows.T
+            slack = 1e-9 * (1 + size.max() + (vectors**2).sum(axis=1))  # rounding of the products
             for q, v in enumerate(vectors):
-                some = np.argpartition(near[q], k + 15)[: k + 16] if len(key) > k + 16 else np.arange(len(key))
+                # all that can be among the k nearest, ties of the last one too
+                some = np.flatnonzero(near[q] <= np.partition(near[q], k - 1)[k - 1] + slack[q]) if len(key) > k else np.arange(len(key))
                 d = np.concatenate([best[q][0], np.sqrt(((rows[some] - v) ** 2).sum(axis=1))])
                 i = np.concatenate([best[q][1], key[some]])
                 top = np.lexsort((i, np.round(d, 9)))[:k]
@@ -65,13 +60,19 @@ def _nearest(ids: list[int], vectors: np.ndarray, k: int) -> Callable:
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vector_col: str = "embedding", block: int = 1024) -> DataFrame:
-    """(query_id, key, distance, rank): the k rows of least L2 distance to each query, ties by key. Exact."""
+    """(query_id, key, distance, rank): the k rows of least L2 distance to each query, ties by key. Exact.
+
+    A query meets the vectors of its own dimension; rows whose vector is null, empty or
+    holds a null are no neighbours, and as queries have none. k is at least 1.
+    """
     prepare(vectors.sparkSession)
-    rows, out = vectors.select(F.col(id_col).cast("bigint"), F.col(vector_col).cast("array<float>")), None
-    for part in _blocks(queries.select(F.col(id_col).cast("bigint").alias(id_col), vector_col), id_col, block):
-        ids, vs = [r[0] for r in part], np.array([r[1] for r in part], np.float64)
-        found = rows.mapInArrow(_nearest(ids, vs, k), "query_id bigint, key bigint, distance double")
-        out = found if out is None else out.union(found)
+    whole = lambda df: df.select(F.col(id_col).cast("bigint").alias("id"), F.col(vector_col).cast("array<float>").alias("v")).where("id IS NOT NULL AND size(v) > 0 AND NOT exists(v, x -> x IS NULL)")
+    rows, out = whole(vectors), None
+    for part in _blocks(whole(queries), "id", block):
+        for dim in sorted({len(r[1]) for r in part}):
+            ids, vs = [r[0] for r in part if len(r[1]) == dim], np.array([r[1] for r in part if len(r[1]) == dim], np.float64)
+            found = rows.where(F.size("v") == dim).mapInArrow(_nearest(ids, vs, k), "query_id bigint, key bigint, distance double")
+            out = found if out is None else out.union(found)
     if out is None:
         out = vectors.sparkSession.createDataFrame([], "query_id bigint, key bigint, distance double")
     order = Window.partitionBy("query_id").orderBy(F.round("distance", 9), "key")
@@ -91,43 +92,49 @@ def _hits(ids: list[int], literals: list[str]) -> Callable:
             machine.make_automaton()
         for batch in batches:
             rows: list[tuple[int, int, int, int]] = []
-            for key, title, text in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
+            for key, title, text, dl in zip(*(batch.column(c).to_pylist() for c in range(4)), strict=True):
                 title, text = title or "", text or ""
                 found = {literal for value in (title, text) for _, literal in machine.iter(value)} if same else set()
-                rows += [(i, key, title.count(literal), text.count(literal)) for literal in found for i in same[literal]]
-            yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], pa.int64()) for c in range(4)], names=["query_id", "key", "title_hits", "abstract_hits"])
+                rows += [(i, key, title.count(literal), text.count(literal), dl) for literal in found for i in same[literal]]
+            arrays = [*(pa.array([r[c] for r in rows], pa.int64()) for c in range(4)), pa.array([r[4] for r in rows], pa.float64())]
+            yield pa.RecordBatch.from_arrays(arrays, names=["query_id", "key", "title_hits", "abstract_hits", "dl"])
 
     return run
 
 
 def keyword_hits(items: DataFrame, queries: DataFrame, block: int = 4096) -> DataFrame:
-    """(query_id, key, title_hits, abstract_hits): occurrences, none overlapping, of each literal (query_id, literal) in items (key, title, abstract), case folded.
+    """(query_id, key, title_hits, abstract_hits, dl): occurrences, none overlapping, of each literal (query_id, literal) in items (key, title, abstract, dl), case folded.
 
     One pass over the texts for each block of literals, all of them looked for at once.
     """
     prepare(items.sparkSession)
-    rows, out = items.select("key", F.lower("title").alias("title"), F.lower("abstract").alias("abstract")), None
+    dl = F.col("dl") if "dl" in items.columns else F.lit(0.0)
+    rows, out = items.select("key", F.lower("title").alias("title"), F.lower("abstract").alias("abstract"), dl.cast("double").alias("dl")), None
     for part in _blocks(queries.select("query_id", F.lower("literal").alias("literal")).where("literal <> ''"), "query_id", block):
-        found = rows.mapInArrow(_hits([r[0] for r in part], [r[1] for r in part]), "query_id bigint, key bigint, title_hits bigint, abstract_hits bigint")
+        found = rows.mapInArrow(_hits([r[0] for r in part], [r[1] for r in part]), "query_id bigint, key bigint, title_hits bigint, abstract_hits bigint, dl double")
         out = found if out is None else out.union(found)
-    return out if out is not None else items.sparkSession.createDataFrame([], "query_id bigint, key bigint, title_hits bigint, abstract_hits bigint")
+    return out if out is not None else items.sparkSession.createDataFrame([], "query_id bigint, key bigint, title_hits bigint, abstract_hits bigint, dl double")
 
 
-def bm25(items: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+def bm25(items: DataFrame, queries: DataFrame, k: int, among: str | None = None) -> DataFrame:
     """(query_id, key, score, rank) of the k best items for each literal; a smaller score is better, ties by key.
 
-    Lengths are in trigrams; the weights of the fields multiply their hits.
+    Lengths are in trigrams; the weights of the fields multiply their hits. `among` is a
+    condition on items for those that are ranked; the number of items and their mean length
+    are of all. The hits of a literal are counted by a grouped sum and cut to the best
+    before they meet, so a literal that is everywhere is no hot group.
     """
     length = (F.greatest(F.length("title") - 2, F.lit(0)) + F.greatest(F.length("abstract") - 2, F.lit(0))).cast("double")
-    sized = items.select("key", length.alias("dl"))
-    whole = sized.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")).first()
-    hits = keyword_hits(items, queries).join(sized, "key")
-    hits = hits.withColumn("df", F.count("*").over(Window.partitionBy("query_id")).cast("double"))
+    whole = items.agg(F.count("*").alias("n"), F.avg(length).alias("avgdl")).first()
+    some = items.where(among) if among else items
+    hits = materialise(keyword_hits(some.withColumn("dl", length), queries), "hits")
+    df = hits.groupBy("query_id").agg(F.count("*").cast("double").alias("df"))
     n, f = F.lit(float(whole["n"])), F.col("title_hits") * WEIGHTS["title"] + F.col("abstract_hits") * WEIGHTS["abstract"]
     idf = F.greatest(F.log((n - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
     score = -idf * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("dl") / F.lit(whole["avgdl"] or 1.0)))
     order = Window.partitionBy("query_id").orderBy(F.round("score", 9), "key")
-    return hits.select("query_id", "key", score.alias("score")).withColumn("rank", F.row_number().over(order).cast("bigint")).where(F.col("rank") <= k)
+    ranked = hits.join(df, "query_id").select("query_id", "key", score.alias("score"))
+    return ranked.withColumn("rank", F.row_number().over(order).cast("bigint")).where(F.col("rank") <= k)
 
 
 def fuse(vector: DataFrame, keyword: DataFrame, k: int) -> DataFrame:
@@ -216,24 +223,10 @@ def hybrid_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     items, e = items_of(spark, sf_dir), table(spark, sf_dir, "embeddings")
     allowed = items.where("tag = 'en'").select("key")
     vector = nearest(e.join(allowed, F.col("vec_id") == F.col("key"), "left_semi"), e.where("vec_id % 50 = 0"), 50)
-    length = items.withColumn("tagged", F.col("tag") == "en")
-    ranked = _bm25_within(length, literals_of(spark, sf_dir), 50)
+    ranked = bm25(items, literals_of(spark, sf_dir), 50, among="tag = 'en'")
     return fuse(vector, ranked, 10).select("query_id", "key", F.round("rrf", 9).alias("rrf"), "rank")
 
 
-def _bm25_within(items: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """BM25 among the items marked as tagged; the mean length and the number of items are of all."""
-    length = (F.greatest(F.length("title") - 2, F.lit(0)) + F.greatest(F.length("abstract") - 2, F.lit(0))).cast("double")
-    whole = items.agg(F.count("*").alias("n"), F.avg(length).alias("avgdl")).first()
-    some = items.where("tagged")
-    hits = keyword_hits(some, queries).join(some.select("key", length.alias("dl")), "key").withColumn("df", F.count("*").over(Window.partitionBy("query_id")).cast("double"))
-    f = F.col("title_hits") * WEIGHTS["title"] + F.col("abstract_hits") * WEIGHTS["abstract"]
-    idf = F.greatest(F.log((F.lit(float(whole["n"])) - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
-    score = -idf * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("dl") / F.lit(whole["avgdl"] or 1.0)))
-    order = Window.partitionBy("query_id").orderBy(F.round("score", 9), "key")
-    return hits.select("query_id", "key", score.alias("score")).withColumn("rank", F.row_number().over(order).cast("bigint")).where(F.col("rank") <= k)
-
-
 @query(
     "parent_best_distance",
     f"""WITH {_VEC} SELECT query_id, parent, round(min(distance), 6) AS distance, arg_min(key, (round(distance, 9), key)) AS best_key

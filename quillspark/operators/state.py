@@ -37,10 +37,10 @@ def sync_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def merge(old: DataFrame, new: DataFrame, keys: list[str], kept: tuple[str, ...] = (), filled: tuple[str, ...] = ()) -> DataFrame:
-    """Upsert by keys: new rows win; of columns in `kept` the old value stays, in `filled` a null doesn't overwrite."""
-    a, b = old.alias("a"), new.alias("b")
+    """Upsert by keys, null being a key like any other: new rows win; of columns in `kept` the old value stays, in `filled` a null doesn't overwrite."""
+    a, b = old.withColumn("_there", F.lit(True)).alias("a"), new.withColumn("_there", F.lit(True)).alias("b")
     both = a.join(b, [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys], "full")
-    there, came = (F.col(f"{x}.{keys[0]}").isNotNull() for x in "ab")
+    there, came = (F.col(f"{x}._there").isNotNull() for x in "ab")
 
     def value(c: str):
         o, n = F.col(f"a.{c}"), F.col(f"b.{c}")

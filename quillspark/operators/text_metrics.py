@@ -39,25 +39,44 @@ def chunk_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "fulltext_context",
-    f"""WITH {_CHUNKS} SELECT doc_id, chunk_idx, md5(lag(chunk_text) OVER w) AS before_md5, md5(lead(chunk_text) OVER w) AS after_md5
-    FROM chunks WHERE doc_id % 50 = 0 WINDOW w AS (PARTITION BY doc_id ORDER BY chunk_idx)""",
+    f"""WITH {_CHUNKS}, literals AS (SELECT * FROM (SELECT doc_id AS query_id, array_to_string(string_split(lower(split_part(text, chr(10), 1)), ' ')[1:2], ' ') AS literal FROM documents WHERE doc_id % 50 = 0) WHERE length(literal) >= 3),
+    near AS (SELECT *, lag(chunk_text) OVER w AS before, lead(chunk_text) OVER w AS after FROM chunks WINDOW w AS (PARTITION BY doc_id ORDER BY chunk_idx)),
+    hit AS (SELECT l.query_id, c.*, (length(lower(chunk_text)) - length(replace(lower(chunk_text), literal, ''))) // length(literal) AS hits FROM near c, literals l WHERE contains(lower(chunk_text), literal)),
+    best AS (SELECT *, row_number() OVER (PARTITION BY query_id, doc_id ORDER BY hits DESC, chunk_idx) AS b FROM hit),
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY hits DESC, doc_id) AS rank FROM best WHERE b = 1)
+    SELECT query_id, doc_id, chunk_idx, hits, md5(before) AS before_md5, md5(after) AS after_md5, rank FROM ranked WHERE rank <= 10""",
 )
 def fulltext_context(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The chunk before and after each chunk of the searched documents, by place in the array: no shuffle."""
-    d = documents(spark, sf_dir).where("doc_id % 50 = 0").select("doc_id", chunk_text(F.col("text"), 400, 30, "\n").alias("c"))
-    hit = d.select("doc_id", "c", F.explode(F.sequence(F.lit(0), F.size("c") - 1)).alias("i")).where("size(c) > 0")
-    near = lambda k: F.md5(F.when((F.col("i") + k) >= 0, F.get("c", F.col("i") + k)))
-    return hit.select("doc_id", F.col("i").cast("bigint").alias("chunk_idx"), near(-1).alias("before_md5"), near(1).alias("after_md5"))
+    """For the literal of each document whose id is divisible by 50: the best chunk of each parent among all chunks, ten parents, each with the chunk before and after."""
+    from pyspark.sql import Window
+
+    from .retrieval import keyword_hits, literals_of
+
+    c = chunks_of(documents(spark, sf_dir))
+    # at most 10^6 chunks a document: one number stands for both
+    keyed = c.select((F.col("doc_id") * 1_000_000 + F.col("chunk_idx")).alias("key"), F.lit("").alias("title"), F.col("chunk_text").alias("abstract"))
+    found = keyword_hits(keyed, literals_of(spark, sf_dir)).select("query_id", F.floor(F.col("key") / 1_000_000).cast("bigint").alias("doc_id"), (F.col("key") % 1_000_000).alias("chunk_idx"), F.col("abstract_hits").alias("hits"))
+    best = found.groupBy("query_id", "doc_id").agg(F.max_by("chunk_idx", F.struct("hits", -F.col("chunk_idx"))).alias("chunk_idx"), F.max("hits").alias("hits"))
+    top = best.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("hits"), "doc_id")).cast("bigint")).where("rank <= 10")
+    d = documents(spark, sf_dir).join(top.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", chunk_text(F.col("text"), 400, 30, "\n").alias("c"))
+    near = lambda k: F.md5(F.when(F.col("chunk_idx") + k >= 0, F.get("c", (F.col("chunk_idx") + k).cast("int"))))
+    return top.join(d, "doc_id").select("query_id", "doc_id", "chunk_idx", "hits", near(-1).alias("before_md5"), near(1).alias("after_md5"), "rank")
 
 
 @query(
     "passages",
-    f"WITH {_CHUNKS} SELECT doc_id, chunk_idx, substr(chunk_text, greatest(strpos(chunk_text, 'tion') - 40, 1), 84) AS snippet FROM chunks WHERE contains(chunk_text, 'tion') AND doc_id % 50 = 0",
+    f"WITH {_CHUNKS} SELECT doc_id, chunk_idx, substr(chunk_text, greatest(strpos(chunk_text, 'tion') - 40, 1), 84) AS snippet FROM chunks WHERE contains(chunk_text, 'tion')",
 )
 def passages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Chunks that hold a literal, with the text around its first place."""
-    c = chunks_of(documents(spark, sf_dir).where("doc_id % 50 = 0")).where(F.contains("chunk_text", F.lit("tion")))
-    return c.select("doc_id", "chunk_idx", F.substring("chunk_text", F.greatest(F.instr("chunk_text", "tion") - 40, F.lit(1)), F.lit(84)).alias("snippet"))
+    """All chunks that hold a literal, with the text around its first place."""
+    return passages_of(documents(spark, sf_dir), "tion")
+
+
+def passages_of(docs: DataFrame, literal: str, around: int = 40) -> DataFrame:
+    """(doc_id, chunk_idx, snippet) of the chunks of docs that hold a literal."""
+    c = chunks_of(docs).where(F.contains("chunk_text", F.lit(literal)))
+    at = F.greatest(F.instr("chunk_text", literal) - around, F.lit(1))
+    return c.select("doc_id", "chunk_idx", F.substring("chunk_text", at, F.lit(len(literal) + 2 * around)).alias("snippet"))
 
 
 @query(
@@ -162,11 +181,25 @@ def knowledge_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("topology_edges", "SELECT source AS book, doc_id AS section, next AS following FROM (SELECT source, doc_id, lead(doc_id) OVER (PARTITION BY source ORDER BY doc_id) AS next FROM documents) WHERE next IS NOT NULL")
 def topology_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Edges from each section to the next of its book."""
+    """Edges from each section to the next of its book, repeated ids in a row too."""
+    d = documents(spark, sf_dir).select("source", "doc_id")
+    return next_in_group(d, "source", "doc_id").where("following IS NOT NULL").select(F.col("source").alias("book"), F.col("doc_id").alias("section"), "following")
+
+
+def next_in_group(rows: DataFrame, group: str, order: str, span: int = 65_536) -> DataFrame:
+    """rows (group, order) with `following`, the next of the group; `order` is a whole number.
+
+    A group is cut into spans of the order, so one that holds a third of all rows is not one
+    task; of each span only the first member, for the last of the span before, meets the group.
+    """
     from pyspark.sql import Window
 
-    d = documents(spark, sf_dir).select("source", "doc_id")
-    return d.select(F.col("source").alias("book"), F.col("doc_id").alias("section"), F.lead("doc_id").over(Window.partitionBy("source").orderBy("doc_id")).alias("following")).where("following IS NOT NULL")
+    cut = rows.select(group, order, F.floor(F.col(order) / span).alias("_span"))
+    within = F.lead(order).over(Window.partitionBy(group, "_span").orderBy(order))
+    firsts = cut.groupBy(group, "_span").agg(F.min(order).alias("_first"))
+    firsts = firsts.select(F.col(group).alias("_group"), F.col("_span").alias("_of"), F.lead("_first").over(Window.partitionBy(group).orderBy("_span")).alias("_next"))
+    out = cut.withColumn("following", within)
+    return out.join(firsts, F.col(group).eqNullSafe(F.col("_group")) & F.col("_span").eqNullSafe(F.col("_of")), "left").select(group, order, F.coalesce("following", "_next").alias("following"))
 
 
 @query(

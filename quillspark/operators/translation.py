@@ -6,10 +6,13 @@ targets.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..registry import query
+from ..sources.shared import prepare
 from ..sources.tables import table
 
 #: Terms of the glossary that the checks below use, with their variants.
@@ -72,13 +75,13 @@ def fake_translate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "neighbour_context",
-    "SELECT conv_id, turn, md5(lag(text) OVER w) AS before_md5, md5(lead(text) OVER w) AS after_md5, array_to_string(string_split(lag(text) OVER w, ' ')[-5:], ' ') AS tail FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)",
+    "SELECT conv_id, turn, md5(lag(text) OVER w) AS before_md5, md5(lead(text) OVER w) AS after_md5, array_to_string(string_split(lag(text) OVER w, ' ')[-25:], ' ') AS tail FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)",
 )
 def neighbour_context(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The unit before and after each, and the last five words of the one before."""
+    """The unit before and after each, and the last 25 words of the one before."""
     w = Window.partitionBy("conv_id").orderBy("turn")
     before = F.lag("text").over(w)
-    return turns(spark, sf_dir).select("conv_id", "turn", F.md5(before).alias("before_md5"), F.md5(F.lead("text").over(w)).alias("after_md5"), F.substring_index(before, " ", -5).alias("tail"))
+    return turns(spark, sf_dir).select("conv_id", "turn", F.md5(before).alias("before_md5"), F.md5(F.lead("text").over(w)).alias("after_md5"), F.substring_index(before, " ", -25).alias("tail"))
 
 
 @query(
@@ -92,21 +95,79 @@ def checkpoint_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return n.select("conv_id", F.when(F.col("bad").isNull(), F.size("t")).otherwise(F.size(F.filter("t", lambda x: x < F.col("bad")))).cast("bigint").alias("done"), F.size("t").cast("bigint").alias("total"))
 
 
+GRAM = 160
+
+
 @query(
     "ngram_copy",
-    """WITH b AS (SELECT item_id, text AS passage FROM benchmark), s AS (SELECT item_id, substr(passage, 1, 40) AS gram FROM b)
-    SELECT DISTINCT d.doc_id, s.item_id FROM documents d JOIN s ON contains(d.text, s.gram)""",
+    """WITH g AS (SELECT DISTINCT item_id, substr(text, i::BIGINT, 160) AS gram FROM (SELECT item_id, text, unnest(range(1, length(text) - 158)) AS i FROM benchmark WHERE length(text) >= 160))
+    SELECT DISTINCT d.doc_id, g.item_id FROM (SELECT doc_id, substr(text, i::BIGINT, 160) AS gram FROM (SELECT doc_id, text, unnest(range(1, length(text) - 158)) AS i FROM documents WHERE length(text) >= 160)) d JOIN g USING (gram)""",
 )
 def ngram_copy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents that hold the first 40 characters of a reference text, all of these looked for at once."""
+    """Documents that share a span of 160 characters with a reference text."""
+    return copied_spans(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def copied_spans(docs: DataFrame, references: DataFrame, size: int = GRAM, stride: int = 40) -> DataFrame:
+    """(doc_id, item_id): all pairs of docs (doc_id, text) and references (item_id, text) with a common run of `size` characters.
+
+    A run of 160 characters of a text holds one of its spans of 121 that start at a multiple
+    of 40, whatever the run's own start: those spans of the references are looked for, all
+    at once, in whole texts, and pairs that hold one are then compared gram by gram. The
+    references are the smaller side and go to the tasks in blocks.
+    """
     from .retrieval import keyword_hits
 
-    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("key"), F.lit("").alias("title"), F.col("text").alias("abstract"))
-    grams = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.substring("text", 1, 40).alias("literal"))
-    exact = d.select("key", "abstract")
-    found = keyword_hits(d, grams).select("query_id", "key")
-    out = found.join(exact, "key").join(grams, "query_id").where(F.contains("abstract", F.col("literal")))
-    return out.select(F.col("key").alias("doc_id"), F.col("query_id").alias("item_id")).distinct()
+    short = size - stride + 1
+    spans = F.filter(F.transform(F.sequence(F.lit(0), F.greatest(F.length("text") - short, F.lit(0)), F.lit(stride)), lambda i: F.substring("text", i + 1, F.lit(short))), lambda g: F.length(g) == short)
+    grams = references.where(F.length("text") >= size).select(F.col("item_id").alias("query_id"), F.explode(spans).alias("literal"))
+    d = docs.where(F.length("text") >= size)
+    found = keyword_hits(d.select(F.col("doc_id").alias("key"), F.lit("").alias("title"), F.col("text").alias("abstract")), grams).select("query_id", "key").distinct()
+    every = lambda c: F.transform(F.sequence(F.lit(1), F.length(c) - size + 1), lambda i: F.substring(c, i, F.lit(size)))
+    pairs = found.join(d.select(F.col("doc_id").alias("key"), F.col("text").alias("a")), "key").join(references.select(F.col("item_id").alias("query_id"), F.col("text").alias("b")), "query_id")
+    return pairs.where(F.exists(every("b"), lambda g: F.contains("a", g))).select(F.col("key").alias("doc_id"), F.col("query_id").alias("item_id")).distinct()
+
+
+@query(
+    "repetition_grams",
+    """WITH g AS (SELECT doc_id, i::BIGINT AS pos, md5(substr(text, i::BIGINT, 16)) AS gram FROM (SELECT doc_id, text, unnest(range(1, length(text) - 14)) AS i FROM documents WHERE length(text) >= 16)),
+    p AS (SELECT *, lag(pos) OVER (PARTITION BY doc_id, gram ORDER BY pos) AS before FROM g)
+    SELECT doc_id, count(*) AS repeats, min(before) AS first_pos, count(DISTINCT round(before / 0.03 / n)) AS regions FROM p JOIN (SELECT doc_id, length(text)::DOUBLE AS n FROM documents) USING (doc_id) WHERE pos - before BETWEEN 16 AND 600 GROUP BY doc_id""",
+)
+def repetition_grams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """16-grams that come again within 600 characters, not overlapping: how many, the first, and in how many regions of 3% of the text."""
+    prepare(spark)
+    d = table(spark, sf_dir, "documents").where(F.length("text") >= 16)
+    return d.select("doc_id", repeated_grams(F.col("text")).alias("r")).where("r.repeats > 0").select("doc_id", "r.*")
+
+
+def _repeated(text: str, size: int, least: int, most: int) -> tuple[int, int | None, int]:
+    code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    n = len(code) - size + 1
+    if n < 1:
+        return 0, None, 0
+    value = np.zeros(n, np.uint64)
+    for k in range(size):
+        value = value * np.uint64(0x100000001B3) ^ code[k : k + n] * np.uint64(0x9E3779B97F4A7C15)
+    order = np.argsort(value, kind="stable")
+    here, before = order[1:], order[:-1]
+    near = (value[here] == value[before]) & (here - before >= least) & (here - before <= most)
+    here, before = here[near], before[near]
+    for k in range(size):
+        same = code[here + k] == code[before + k]
+        here, before = here[same], before[same]
+    regions = np.unique(np.floor((before + 1) / 0.03 / len(code) + 0.5))
+    return len(here), int(before.min() + 1) if len(before) else None, len(regions)
+
+
+def repeated_grams(text: Column, size: int = 16, least: int = 16, most: int = 600) -> Column:
+    """struct(repeats, first_pos, regions) of a whole text: grams are sorted by a hash, so equal ones stand side by side, and then compared."""
+
+    @F.pandas_udf("repeats bigint, first_pos bigint, regions bigint")
+    def found(texts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([_repeated(t or "", size, least, most) for t in texts], columns=["repeats", "first_pos", "regions"]).astype({"first_pos": "Int64"})
+
+    return found(text)
 
 
 @query("repetition_profile")
@@ -118,15 +179,21 @@ def repetition_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "boundary_overlap",
-    """WITH n AS (SELECT conv_id, turn, right(lag(text) OVER w, 60) AS a, left(text, 60) AS b FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn))
-    SELECT conv_id, turn, coalesce(list_max(list_filter(range(1, 61), lambda k: k <= least(length(a), length(b)) AND right(a, k) = left(b, k))), 0)::BIGINT AS overlap FROM n WHERE a IS NOT NULL""",
+    """WITH n AS (SELECT conv_id, turn, right(lag(text) OVER w, 800) AS a, left(text, 800) AS b FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn))
+    SELECT conv_id, turn, coalesce(list_max(list_filter(range(1, 801), lambda k: k <= least(length(a), length(b)) AND right(a, k) = left(b, k))), 0)::BIGINT AS overlap FROM n WHERE a IS NOT NULL""",
 )
 def boundary_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The longest end of a unit that the next one starts with, up to 60 characters."""
+    """The longest end of a unit that the next one starts with, up to 800 characters."""
     w = Window.partitionBy("conv_id").orderBy("turn")
-    n = turns(spark, sf_dir).select("conv_id", "turn", F.right(F.lag("text").over(w), F.lit(60)).alias("a"), F.left("text", F.lit(60)).alias("b")).where("a IS NOT NULL")
-    same = F.filter(F.sequence(F.lit(1), F.lit(60)), lambda k: (k <= F.least(F.length("a"), F.length("b"))) & (F.right("a", k) == F.left("b", k)))
-    return n.select("conv_id", "turn", F.coalesce(F.array_max(same), F.lit(0)).cast("bigint").alias("overlap"))
+    n = turns(spark, sf_dir).select("conv_id", "turn", F.lag("text").over(w).alias("a"), F.col("text").alias("b")).where("a IS NOT NULL")
+    return n.select("conv_id", "turn", overlap(F.col("a"), F.col("b")).alias("overlap"))
+
+
+def overlap(a: Column, b: Column, most: int = 800) -> Column:
+    """The longest end of a, up to `most` characters, that b starts with."""
+    a, b = F.right(a, F.lit(most)), F.left(b, F.lit(most))
+    same = F.filter(F.sequence(F.lit(1), F.lit(most)), lambda k: (k <= F.least(F.length(a), F.length(b))) & (F.right(a, k) == F.left(b, k)))
+    return F.coalesce(F.array_max(same), F.lit(0)).cast("bigint")
 
 
 @query(

@@ -63,12 +63,12 @@ def package_audit_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "scalar_text_pack",
-    r"""SELECT doc_id, replace(replace(replace(left(text, 80), '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS escaped, CASE WHEN regexp_matches(text, '^([#>*+-]|[0-9]+[.)])') THEN TRUE ELSE FALSE END AS structural, 'doc-' || left(sha256(text), 24) AS data_id,
+    r"""SELECT doc_id, md5(replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#x27;')) AS escaped_md5, CASE WHEN regexp_matches(text, '^([#>*+-]|[0-9]+[.)])') THEN TRUE ELSE FALSE END AS structural, 'doc-' || left(sha256(text), 24) AS data_id,
     CASE WHEN regexp_matches(text, '(1[5-9][0-9]{2}|2[01][0-9]{2})') THEN regexp_extract(text, '(1[5-9][0-9]{2}|2[01][0-9]{2})', 1) ELSE 'unknown' END AS year FROM documents""",
 )
 def scalar_text_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Escapes, structural starts, content ids and years."""
-    c, out = F.col("text"), F.left("text", F.lit(80))
-    for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
+    c, out = F.col("text"), F.col("text")
+    for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;")):
         out = F.replace(out, F.lit(a), F.lit(b))
-    return table(spark, sf_dir, "documents").select("doc_id", out.alias("escaped"), c.rlike(r"^([#>*+-]|[0-9]+[.)])").alias("structural"), F.concat(F.lit("doc-"), F.left(F.sha2(c, 256), F.lit(24))).alias("data_id"), T.attachment_year(c).alias("year"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(out).alias("escaped_md5"), c.rlike(r"^([#>*+-]|[0-9]+[.)])").alias("structural"), F.concat(F.lit("doc-"), F.left(F.sha2(c, 256), F.lit(24))).alias("data_id"), T.attachment_year(c).alias("year"))

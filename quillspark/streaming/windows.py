@@ -7,22 +7,16 @@ the same queries go on.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..registry import query
+from ..sources.shared import shared_dir
 from ..sources.tables import table
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """Below spark.checkpoint.dir; a local folder only where the session names none."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/quillspark-{spark.sparkContext.applicationId}"
-    return f"{base.rstrip('/')}/quillspark"
-
-
 def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as a stream of files, event time in `ts`, late by ten minutes at most."""
     schema = table(spark, sf_dir, "events").schema
@@ -30,16 +24,24 @@ def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", "10 minutes")
 
 
-def run_to_end(stream: DataFrame, mode: str) -> DataFrame:
-    """What a stream gives over all that is there: `complete` results replace each other, `append` ones add up."""
+def run_to_end(stream: DataFrame, mode: str, keys: tuple[str, ...] = ()) -> DataFrame:
+    """What a stream gives over all that is there.
+
+    In `append` mode rows are final: a window is written once the watermark has passed it.
+    In `update` mode each batch writes the rows that it changed, in a folder of its own, so
+    that a batch that runs again replaces what it wrote; of the rows of a key the newest
+    batch's counts. In both the watermark lets go of state.
+    """
     spark, at = stream.sparkSession, f"{shared_dir(stream.sparkSession)}/stream-{uuid.uuid4().hex}"
     writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{at}/state").trigger(availableNow=True)
-    if mode == "complete":
-        writer = writer.foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(f"{at}/out"))
-    else:
-        writer = writer.format("parquet").option("path", f"{at}/out")
-    writer.start().awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{at}/out")
+    if mode == "append":
+        writer.format("parquet").option("path", f"{at}/out").start().awaitTermination()
+        return spark.read.schema(stream.schema).parquet(f"{at}/out")
+    writer.foreachBatch(lambda df, batch: df.write.mode("overwrite").parquet(f"{at}/out/batch={batch}")).start().awaitTermination()
+    rows = spark.read.schema(f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in stream.schema.fields)}, batch bigint").parquet(f"{at}/out")
+    values = [c for c in stream.columns if c not in keys]
+    newest = F.max_by(F.struct(*values), F.col("batch")).alias("_v")
+    return rows.groupBy(*keys).agg(newest).select(*keys, *(F.col(f"_v.{c}").alias(c) for c in values))
 
 
 @query(
@@ -49,7 +51,7 @@ def run_to_end(stream: DataFrame, mode: str) -> DataFrame:
 def stream_tumbling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts and sums of events by hour and type."""
     g = event_stream(spark, sf_dir).groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
-    return run_to_end(g, "complete").select(F.col("w.start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
+    return run_to_end(g, "update", ("w", "event_type")).select(F.col("w.start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
 @query(
@@ -59,19 +61,19 @@ def stream_tumbling(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_sliding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts of events in windows of six hours that start each three."""
     g = event_stream(spark, sf_dir).groupBy(F.window("ts", "6 hours", "3 hours").alias("w")).agg(F.count("*").alias("n"))
-    return run_to_end(g, "complete").select(F.col("w.start").cast("timestamp_ntz").alias("start"), "n")
+    return run_to_end(g, "update", ("w",)).select(F.col("w.start").cast("timestamp_ntz").alias("start"), "n")
 
 
 @query(
     "stream_sessions",
     """WITH b AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL 4 HOUR THEN 0 ELSE 1 END AS begins FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
     s AS (SELECT *, sum(begins) OVER (PARTITION BY user_id ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS session FROM b)
-    SELECT user_id, min(ts) AS start, count(*) AS n FROM s GROUP BY user_id, session""",
+    SELECT user_id, min(ts) AS start, count(*) AS n FROM s GROUP BY user_id, session HAVING max(ts) + INTERVAL 4 HOUR <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM events)""",
 )
 def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sessions of users, which end after four hours without an event."""
+    """Sessions of users, which end after four hours without an event; those that the watermark, ten minutes behind the newest event, has passed."""
     g = event_stream(spark, sf_dir).groupBy(F.session_window("ts", "4 hours").alias("w"), "user_id").agg(F.count("*").alias("n"))
-    return run_to_end(g, "complete").select("user_id", F.col("w.start").cast("timestamp_ntz").alias("start"), "n")
+    return run_to_end(g, "append").select("user_id", F.col("w.start").cast("timestamp_ntz").alias("start"), "n")
 
 
 @query("stream_dedupe", "SELECT DISTINCT event_id FROM events")
@@ -84,7 +86,7 @@ def stream_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_latest_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The newest state of each job, kept up to date."""
     g = event_stream(spark, sf_dir).groupBy("user_id").agg(F.max_by("event_type", F.struct("ts", "event_id")).alias("state"), F.count("*").alias("n"))
-    return run_to_end(g, "complete")
+    return run_to_end(g, "update", ("user_id",))
 
 
 @query("approximate_counts")

@@ -62,7 +62,8 @@ def test_text_functions(spark):
 
 def test_trees(spark):
     nodes = spark.createDataFrame([("a", None), ("b", "a"), ("c", "b"), ("x", "y"), ("y", "x"), ("z", "gone")], "id string, parent string")
-    assert sorted(map(tuple, depth_and_root(nodes).collect())) == [("a", "a", 0), ("b", "a", 1), ("c", "a", 2)]
+    most = (1 << 63) - 1  # nodes on or below a cycle or a missing parent have a row too
+    assert sorted(map(tuple, depth_and_root(nodes).collect()), key=str) == [("a", "a", 0), ("b", "a", 1), ("c", "a", 2), ("x", None, most), ("y", None, most), ("z", None, most)]
     heads = spark.createDataFrame([(1, i, v) for i, v in enumerate([1, 2, 4, 3, 2, 1, 3])], "doc_id long, line_no long, level long")
     assert [r["parent_line"] for r in parents(heads).orderBy("line_no").collect()] == [None, 0, 1, 1, 0, None, 5]
 
@@ -123,3 +124,54 @@ def test_keyword_and_fusion(spark):
     fused = fuse(vector, got, 3).orderBy("rank").collect()
     assert [r["key"] for r in fused] == [1, 3, 2]
     assert fused[0]["rrf"] == pytest.approx(1 / 62 + 1 / 61)
+
+
+# --- retrieval, merges, trees, copies ---------------------------------------
+
+
+def test_nearest_with_ties_nulls_and_ragged_vectors(spark):
+    from quillspark.operators.retrieval import nearest
+
+    rows = [(k, [1.0, 2.0]) for k in range(500)] + [(600, None), (601, [1.0, None]), (602, [1.0, 2.0, 3.0]), (603, []), (None, [1.0, 2.0]), (604, [0.0, 0.0])]
+    v = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>").repartition(3)
+    out = nearest(v, v.where("vec_id IN (7, 600, 602, 604)"), 5).collect()
+    of = lambda q: sorted((r["rank"], r["key"]) for r in out if r["query_id"] == q)
+    assert of(7) == [(k + 1, k) for k in range(5)] and of(600) == [] and of(602) == [(1, 602)]
+    assert of(604) == [(1, 604)] + [(k + 2, k) for k in range(4)]
+
+
+def test_merge_keeps_rows_with_a_null_key(spark):
+    from quillspark.operators.state import merge
+
+    old = spark.createDataFrame([(None, "a"), (1, "c")], "k int, v string")
+    new = spark.createDataFrame([(None, "b"), (2, None)], "k int, v string")
+    assert sorted(merge(old, new, ["k"]).collect(), key=str) == sorted([(1, "c"), (2, None), (None, "b")], key=str)
+    assert merge(old.where("false"), new, ["k"]).where("k IS NULL").first()["v"] == "b"
+    assert merge(old, new, ["k"], kept=("v",)).where("k IS NULL").first()["v"] == "a"
+
+
+def test_depth_of_long_chains_cycles_and_orphans(spark):
+    from quillspark.operators.library import depth_and_root
+
+    rows = [("n0", None)] + [(f"n{k}", f"n{k - 1}") for k in range(1, 300)] + [("a", "b"), ("b", "c"), ("c", "a"), ("below", "a"), ("orphan", "gone"), ("child", "orphan")]
+    out = {r["id"]: (r["root"], r["depth"]) for r in depth_and_root(spark.createDataFrame(rows, "id string, parent string")).collect()}
+    assert all(out[f"n{k}"] == ("n0", k) for k in range(300))
+    assert all(out[x] == (None, (1 << 63) - 1) for x in ("a", "b", "c", "below", "orphan", "child"))
+
+
+def test_copied_spans_wherever_they_are(spark):
+    from quillspark.operators.translation import copied_spans
+
+    passage = " ".join(f"word{k}" for k in range(100))
+    docs = {1: "x" * 33 + passage[217 : 217 + 160] + "y" * 50, 2: passage[217 : 217 + 159] + "#" + passage[377:400], 3: passage[:40], 4: None, 5: passage[300:500]}
+    d = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    b = spark.createDataFrame([(9, passage), (10, "short"), (11, None)], "item_id long, text string")
+    assert sorted(map(tuple, copied_spans(d, b).collect())) == [(1, 9), (5, 9)]
+
+
+def test_next_in_a_group_that_is_cut(spark):
+    from quillspark.operators.text_metrics import next_in_group
+
+    rows = spark.createDataFrame([("a", k) for k in (0, 3, 4, 9, 25, 26)] + [("b", 7), (None, 1), (None, 30)], "source string, doc_id long")
+    out = sorted(map(str, (tuple(r) for r in next_in_group(rows, "source", "doc_id", span=5).where("following IS NOT NULL").collect())))
+    assert out == sorted(map(str, [("a", 0, 3), ("a", 3, 4), ("a", 4, 9), ("a", 9, 25), ("a", 25, 26), (None, 1, 30)]))

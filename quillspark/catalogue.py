@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .operators import library, retrieval, state, structure, text_metrics, translation  # noqa: F401
+from .operators import library, pages, retrieval, state, structure, text_metrics, translation  # noqa: F401
 from .plans import packs  # noqa: F401
 from .streaming import windows  # noqa: F401
 

@@ -1,8 +1,10 @@
 """Lines, pages, sections and notes: order-dependent work as windows over (document, line).
 
-Lines of documents are the lines of text; a line that starts with a capital and has under
-eight words stands for a heading, its level being its number of words capped at four.
-Conversations are paged documents: a turn is a page.
+The documents at hand are prose, so they are seated on Markdown first: sentences become
+lines, and by its number a line becomes a heading, an anchor of a page, a row of a table,
+part of a fence, a comment, a code span, a note or a reference to one. The rules that are
+applied to those lines are the real ones. Conversations are paged documents elsewhere: a
+turn is a page.
 """
 
 from __future__ import annotations
@@ -10,70 +12,126 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import alnum_key
+from ..functions import markdown as M
 from ..registry import query
+from ..sources.shared import prepare
 from ..sources.tables import table
 
+#: What a line x of a document becomes by its number {i}: the same words in both dialects.
+_AS_MARKDOWN = """CASE ({i} + doc_id) % 30
+ WHEN 1 THEN '# ' || left(x, 24) WHEN 2 THEN '' WHEN 4 THEN '<!-- page: ' || {i} || ' -->' WHEN 5 THEN '## ' || left(x, 16)
+ WHEN 7 THEN x || ' [^' || ({i} % 3) || '] and [^n' || ({i} % 2) || ']' WHEN 8 THEN '| cell | ' || left(x, 8) || ' |' WHEN 9 THEN '| --- | --- |' WHEN 10 THEN '#### ' || left(x, 12)
+ WHEN 11 THEN '```text' WHEN 12 THEN '# not a heading' WHEN 13 THEN '```' WHEN 15 THEN '[^' || ({i} % 4) || ']: ' || x WHEN 16 THEN '    ' || x
+ WHEN 17 THEN 'before <!-- hidden ' || left(x, 5) WHEN 18 THEN '# hidden too --> after' WHEN 19 THEN 'an `open span' WHEN 20 THEN '# not one either` closed ' || left(x, 9)
+ WHEN 21 THEN '![fig](img/' || {i} || '.png) [link](http://x.y/' || {i} || ') <http://a.b/c>' WHEN 22 THEN '## Contents' WHEN 23 THEN '- ' || left(x, 16) || '  ' || {i}
+ WHEN 25 THEN CASE WHEN doc_id % 3 = 0 THEN '# Bibliography' ELSE '## ' || left(x, 20) END WHEN 26 THEN '## [^' || ({i} % 4) || ']: small note' WHEN 27 THEN '$$ x $$' WHEN 28 THEN '<!-- only -->'
+ WHEN 29 THEN x || '<br>' ELSE x END"""
+
+
+def markdown_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, lines array<string>): documents as Markdown; a null text has no row."""
+    lines = f"transform(split(replace(text, '. ', '.\\n'), '\\n'), (x, j) -> {_AS_MARKDOWN.format(i='(j + 1)')})"
+    return table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", F.expr(lines).alias("lines"))
+
 
 def lines_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, line_no from 1, line)."""
-    d = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "line"))
+    d = markdown_documents(spark, sf_dir).select("doc_id", F.posexplode("lines").alias("i", "line"))
     return d.select("doc_id", (F.col("i") + 1).cast("bigint").alias("line_no"), "line")
 
 
-def n_words(line: Column) -> Column:
-    return F.size(F.split(line, " ")).cast("bigint")
+def read_lines(docs: DataFrame) -> DataFrame:
+    """(doc_id, line_no, line, fenced, visible, touched) of docs (doc_id, lines): the state of each line beside it."""
+    prepare(docs.sparkSession)
+    both = docs.select("doc_id", F.arrays_zip("lines", M.semantic_lines(F.col("lines")).alias("s")).alias("z")).select("doc_id", F.posexplode("z").alias("i", "z"))
+    return both.select("doc_id", (F.col("i") + 1).cast("bigint").alias("line_no"), F.col("z.lines").alias("line"), "z.s.*")
+
+
+def semantic_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_lines(markdown_documents(spark, sf_dir))
+
 
+_LINES = f"""src AS (SELECT doc_id, string_split(replace(text, '. ', '.' || chr(10)), chr(10)) AS l FROM documents WHERE text IS NOT NULL),
+lines AS (SELECT doc_id, i::BIGINT AS line_no, {_AS_MARKDOWN.format(i='i')} AS line FROM (SELECT doc_id, l[i] AS x, i FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM src)))"""
 
-_LINES = "lines AS (SELECT doc_id, i::BIGINT AS line_no, l[i] AS line FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)))"
-_HEADS = f"{_LINES}, heads AS (SELECT doc_id, line_no, line AS title, least(len(string_split(line, ' ')), 4)::BIGINT AS level FROM lines WHERE len(string_split(line, ' ')) < 8 AND regexp_matches(line, '^[A-Z]'))"
+#: The state of each line, one after the other; code spans here are of one backtick, as in the lines above.
+_SEM = f"""{_LINES}, sem AS (
+ SELECT doc_id, 0::BIGINT AS line_no, ''::VARCHAR AS mark, FALSE AS com, FALSE AS code, FALSE AS fenced, ''::VARCHAR AS visible, FALSE AS touched FROM src
+ UNION ALL
+ SELECT doc_id, line_no, CASE WHEN mark <> '' THEN CASE WHEN closes THEN '' ELSE mark END WHEN opens THEN fence ELSE '' END,
+   CASE WHEN mark <> '' THEN com ELSE com2 END, CASE WHEN mark <> '' OR opens THEN code ELSE code2 END, mark <> '' OR opens,
+   CASE WHEN mark <> '' OR opens THEN '' ELSE vis END, NOT (mark <> '' OR opens) AND (com OR vis <> line)
+ FROM (SELECT *, regexp_extract(seen, '^ {{0,3}}(```+|~~~+)', 1) AS fence, regexp_matches(seen, '^ {{0,3}}(```+[^`]*|~~~+.*)$') AS opens, regexp_matches(line, '^ {{0,3}}(```+|~~~+)\\s*$') AND left(trim(line), 1) = left(mark, 1) AND length(regexp_extract(line, '(`+|~+)', 1)) >= length(mark) AS closes,
+   CASE WHEN c0 AND NOT contains(seen, '`') THEN '' ELSE regexp_replace(regexp_replace(s0, '`[^`]*`', '', 'g'), '`.*$', '') END AS vis,
+   CASE WHEN c0 AND NOT contains(seen, '`') THEN TRUE ELSE contains(regexp_replace(s0, '`[^`]*`', '', 'g'), '`') END AS code2
+  FROM (SELECT *, code AS c0, CASE WHEN code THEN regexp_replace(seen, '^[^`]*`', '') ELSE seen END AS s0
+   FROM (SELECT *, CASE WHEN com AND NOT contains(line, '-->') THEN '' ELSE regexp_replace(regexp_replace(l0, '<!--.*?-->', '', 'g'), '<!--.*$', '') END AS seen,
+      CASE WHEN com AND NOT contains(line, '-->') THEN TRUE ELSE contains(regexp_replace(l0, '<!--.*?-->', '', 'g'), '<!--') END AS com2
+    FROM (SELECT s.doc_id, l.line_no, l.line, s.mark, s.com, s.code, CASE WHEN s.com THEN regexp_replace(l.line, '^.*?-->', '') ELSE l.line END AS l0 FROM sem s JOIN lines l ON l.doc_id = s.doc_id AND l.line_no = s.line_no + 1)))))"""
+_ATX = r"regexp_extract(visible, '^\s*(#{1,6})([ \t]|$)', 1)"
+_HEADS = f"""{_SEM}, heads AS (SELECT doc_id, line_no, regexp_replace(regexp_replace(visible, '^\\s*#+', ''), '^\\s+|\\s+$', '', 'g') AS title, length({_ATX})::BIGINT AS level FROM sem WHERE {_ATX} <> '')"""
 
 
 def headings_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(doc_id, line_no, title, level)."""
-    l = lines_of(spark, sf_dir).where((n_words(F.col("line")) < 8) & F.col("line").rlike("^[A-Z]"))
-    return l.select("doc_id", "line_no", F.col("line").alias("title"), F.least(n_words(F.col("line")), F.lit(4)).cast("bigint").alias("level"))
+    """(doc_id, line_no, title, level): headings that a reader sees."""
+    return headings(semantic_of(spark, sf_dir))
+
+
+def headings(lines: DataFrame) -> DataFrame:
+    level = M.atx_level(F.col("visible"))
+    return lines.select("doc_id", "line_no", M.heading_title(F.col("visible")).alias("title"), level.alias("level")).where("level IS NOT NULL")
 
 
 def _by_doc(*order: str) -> Window:
     return Window.partitionBy("doc_id").orderBy(*(order or ("line_no",)))
 
 
-@query(
-    "page_fill_forward",
-    f"WITH {_LINES} SELECT doc_id, line_no, last_value(CASE WHEN length(line) % 5 = 0 THEN line_no END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS anchor FROM lines",
-)
+_ANCHOR = r"try_cast(regexp_extract(line, '^\s*<!--\s*page:\s*(\d+)\s*-->\s*$', 1) AS BIGINT)"
+
+
+@query("page_fill_forward", f"WITH {_LINES} SELECT doc_id, line_no, last_value({_ANCHOR} IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS page FROM lines")
 def page_fill_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last anchor at or above each line."""
-    w = _by_doc().rowsBetween(Window.unboundedPreceding, 0)
-    return lines_of(spark, sf_dir).select("doc_id", "line_no", F.last(F.when(F.length("line") % 5 == 0, F.col("line_no")), ignorenulls=True).over(w).alias("anchor"))
+    """The page of each line: that of the last anchor at or above it."""
+    return lines_of(spark, sf_dir).select("doc_id", "line_no", page_of().alias("page"))
+
+
+def page_of() -> Column:
+    return F.last(M.page_anchor(F.col("line")), ignorenulls=True).over(_by_doc().rowsBetween(Window.unboundedPreceding, 0))
 
 
 @query(
-    "running_heads",
-    r"""WITH e AS (SELECT conv_id, turn, regexp_replace(lower(array_to_string(string_split(text, ' ')[1:2], ' ')), '[^\p{L}\p{N}]', '', 'g') AS head FROM conversations),
-    p AS (SELECT head, count(DISTINCT conv_id) AS pages, count(DISTINCT conv_id)::DOUBLE / (max(conv_id) - min(conv_id) + 1) AS density FROM e WHERE length(head) >= 3 GROUP BY head)
-    SELECT head, pages, round(density, 6) AS density FROM p WHERE pages >= 3 AND density >= 0.01""",
+    "markdown_lines",
+    rf"""WITH RECURSIVE {_SEM}, refs AS (SELECT doc_id, line_no, regexp_extract_all(regexp_replace(visible, '\[\^[^\]]+\]:', '', 'g'), '\[\^([^\]]+)\]', 1) AS refs FROM sem)
+    SELECT s.doc_id, s.line_no, s.fenced, s.visible, nullif(length({_ATX}), 0)::BIGINT AS level, CASE WHEN {_ATX} <> '' THEN regexp_replace(regexp_replace(s.visible, '^\s*#+', ''), '^\s+|\s+$', '', 'g') END AS title, {_ANCHOR.replace('line,', 'l.line,')} AS anchor,
+      nullif(regexp_extract(s.visible, '^\s*\[\^([^\]]+)\]:', 1), '') AS defines, array_to_string(r.refs, ',') AS refers,
+      CASE WHEN NOT s.fenced AND NOT s.touched THEN nullif(regexp_extract(l.line, '^ {{0,3}}#{{1,6}}\s+(\[\^[^\]\s]+\]:.*)$', 1), '') END AS repaired
+    FROM sem s JOIN lines l USING (doc_id, line_no) JOIN refs r USING (doc_id, line_no)""",
 )
-def running_heads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Openings that come back on at least three pages, dense enough among the pages that they span."""
-    e = table(spark, sf_dir, "conversations").select("conv_id", alnum_key(F.substring_index("text", " ", 2)).alias("head")).where(F.length("head") >= 3).distinct()
-    p = e.groupBy("head").agg(F.count("*").alias("pages"), (F.count("*") / (F.max("conv_id") - F.min("conv_id") + 1).cast("double")).alias("density"))
-    return p.where("pages >= 3 AND density >= 0.01").select("head", "pages", F.round("density", 6).alias("density"))
+def markdown_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each line is: fenced or not, what of it can be seen, heading, anchor, note; a note that was taken for a heading, without its hashes."""
+    v = F.col("visible")
+    level = M.atx_level(v)
+    repaired = F.when(~F.col("fenced") & ~F.col("touched"), F.nullif(F.regexp_extract("line", M.NOTE_HEADING, 1), F.lit("")))
+    return semantic_of(spark, sf_dir).select(
+        "doc_id", "line_no", "fenced", "visible", level.alias("level"), F.when(level.isNotNull(), M.heading_title(v)).alias("title"), M.page_anchor(F.col("line")).alias("anchor"),
+        M.note_definition(v).alias("defines"), F.array_join(M.note_references(v), ",").alias("refers"), repaired.alias("repaired"),
+    )
+
+
+_ABOVE = ", ".join(f"max(CASE WHEN level = {k} THEN line_no END) OVER w AS l{k}" for k in range(1, 6))
 
 
 @query(
     "heading_parents",
-    f"""WITH {_HEADS}, a AS (SELECT *, max(CASE WHEN level = 1 THEN line_no END) OVER w AS l1, max(CASE WHEN level = 2 THEN line_no END) OVER w AS l2, max(CASE WHEN level = 3 THEN line_no END) OVER w AS l3
-      FROM heads WINDOW w AS (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
-    SELECT doc_id, line_no, level, CASE level WHEN 1 THEN NULL WHEN 2 THEN l1 WHEN 3 THEN greatest(l1, l2) ELSE greatest(l1, l2, l3) END AS parent_line FROM a""",
+    f"""WITH RECURSIVE {_HEADS}, a AS (SELECT *, {_ABOVE} FROM heads WINDOW w AS (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+    SELECT doc_id, line_no, level, CASE level WHEN 1 THEN NULL {" ".join(f"WHEN {k} THEN greatest({', '.join(f'l{m}' for m in range(1, k))})" for k in range(2, 7))} END AS parent_line FROM a""",
 )
 def heading_parents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The nearest heading above that is of a smaller level: one running maximum for each level."""
     return parents(headings_of(spark, sf_dir)).select("doc_id", "line_no", "level", "parent_line")
 
 
-def parents(heads: DataFrame, levels: int = 4) -> DataFrame:
+def parents(heads: DataFrame, levels: int = 6) -> DataFrame:
     """heads (doc_id, line_no, level) with parent_line."""
     w = _by_doc().rowsBetween(Window.unboundedPreceding, -1)
     seen = {k: F.max(F.when(F.col("level") == k, F.col("line_no"))).over(w) for k in range(1, levels)}
@@ -84,52 +142,110 @@ def parents(heads: DataFrame, levels: int = 4) -> DataFrame:
     return heads.withColumn("parent_line", out)
 
 
-_SECTIONS = f"""{_HEADS}, total AS (SELECT doc_id, count(*) AS n FROM lines GROUP BY doc_id), nxt AS (SELECT doc_id, line_no, title, level,
-  min(CASE WHEN level <= 1 THEN line_no END) OVER w AS n1, min(CASE WHEN level <= 2 THEN line_no END) OVER w AS n2, min(CASE WHEN level <= 3 THEN line_no END) OVER w AS n3, min(line_no) OVER w AS n4
+_NEXT = ", ".join(f"min(CASE WHEN level <= {k} THEN line_no END) OVER w AS n{k}" for k in range(1, 7))
+_SECTIONS = f"""{_HEADS}, total AS (SELECT doc_id, count(*) AS n FROM lines GROUP BY doc_id), nxt AS (SELECT doc_id, line_no, title, level, {_NEXT}
   FROM heads WINDOW w AS (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)),
-sections AS (SELECT doc_id, line_no AS start_line, title, level, coalesce(CASE level WHEN 1 THEN n1 WHEN 2 THEN n2 WHEN 3 THEN n3 ELSE n4 END - 1, n)::BIGINT AS end_line FROM nxt JOIN total USING (doc_id))"""
+sections AS (SELECT doc_id, line_no AS start_line, title, level, coalesce(CASE level {" ".join(f"WHEN {k} THEN n{k}" for k in range(1, 7))} END - 1, n)::BIGINT AS end_line FROM nxt JOIN total USING (doc_id))"""
 
 
 def sections_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, start_line, end_line, title, level): a section ends before the next heading of its level or a smaller one, else with the document."""
-    d = table(spark, sf_dir, "documents").select("doc_id", F.size(F.split("text", "\n")).cast("bigint").alias("n"))
+    return sections(semantic_of(spark, sf_dir))
+
+
+def sections(lines: DataFrame) -> DataFrame:
+    level, whole = M.atx_level(F.col("visible")), Window.partitionBy("doc_id")
+    h = lines.withColumns({"n": F.max("line_no").over(whole), "level": level}).where("level IS NOT NULL").withColumn("title", M.heading_title(F.col("visible")))
     w = _by_doc().rowsBetween(1, Window.unboundedFollowing)
     end = F.lit(None).cast("bigint")
-    for k in range(1, 5):
+    for k in range(1, 7):
         end = F.when(F.col("level") == k, F.min(F.when(F.col("level") <= k, F.col("line_no"))).over(w) - 1).otherwise(end)
-    return headings_of(spark, sf_dir).withColumn("end_line", end).join(d, "doc_id").select("doc_id", F.col("line_no").alias("start_line"), "title", "level", F.coalesce("end_line", "n").alias("end_line"))
+    return h.withColumn("end_line", end).select("doc_id", F.col("line_no").alias("start_line"), "title", "level", F.coalesce("end_line", "n").alias("end_line"))
 
 
-@query("section_ranges", f"WITH {_SECTIONS} SELECT doc_id, start_line, end_line, level FROM sections")
+@query("section_ranges", f"WITH RECURSIVE {_SECTIONS} SELECT doc_id, start_line, end_line, level FROM sections")
 def section_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """First and last line of each section."""
     return sections_of(spark, sf_dir).select("doc_id", "start_line", "end_line", "level")
 
 
+def _kind_sql(what: int) -> str:
+    """The kind (0) or role (1) of a heading, in SQL."""
+    cases = []
+    for row in M.KINDS:
+        tests = [f"contains(lower(title), '{p}')" for p in row[2]] + [f"lower(title) = '{w}'" for w in row[3]] + [f"starts_with(lower(title), '{s}')" for s in row[4]] + [f"ends_with(lower(title), '{e}')" for e in row[5]]
+        cases.append(f"WHEN {' OR '.join(tests)} THEN '{row[what]}'")
+    return f"CASE {' '.join(cases)} {'WHEN level = top THEN ' + repr('chapter') + ' ELSE ' + repr('section') if what == 0 else 'ELSE ' + repr('bodymatter')} END"
+
+
+_ROLE_STEPS = f"""k AS (SELECT *, min(level) OVER (PARTITION BY doc_id) AS top FROM heads), roles AS (SELECT *, {_kind_sql(0)} AS kind, {_kind_sql(1)} AS own FROM k),
+sticky AS (SELECT *, CASE WHEN max(CASE WHEN own = 'backmatter' THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) = 1 THEN 'backmatter' ELSE own END AS role FROM roles)"""
+
+
 @query(
     "sections_sticky_role",
-    f"WITH {_HEADS}, r AS (SELECT *, max(CASE WHEN contains(lower(title), 'of') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS seen FROM heads) SELECT doc_id, line_no, CASE WHEN seen = 1 THEN 'backmatter' WHEN level = 1 THEN 'chapter' ELSE 'section' END AS role FROM r",
+    rf"""WITH RECURSIVE {_HEADS}, {_ROLE_STEPS} SELECT doc_id, line_no, kind, role, regexp_matches(lower(trim(title)), '^(|continuation|continuation .*|(chapter|unit|section)[_-][0-9]+)$') AS internal FROM sticky""",
 )
 def sections_sticky_role(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Roles of sections; once the back matter has begun it goes on."""
-    w = _by_doc().rowsBetween(Window.unboundedPreceding, 0)
-    seen = F.max(F.contains(F.lower("title"), F.lit("of")).cast("int")).over(w)
-    return headings_of(spark, sf_dir).select("doc_id", "line_no", F.when(seen == 1, "backmatter").when(F.col("level") == 1, "chapter").otherwise("section").alias("role"))
+    """Kinds and roles of sections by their titles; once the back matter has begun it goes on."""
+    return roles(headings_of(spark, sf_dir)).select("doc_id", "line_no", "kind", "role", M.internal_title(F.col("title")).alias("internal"))
 
 
-_NOTES = "notes AS (SELECT doc_id, line_no AS note_line FROM lines WHERE contains(line, '@') OR contains(line, ' | '))"
+def roles(heads: DataFrame) -> DataFrame:
+    """heads (doc_id, line_no, title, level) with kind and role."""
+    k = heads.withColumn("_k", M.heading_kind(F.col("title"), F.col("level"), F.min("level").over(Window.partitionBy("doc_id"))))
+    begun = F.max((F.col("_k.role") == "backmatter").cast("int")).over(_by_doc().rowsBetween(Window.unboundedPreceding, 0)) == 1
+    return k.withColumns({"kind": F.col("_k.kind"), "role": F.when(begun, "backmatter").otherwise(F.col("_k.role"))}).drop("_k")
+
+
+@query(
+    "recovered_sections",
+    f"""WITH RECURSIVE {_SECTIONS}, {_ROLE_STEPS}, first AS (SELECT l.doc_id, min(h.line_no) AS head_line, count(*) FILTER (WHERE l.line_no < h.line_no AND trim(l.line) <> '' AND {_ANCHOR} IS NULL) AS held FROM lines l LEFT JOIN (SELECT doc_id, min(line_no) AS line_no FROM heads GROUP BY doc_id) h ON h.doc_id = l.doc_id GROUP BY l.doc_id),
+    every AS (SELECT s.doc_id, s.start_line, s.end_line, s.title, s.level, t.kind, t.role, 0.8::DOUBLE AS confidence FROM sections s JOIN sticky t ON t.doc_id = s.doc_id AND t.line_no = s.start_line
+      UNION ALL SELECT doc_id, 1, head_line - 1, 'Front Matter', (SELECT min(level) FROM heads h WHERE h.doc_id = first.doc_id), 'frontmatter', 'frontmatter', 0.7 FROM first WHERE head_line > 1 AND held > 0
+      UNION ALL SELECT f.doc_id, 1, t.n, 'Body', 1, 'chapter', 'bodymatter', 0.7 FROM first f JOIN total t USING (doc_id) WHERE head_line IS NULL AND EXISTS (SELECT 1 FROM lines l WHERE l.doc_id = f.doc_id AND trim(l.line) <> ''))
+    SELECT doc_id, 'section_' || lpad(o::VARCHAR, 3, '0') AS section_id, start_line, end_line, title, level, kind, role, confidence FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY start_line) AS o FROM every)""",
+)
+def recovered_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sections of each document: what its headings begin, what can be read before the first, and the whole where there is none."""
+    return recover(semantic_of(spark, sf_dir))
+
+
+def recover(lines: DataFrame) -> DataFrame:
+    """(doc_id, section_id, start_line, end_line, title, level, kind, role, confidence)."""
+    s = roles(sections(lines).withColumnRenamed("start_line", "line_no")).select("doc_id", F.col("line_no").alias("start_line"), "end_line", "title", "level", "kind", "role", F.lit(0.8).alias("confidence"))
+    level, filled = M.atx_level(F.col("visible")), F.trim("line") != ""
+    first = F.min(F.when(level.isNotNull(), F.col("line_no"))).over(Window.partitionBy("doc_id"))
+    read = lines.withColumns({"at": first, "level": level}).groupBy("doc_id").agg(
+        F.first("at").alias("at"), F.max("line_no").alias("n"), F.min("level").alias("top"), F.count_if(filled).alias("filled"),
+        F.count_if((F.col("line_no") < F.col("at")) & filled & M.page_anchor(F.col("line")).isNull()).alias("held"),
+    )
+    made = lambda end, title, level, kind, role: ("doc_id", F.lit(1).cast("bigint").alias("start_line"), end.alias("end_line"), F.lit(title).alias("title"), level.cast("bigint").alias("level"), F.lit(kind).alias("kind"), F.lit(role).alias("role"), F.lit(0.7).alias("confidence"))
+    front = read.where("at > 1 AND held > 0").select(*made(F.col("at") - 1, "Front Matter", F.col("top"), "frontmatter", "frontmatter"))
+    body = read.where("at IS NULL AND filled > 0").select(*made(F.col("n"), "Body", F.lit(1), "chapter", "bodymatter"))
+    place = F.row_number().over(Window.partitionBy("doc_id").orderBy("start_line")).cast("string")
+    every = s.unionByName(front).unionByName(body)
+    return every.withColumn("section_id", F.concat(F.lit("section_"), F.lpad(place, 3, "0"))).select("doc_id", "section_id", "start_line", "end_line", "title", "level", "kind", "role", "confidence")
+
+
+_NOTES = r"""defs AS (SELECT doc_id, line_no, nullif(regexp_extract(visible, '^\s*\[\^([^\]]+)\]:', 1), '') AS label FROM sem), notes AS (SELECT doc_id, line_no AS note_line, label FROM defs WHERE label IS NOT NULL)"""
 
 
 @query(
     "section_of_range",
-    f"WITH {_SECTIONS}, {_NOTES} SELECT n.doc_id, n.note_line, arg_max(s.start_line, s.level * 1000000 + s.start_line) AS section_line FROM notes n JOIN sections s ON s.doc_id = n.doc_id AND n.note_line BETWEEN s.start_line AND s.end_line GROUP BY n.doc_id, n.note_line",
+    f"WITH RECURSIVE {_SECTIONS}, {_NOTES} SELECT n.doc_id, n.note_line, arg_max(s.start_line, s.level * 1000000 + s.start_line) AS section_line FROM notes n JOIN sections s ON s.doc_id = n.doc_id AND n.note_line BETWEEN s.start_line AND s.end_line GROUP BY n.doc_id, n.note_line",
 )
 def section_of_range(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The deepest section that holds a line: an equi-join by document, then the range."""
-    notes = lines_of(spark, sf_dir).where("contains(line, '@') OR contains(line, ' | ')").select("doc_id", F.col("line_no").alias("note_line"))
-    s = sections_of(spark, sf_dir)
-    held = notes.join(s, "doc_id").where("note_line BETWEEN start_line AND end_line")
-    return held.groupBy("doc_id", "note_line").agg(F.max(F.struct("level", "start_line")).alias("s")).select("doc_id", "note_line", F.col("s.start_line").alias("section_line"))
+    """The deepest section that holds the definition of a note: an equi-join by document, then the range."""
+    lines = semantic_of(spark, sf_dir)
+    notes = lines.where(M.note_definition(F.col("visible")).isNotNull()).select("doc_id", F.col("line_no").alias("note_line"))
+    return deepest_section(notes, sections(lines)).select("doc_id", "note_line", F.col("s.start_line").alias("section_line"))
+
+
+def deepest_section(notes: DataFrame, sections: DataFrame) -> DataFrame:
+    """(doc_id, note_line, s): the section of the largest level, of these the last, that holds each line."""
+    held = notes.join(sections, "doc_id").where("note_line BETWEEN start_line AND end_line")
+    return held.groupBy("doc_id", "note_line").agg(F.max(F.struct("level", "start_line", "title")).alias("s"))
 
 
 @query(
@@ -145,22 +261,48 @@ def interval_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("a.l_orderkey").alias("key"), F.col("a.line").alias("line"), F.col("b.line").alias("other"))
 
 
+_REFS = r"refs AS (SELECT doc_id, line_no, label, k FROM (SELECT doc_id, line_no, unnest(r) AS label, unnest(range(1, len(r) + 1)) AS k FROM (SELECT doc_id, line_no, regexp_extract_all(regexp_replace(visible, '\[\^[^\]]+\]:', '', 'g'), '\[\^([^\]]+)\]', 1) AS r FROM sem)))"
+
+
 @query(
     "note_join",
-    """WITH r AS (SELECT l_orderkey AS label, count(*) AS refs FROM lineitem WHERE l_returnflag = 'R' GROUP BY l_orderkey), d AS (SELECT o_orderkey AS label, o_orderstatus AS body FROM orders WHERE o_orderstatus <> 'P')
-    SELECT coalesce(r.label, d.label) AS label, coalesce(refs, 0) AS refs, CASE WHEN body IS NULL THEN 'reference_without_definition' WHEN refs IS NULL THEN 'definition_without_reference' ELSE 'ok' END AS anomaly FROM r FULL JOIN d ON r.label = d.label""",
+    f"""WITH RECURSIVE {_SECTIONS}, {_NOTES}, {_REFS},
+    d AS (SELECT doc_id, label, max(note_line) AS def_line, count(*) AS defs FROM notes GROUP BY doc_id, label), r AS (SELECT doc_id, label, count(*) AS refs, min(line_no * 1000 + k) AS first_ref FROM refs GROUP BY doc_id, label),
+    j AS (SELECT coalesce(d.doc_id, r.doc_id) AS doc_id, coalesce(d.label, r.label) AS label, def_line, coalesce(refs, 0) AS refs, first_ref FROM d FULL JOIN r ON r.doc_id = d.doc_id AND r.label = d.label),
+    a AS (SELECT *, coalesce(def_line, first_ref // 1000) AS anchor, row_number() OVER (PARTITION BY doc_id ORDER BY first_ref NULLS LAST, def_line) AS ordinal FROM j),
+    o AS (SELECT a.doc_id, a.label, arg_max(s.title, s.level * 1000000 + s.start_line) AS section, max(s.level * 1000000 + s.start_line) % 1000000 AS section_line FROM a JOIN sections s ON s.doc_id = a.doc_id AND a.anchor BETWEEN s.start_line AND s.end_line GROUP BY a.doc_id, a.label)
+    SELECT a.doc_id, a.label, a.ordinal, a.def_line, a.refs, o.section_line,
+      CASE WHEN starts_with(lower(a.label), 'editor') THEN 'editorial' WHEN starts_with(lower(a.label), 'end') OR coalesce(regexp_matches(lower(o.section), 'notes|anmerkungen|注释'), FALSE) THEN 'endnote' ELSE 'footnote' END AS kind,
+      CASE WHEN a.def_line IS NULL THEN 'note definition is missing' WHEN a.refs = 0 THEN 'note has no references' ELSE '' END AS anomaly FROM a LEFT JOIN o USING (doc_id, label)""",
 )
 def note_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """References and definitions side by side, what is missing on either side marked."""
-    r = table(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").groupBy(F.col("l_orderkey").alias("label")).agg(F.count("*").alias("refs"))
-    d = table(spark, sf_dir, "orders").where("o_orderstatus <> 'P'").select(F.col("o_orderkey").alias("label"), F.lit(True).alias("body"))
-    anomaly = F.when(F.col("body").isNull(), "reference_without_definition").when(F.col("refs").isNull(), "definition_without_reference").otherwise("ok")
-    return r.join(d, "label", "full").select("label", F.coalesce("refs", F.lit(0)).cast("bigint").alias("refs"), anomaly.alias("anomaly"))
+    """The notes of each document: references and definitions side by side, what is missing on either side marked."""
+    return notes_of(semantic_of(spark, sf_dir))
+
+
+def notes_of(lines: DataFrame) -> DataFrame:
+    """(doc_id, label, ordinal, def_line, refs, section_line, kind, anomaly).
+
+    Labels come in the order of their first reference, then those that are only defined; of
+    several definitions the last counts. A note belongs to the deepest section that holds
+    its definition, or else its first reference.
+    """
+    v = F.col("visible")
+    d = lines.select("doc_id", "line_no", M.note_definition(v).alias("label")).where("label IS NOT NULL").groupBy("doc_id", "label").agg(F.max("line_no").alias("def_line"))
+    r = lines.select("doc_id", "line_no", F.posexplode(M.note_references(v)).alias("k", "label")).groupBy("doc_id", "label").agg(F.count("*").alias("refs"), F.min(F.struct("line_no", "k")).alias("first"))
+    j = d.join(r, ["doc_id", "label"], "full")
+    order = Window.partitionBy("doc_id").orderBy(F.col("first").asc_nulls_last(), "def_line")
+    a = j.select("doc_id", "label", "def_line", F.coalesce("refs", F.lit(0)).cast("bigint").alias("refs"), F.coalesce("def_line", "first.line_no").alias("note_line"), F.row_number().over(order).cast("bigint").alias("ordinal"))
+    o = deepest_section(a.select("doc_id", "note_line").distinct(), sections(lines))
+    low, section = F.lower("label"), F.coalesce(F.lower("s.title"), F.lit(""))
+    kind = F.when(F.startswith(low, F.lit("editor")), "editorial").when(F.startswith(low, F.lit("end")) | section.rlike("notes|anmerkungen|注释"), "endnote").otherwise("footnote")
+    anomaly = F.when(F.col("def_line").isNull(), "note definition is missing").when(F.col("refs") == 0, "note has no references").otherwise("")
+    return a.join(o, ["doc_id", "note_line"], "left").select("doc_id", "label", "ordinal", "def_line", "refs", F.col("s.start_line").alias("section_line"), kind.alias("kind"), anomaly.alias("anomaly"))
 
 
 @query(
     "tree_findings",
-    f"WITH {_HEADS}, j AS (SELECT doc_id, line_no, level, lag(level) OVER (PARTITION BY doc_id ORDER BY line_no) AS before FROM heads) SELECT doc_id, line_no, CASE WHEN before IS NULL THEN 'starts_below_top' ELSE 'level_jump' END AS finding FROM j WHERE level > coalesce(before, 0) + 1",
+    f"WITH RECURSIVE {_HEADS}, j AS (SELECT doc_id, line_no, level, lag(level) OVER (PARTITION BY doc_id ORDER BY line_no) AS before FROM heads) SELECT doc_id, line_no, CASE WHEN before IS NULL THEN 'starts_below_top' ELSE 'level_jump' END AS finding FROM j WHERE level > coalesce(before, 0) + 1",
 )
 def tree_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Headings that skip a level."""
@@ -171,7 +313,7 @@ def tree_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "structure_audit",
-    f"WITH {_SECTIONS} SELECT doc_id, count(*) AS nodes, max(level) AS max_level, count(*) FILTER (WHERE level = 1) AS chapters, count(*) FILTER (WHERE end_line = start_line) AS empty_nodes, count(DISTINCT title) AS titles FROM sections GROUP BY doc_id",
+    f"WITH RECURSIVE {_SECTIONS} SELECT doc_id, count(*) AS nodes, max(level) AS max_level, count(*) FILTER (WHERE level = 1) AS chapters, count(*) FILTER (WHERE end_line = start_line) AS empty_nodes, count(DISTINCT title) AS titles FROM sections GROUP BY doc_id",
 )
 def structure_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts over the sections of each document."""
@@ -179,32 +321,6 @@ def structure_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.groupBy("doc_id").agg(F.count("*").alias("nodes"), F.max("level").alias("max_level"), F.count_if(F.col("level") == 1).alias("chapters"), F.count_if(F.col("end_line") == F.col("start_line")).alias("empty_nodes"), F.countDistinct("title").alias("titles"))
 
 
-@query(
-    "subsection_demote",
-    f"""WITH {_HEADS}, m AS (SELECT *, min(level) OVER (PARTITION BY doc_id) AS primary_level FROM heads), c AS (SELECT *, level = primary_level AND length(title) % 2 = 0 AS chapter FROM m),
-    n AS (SELECT *, sum(chapter::INT) OVER (PARTITION BY doc_id) AS chapters, sum(chapter::INT) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS so_far,
-      last_value(CASE WHEN level = primary_level THEN chapter END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS under_chapter FROM c)
-    SELECT doc_id, line_no, level, CASE WHEN chapters >= 2 AND so_far >= 1 AND NOT under_chapter THEN least(level + 1, 6) ELSE level END AS new_level FROM n""",
-)
-def subsection_demote(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Headings of the top level that open no chapter, and what is below them, go one level down, once there are two chapters."""
-    whole, run = Window.partitionBy("doc_id"), _by_doc().rowsBetween(Window.unboundedPreceding, 0)
-    h = headings_of(spark, sf_dir).withColumn("top", F.col("level") == F.min("level").over(whole))
-    h = h.withColumn("chapter", F.col("top") & (F.length("title") % 2 == 0))
-    demoted = (F.sum(F.col("chapter").cast("int")).over(whole) >= 2) & (F.sum(F.col("chapter").cast("int")).over(run) >= 1) & ~F.last(F.when(F.col("top"), F.col("chapter")), ignorenulls=True).over(run)
-    return h.select("doc_id", "line_no", "level", F.when(demoted, F.least(F.col("level") + 1, F.lit(6))).otherwise(F.col("level")).alias("new_level"))
-
-
-@query(
-    "wrapped_headings",
-    f"WITH {_LINES}, n AS (SELECT doc_id, line_no, line, lead(line) OVER (PARTITION BY doc_id ORDER BY line_no) AS following FROM lines) SELECT doc_id, line_no, md5(line || ' ' || following) AS merged_md5 FROM n WHERE following IS NOT NULL AND (regexp_matches(line, '( of| and| the|,|-|[a-z])$') OR regexp_matches(following, '^(of|and|or) '))",
-)
-def wrapped_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines that go on in the next: they end in a dangling word or without a stop, or the next begins with a small one."""
-    n = lines_of(spark, sf_dir).withColumn("following", F.lead("line").over(_by_doc())).where("following IS NOT NULL")
-    return n.where(F.col("line").rlike("( of| and| the|,|-|[a-z])$") | F.col("following").rlike("^(of|and|or) ")).select("doc_id", "line_no", F.md5(F.concat_ws(" ", "line", "following")).alias("merged_md5"))
-
-
 @query(
     "page_islands",
     """WITH p AS (SELECT DISTINCT conv_id, turn FROM conversations WHERE role <> 'system' AND length(text) % 4 <> 0), g AS (SELECT *, turn - row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS island FROM p)

@@ -11,16 +11,18 @@ each mention and put in its place.
 from __future__ import annotations
 
 import hashlib
+import secrets
+from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, shuffle_partitions
 
 #: Given names by script and gender.
 GIVEN = {
-    ("latin", "m"): ("James", "John", "Robert", "Michael", "William", "David", "Thomas", "Peter", "Paul", "Hans", "Klaus", "Jürgen", "Pierre", "Jacques", "François", "Louis", "Carlos", "José", "Miguel", "Pablo"),
-    ("latin", "f"): ("Mary", "Patricia", "Jennifer", "Linda", "Elizabeth", "Susan", "Sarah", "Emma", "Alice", "Ursula", "Greta", "Heidi", "Marie", "Sophie", "Camille", "Hélène", "María", "Carmen", "Lucía", "Pilar"),
+    ("latin", "m"): ("James", "John", "Robert", "Michael", "William", "David", "Thomas", "Peter", "Paul", "Hans", "Klaus", "Jürgen", "Pierre", "Jacques", "François", "Louis", "Carlos", "José", "Miguel", "Pablo", "Richard", "Charles", "Daniel", "Matthew", "Andrew", "George", "Stefan", "Wolfgang", "Henri", "Antoine", "Juan", "Diego", "Javier", "Giovanni", "Marco", "Ahmed", "Mohammed", "Omar", "Ali", "Raj", "Arjun", "Rahul", "Wei", "Jun", "Hiroshi", "Kenji"),
+    ("latin", "f"): ("Mary", "Patricia", "Jennifer", "Linda", "Elizabeth", "Susan", "Sarah", "Emma", "Alice", "Ursula", "Greta", "Heidi", "Marie", "Sophie", "Camille", "Hélène", "María", "Carmen", "Lucía", "Pilar", "Barbara", "Jessica", "Karen", "Nancy", "Olivia", "Sophia", "Anna", "Laura", "Katrin", "Sabine", "Claire", "Isabelle", "Ana", "Elena", "Isabel", "Giulia", "Chiara", "Fatima", "Aisha", "Leila", "Priya", "Anita", "Sunita", "Mei", "Ling", "Yuki", "Sakura"),
     ("cyrillic", "m"): ("Иван", "Александр", "Сергей", "Дмитрий", "Николай", "Павел", "Михаил", "Владимир"),
     ("cyrillic", "f"): ("Анна", "Мария", "Ольга", "Елена", "Наталья", "Татьяна", "Ирина", "Светлана"),
     ("greek", "m"): ("Γιώργος", "Νίκος", "Δημήτρης", "Κώστας", "Γιάννης", "Παύλος"),
@@ -38,9 +40,13 @@ _NAME = r"\p{Lu}\p{Ll}+(?:-\p{Lu}\p{Ll}+)?"
 _GIVEN = "|".join(sorted({n for names in GIVEN.values() for n in names}, key=lambda n: (-len(n), n)))
 _TITLE = "|".join(sorted(TITLES, key=lambda n: (-len(n), n)))
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
-#: Kinds of mention in the order in which they are tried.
+_HEX = "[0-9A-Fa-f]{1,4}"
+_KEY_PREFIX = "AKIA|ASIA|gh[pousr]_|github_pat_|sk-|xox[abprs]-"
+#: Kinds of mention in the order in which they are tried. Repeats of groups are bounded, or possessive, which takes no stack; an address has the lengths of the DNS.
 KINDS = {
-    "email": r"[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+",
+    "email": r"[A-Za-z0-9._%+-]{1,64}+@[A-Za-z0-9-]{1,63}+(?:\.[A-Za-z0-9-]{1,63}+){1,126}+",
+    "key": rf"(?:AKIA|ASIA)[A-Z0-9]{{16}}(?![A-Za-z0-9])|(?:{_KEY_PREFIX})[A-Za-z0-9_-]{{16,255}}+",
+    "ipv6": rf"(?:{_HEX}:){{7}}{_HEX}(?![0-9A-Fa-f:])|(?:(?:{_HEX}:){{2,6}}|[Ff][Ee]80:):(?:{_HEX}:){{0,5}}{_HEX}(?![0-9A-Fa-f:])",
     "secret": r"""(?i:password|passwd|token|secret|api[_-]?key)\s?[=:]\s?["']?[A-Za-z0-9_+/-]{8,}+["']?""",
     "person": rf"(?:(?:{_TITLE})\.?\s)?(?:{_GIVEN})\s{_NAME}(?!\p{{L}})|(?:{_TITLE})\.?\s{_NAME}(?!\p{{L}})",
     "ip": rf"{_OCTET}(?:\.{_OCTET}){{3}}(?![\d]|\.\d)",
@@ -96,27 +102,42 @@ def parts_of(mention: Column, kind: Column) -> Column:
         .when(kind == "secret", F.array(part("secret", F.regexp_extract(mention, _SECRET, 2))))
         .when(kind == "phone", F.array(part("phone", F.substring(digits, F.greatest(F.length(digits) - 9, F.lit(1)), F.lit(10)))))
         .when(kind == "iban", F.array(part("iban", F.replace(mention, F.lit(" "), F.lit("")))))
-        .when(kind == "ip", F.array(part("ip", mention)))
+        .when(kind.isin("ip", "key"), F.array(part(kind, mention)))
+        .when(kind == "ipv6", F.array(part(kind, F.lower(mention))))
         .otherwise(F.array(part(kind, digits)))
     )
 
 
 def _reshaped(value: Column, seed: Column, kept: Column | int = 0) -> Column:
     """Each letter by a letter of its case, each digit by a digit; hexadecimal values stay so; the first `kept` characters stay."""
-    hexa = value.rlike("^[0-9a-f]+$") & value.rlike("[0-9]") & value.rlike("[a-f]")
+    hexa = value.rlike("^[0-9a-f:]+$") & value.rlike("[0-9]") & value.rlike("[a-f:]")
 
-    def other(i: Column) -> Column:
-        c, s = F.substring(value, i, F.lit(1)), F.concat(seed, F.lit(":"), i.cast("string"))
+    def other(c: Column, i: Column) -> Column:
+        s = F.concat(seed, F.lit(":"), (i + 1).cast("string"))
         return (
-            F.when(i <= kept, c)
-            .when(hexa, F.substring(F.sha2(s, 256), 1, 1))
+            F.when(i < kept, c)
+            .when(hexa & (c != ":"), F.substring(F.sha2(s, 256), 1, 1))
             .when(c.rlike("[0-9]"), _draw(s, 10).cast("string"))
             .when(c.rlike("[a-z]"), F.char(_draw(s, 26) + 97))
             .when(c.rlike("[A-Z]"), F.char(_draw(s, 26) + 65))
             .otherwise(c)
         )
 
-    return F.array_join(F.transform(F.sequence(F.lit(1), F.length(value)), other), "")
+    return F.array_join(F.transform(F.split(value, ""), other), "")
+
+
+def _mod97(text: Column) -> Column:
+    """Of digits and capitals, A as 10 to Z as 35, read as one number."""
+    step = lambda a, c: F.when(c.rlike("[0-9]"), a * 10 + F.ascii(c) - 48).otherwise(a * 100 + F.ascii(c) - 55) % 97
+    return F.aggregate(F.split(text, ""), F.lit(0), step)
+
+
+def _iban(value: Column, seed: Column) -> Column:
+    """Another of the country; with valid check digits where those of the value are."""
+    country, body = F.substring(value, 1, 2), lambda x: F.substring(x, F.lit(5), F.length(value))
+    drawn = F.concat(country, F.substring(_reshaped(value, seed, 2), F.lit(3), F.length(value)))
+    digits = F.lpad((98 - _mod97(F.concat(body(drawn), country, F.lit("00")))).cast("string"), 2, "0")
+    return F.when(_mod97(F.concat(body(value), F.substring(value, 1, 4))) == 1, F.concat(country, digits, body(drawn))).otherwise(drawn)
 
 
 def _luhn_sum(digits: Column) -> Column:
@@ -171,7 +192,8 @@ def surrogate_of(kind: Column, value: Column, draw: Column, key: str) -> Column:
         .when(kind == "card", card)
         .when(kind == "phone", phone)
         .when(kind == "ip", ip)
-        .when(kind == "iban", F.concat(F.substring(value, 1, 2), F.substring(_reshaped(value, seed, 2), F.lit(3), F.length(value))))
+        .when(kind == "iban", _iban(value, seed))
+        .when(kind == "key", _reshaped(value, seed, F.length(F.regexp_extract(value, f"^({_KEY_PREFIX})", 1))))
         .when(kind == "given", given)
         .when(kind == "surname:cyrillic", F.concat(surname("cyrillic"), F.when(value.rlike("[ая]$"), F.lit("ова")).otherwise(F.lit("ов"))))
         .when(kind == "surname:greek", F.concat(surname("greek"), F.when(F.endswith(value, F.lit("ς")), F.lit("ς")).otherwise(F.lit(""))))
@@ -275,7 +297,8 @@ def _replacement(mention: Column, kind: Column, first: Column, second: Column) -
         .when(kind == "email", F.concat(first, F.lit("@"), second))
         .when(kind == "person", F.concat(F.regexp_extract(mention, _PERSON, 1), given, surname))
         .when(kind == "secret", F.concat(F.regexp_extract(mention, _SECRET, 1), first, F.regexp_extract(mention, _SECRET, 3)))
-        .when(kind == "ip", first)
+        .when(kind.isin("ip", "key"), first)
+        .when(kind == "ipv6", F.when(mention == F.lower(mention), first).otherwise(F.upper(first)))
         .when(kind == "iban", _spaced(first, mention))
         .otherwise(_like(first, mention))
     )
@@ -283,7 +306,8 @@ def _replacement(mention: Column, kind: Column, first: Column, second: Column) -
 
 def replacements(mentions: DataFrame, key: str) -> DataFrame:
     """(mention, kind, replacement) of different mentions."""
-    of = mentions.withColumn("kind", kind_of(F.col("mention")))
+    # few and small, but each costs much: kept apart, not gathered in one partition
+    of = mentions.repartition(shuffle_partitions(mentions.sparkSession), "mention").withColumn("kind", kind_of(F.col("mention")))
     apart = materialise(of.select("mention", "kind", F.posexplode(parts_of(F.col("mention"), F.col("kind")))).select("mention", F.col("kind").alias("type"), "pos", "col.kind", "col.value"), "parts")
     surrogates = distinct_surrogates(apart.select("kind", "value").distinct(), key)
     side = lambda k: F.max(F.when(F.col("pos") == k, F.col("surrogate")))
@@ -291,11 +315,13 @@ def replacements(mentions: DataFrame, key: str) -> DataFrame:
     return both.select("mention", F.col("type").alias("kind"), _replacement(F.col("mention"), F.col("type"), F.col("first"), F.col("second")).alias("replacement"))
 
 
-def surrogate_texts(docs: DataFrame, key: str = "change this key", id_col: str = "doc_id", text_col: str = "text", broadcast_bytes: int = 32_000_000) -> DataFrame:
+def surrogate_texts(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "text", broadcast_bytes: int = 32_000_000) -> DataFrame:
     """(doc_id, text, n_entities): every row with the entities of its text replaced.
 
-    A null text stays null, an empty one empty; repeated rows stay and read alike; other
-    columns are not read. The replacements of a text are found by its SHA-256, so copies
+    Whoever holds `key` can draw the same surrogates, so it is a secret. A null text stays
+    null, an empty one empty; repeated rows stay and read alike; other columns are not read.
+    People are found by a title or a listed given name before a capitalised word, all else
+    by its form; of an address with more labels than the DNS has only those are replaced. The replacements of a text are found by its SHA-256, so copies
     share them. They are broadcast only below `broadcast_bytes`; beyond, texts and
     replacements meet in a shuffle.
     """
@@ -312,6 +338,16 @@ def surrogate_texts(docs: DataFrame, key: str = "change this key", id_col: str =
     return joined.select("doc_id", text.alias("text"), F.coalesce(F.size("new"), F.lit(0)).cast("long").alias("n_entities"))
 
 
+@lru_cache(maxsize=1)
+def _fresh_key() -> str:
+    return secrets.token_hex(16)
+
+
 def op1_pii_surrogates(spark, sf_dir: str) -> DataFrame:
-    """Every document with surrogates in place of what is private in it."""
-    return surrogate_texts(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    """Every document with surrogates in place of what is private in it.
+
+    The key is the session's `spark.quillspark.pii.key`; where none is set, a fresh one that
+    no other run of the driver shares.
+    """
+    key = spark.conf.get("spark.quillspark.pii.key", None) or _fresh_key()
+    return surrogate_texts(spark.read.parquet(f"{sf_dir}/documents.parquet"), key)

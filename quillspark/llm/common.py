@@ -2,46 +2,16 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-from pathlib import Path
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import materialise, prepare, shared_dir  # noqa: F401
+from ..sources.tables import table  # noqa: F401
+
 #: What `[\x20\x09-\x0D]` matches.
 BLANKS = " \t\n\x0b\x0c\r"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Only where the session names none and runs on one machine (tests) a folder below the
-    local temporary one is taken; on a cluster that would lose rows, so it is an error.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        base = f"file://{tempfile.gettempdir()}/quillspark-{spark.sparkContext.applicationId}"
-    return f"{base.rstrip('/')}/quillspark"
-
-
-def prepare(spark: SparkSession) -> None:
-    """Let Python workers find this package when it is run from a checkout."""
-    root, env = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
-    if root not in env.get("PYTHONPATH", "").split(os.pathsep):
-        env["PYTHONPATH"] = os.pathsep.join(x for x in (root, env.get("PYTHONPATH", "")) if x)
-
-
-def materialise(df: DataFrame, label: str) -> DataFrame:
-    """Write a frame once to the shared folder and read it back: cuts lineage, survives lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -57,7 +27,3 @@ def without_blanks(text: Column) -> Column:
 def remainder(doc_id: Column, n: int) -> Column:
     """crc32 of the id written as text, modulo n: the split into folds that labels use."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % F.lit(n)
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")

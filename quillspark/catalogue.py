@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from .operators import books, library, pages, retrieval, state, structure, text_metrics, translation  # noqa: F401
-from .plans import packs  # noqa: F401
+from .plans import packs, scalars  # noqa: F401
 from .streaming import windows  # noqa: F401
 
 FLAGSHIP = "rrf_hybrid"

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .operators import books, library, pages, retrieval, state, structure, text_metrics, translation  # noqa: F401
+from .operators import acceptance, books, library, pages, retrieval, state, stores, structure, text_metrics, translation, xhtml  # noqa: F401
 from .plans import packs, scalars  # noqa: F401
 from .streaming import windows  # noqa: F401
 

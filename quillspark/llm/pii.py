@@ -249,6 +249,7 @@ def distinct_surrogates(parts: DataFrame, key: str, max_draws: int = 64) -> Data
         if 4 * n > room:
             given = given.union(parts.where(within(prefix)).select("kind", "value", _permuted(F.col("value"), key, prefix).alias("surrogate")))
             waiting = waiting.where(~within(prefix))
+    waiting = waiting.repartition(shuffle_partitions(parts.sparkSession), "kind", "value")  # a draw costs much more than its row
     for draw in range(max_draws):
         drawn = waiting.withColumn("surrogate", surrogate_of(F.col("kind"), F.col("value"), F.lit(draw), key))
         owners = drawn.groupBy("kind", "surrogate").agg(F.min("value").alias("value"))

@@ -76,3 +76,11 @@ def home_relative(path: Column, home: str) -> Column:
 def local_path(text: Column) -> Column:
     """Whether a text names a path of somebody's machine."""
     return text.rlike(r"(?:^|[^A-Za-z0-9_])(?:[A-Za-z]:[\\/](?![\\/])|file://)") | text.rlike(r"(?:^|[^A-Za-z0-9_./])/(?:Users|home)/[A-Za-z0-9_]") | text.rlike(r"(?:^|[^A-Za-z0-9_./])/mnt/[a-z](?:/|$|\s)")
+
+
+def stored_path(path: Column, link_mode: Column, folder: Column) -> Column:
+    """Where a file lies: `storage:` names are below their folder, for files of their own; other paths must be absolute, for linked files; null for all else."""
+    inner = normal_path(F.substring(path, F.lit(9), F.length(path)))
+    bad = (inner == ".") | (inner == "..") | F.startswith(inner, F.lit("../")) | F.startswith(inner, F.lit("/"))
+    own = F.startswith(path, F.lit("storage:")) & link_mode.isin(0, 1) & ~bad
+    return F.when(own, F.concat(folder, F.lit("/"), inner)).when(F.startswith(path, F.lit("/")) & (link_mode == 2), path)

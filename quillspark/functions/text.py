@@ -70,3 +70,8 @@ def attachment_year(c: Column) -> Column:
 
 def like_escape(c: Column) -> Column:
     return F.regexp_replace(c, r"([\\%_])", r"\\$1")
+
+
+def iso_seconds(c: Column) -> Column:
+    """A time as text, to the second, in UTC."""
+    return F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss'Z'")

@@ -94,6 +94,10 @@ class _Reader(HTMLParser):
             return
         if tag in BLOCKS:
             self.flush()
+        if tag == "math" and a.get("alttext"):
+            self.add(f"${a['alttext']}$")
+            self.open.append(("template", a))  # not read; its own end tag closes what is open then
+            return
         if tag == "br":
             self.add("\n")
         elif tag == "hr":
@@ -142,7 +146,7 @@ class _Reader(HTMLParser):
 
     def handle_endtag(self, tag: str) -> None:
         for k in range(len(self.open) - 1, -1, -1):
-            if self.open[k][0] == tag:
+            if self.open[k][0] == tag or tag == "math" and self.open[k][0] == "template":
                 self.close(k)
                 return
 

@@ -495,3 +495,38 @@ def searchable_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All fields, creators and tags of an item in one text, for keywords."""
     d = table(spark, sf_dir, "documents")
     return d.select(F.col("doc_id").alias("key"), F.md5(F.concat_ws(" ", T.title_of(F.col("text")), "source", F.array_join(F.array("lang", "source"), " "))).alias("text_md5"))
+
+
+# --- plans, paths, records ---------------------------------------------------
+
+_STORED = "CASE p_partkey % 6 WHEN 0 THEN 'storage:a.pdf' WHEN 1 THEN 'storage:../x.pdf' WHEN 2 THEN '/abs/b.pdf' WHEN 3 THEN 'c.pdf' WHEN 4 THEN 'storage:' ELSE 'storage:d/./e.pdf' END"
+
+
+@query(
+    "route_plan",
+    f"""WITH p AS (SELECT *, {_STORED} AS path, p_size % 3 AS link_mode FROM part) SELECT p_partkey AS key, CASE WHEN p_size % 10 = 1 AND p_size % 15 = 1 THEN 'conflict' WHEN p_size % 10 = 1 THEN 'ocr' WHEN p_size % 15 = 1 THEN 'direct' WHEN p_type = 'PROMO' THEN 'direct' ELSE 'ocr' END AS route,
+      CASE WHEN p_partkey % 6 IN (0, 5) AND link_mode IN (0, 1) THEN '/root/' || p_partkey || CASE WHEN p_partkey % 6 = 0 THEN '/a.pdf' ELSE '/d/e.pdf' END WHEN p_partkey % 6 = 2 AND link_mode = 2 THEN '/abs/b.pdf' END AS resolved,
+      p_partkey % 13 <> 0 AND p_type <> 'PROMO' AND p_retailprice > 905 AS selected, '{{"key":"' || p_partkey || '","pages":' || p_size || ',"route":"' || p_type || '"}}' AS metadata FROM p""",
+)
+def route_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which route each file takes, forced ones first; where it lies, if that is safe; whether it was asked for; and the record of its conversion."""
+    from ..functions import paths as P
+
+    c = F.col
+    size, key = c("p_size"), c("p_partkey")
+    ocr, direct = size % 10 == 1, size % 15 == 1
+    route = F.when(ocr & direct, "conflict").when(ocr, "ocr").when(direct, "direct").when(c("p_type") == "PROMO", "direct").otherwise("ocr")
+    selected = (key % 13 != 0) & (c("p_type") != "PROMO") & (c("p_retailprice") > 905)
+    meta = F.to_json(F.struct(key.cast("string").alias("key"), size.alias("pages"), c("p_type").alias("route")))
+    return table(spark, sf_dir, "part").select(key.alias("key"), route.alias("route"), P.stored_path(F.expr(_STORED), size % 3, F.concat(F.lit("/root/"), key)).alias("resolved"), selected.alias("selected"), meta.alias("metadata"))
+
+
+@query(
+    "source_jobs",
+    "WITH s AS (SELECT l_orderkey AS source, 'src-' || l_orderkey % 40 || '/' || l_linenumber AS ref FROM lineitem WHERE l_linenumber = 1), j AS (SELECT user_id AS job, 'src-' || user_id || '/1' AS ref, max(ts) AS at_ts FROM events GROUP BY user_id) SELECT DISTINCT s.source, j.job, strftime(j.at_ts, '%Y-%m-%dT%H:%M:%SZ') AS seen_at FROM s JOIN j USING (ref)",
+)
+def source_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The job of each source, by its reference, and when it was last seen, to the second."""
+    s = table(spark, sf_dir, "lineitem").where("l_linenumber = 1").select(F.col("l_orderkey").alias("source"), F.concat(F.lit("src-"), F.col("l_orderkey") % 40, F.lit("/"), "l_linenumber").alias("ref"))
+    j = table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("job")).agg(F.max("ts").alias("at_ts")).withColumn("ref", F.concat(F.lit("src-"), "job", F.lit("/1")))
+    return s.join(j, "ref").select("source", "job", T.iso_seconds(F.col("at_ts")).alias("seen_at")).distinct()

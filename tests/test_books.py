@@ -80,11 +80,11 @@ def test_xhtml(spark):
     html = """<html><head><title>no</title></head><body><h2>Top <em>it</em></h2><h3>Under</h3><p>One &amp; <b>two </b>three<sup><a href="#n1">1</a></sup>
     <a href="http://x.y/">out</a> <a href="ch2.xhtml">in</a><ul><li>a<ul><li>b</ul><li>c</ul><ol><li>x<li>y</ol>
     <table><tr><th>H|1<th>H2<tr><td>1</table><blockquote>q<br/>r</blockquote><pre>a ``` b
- c</pre><p># not a heading</p><aside class="footnote" id="n1"><p>The note.</p></aside><script>var p = "<p>";</script></span></body></html>"""
+ c</pre><p># not a heading <math alttext="x^2"><mi>x</mi></math>.</p><aside class="footnote" id="n1"><p>The note.</p></aside><script>var p = "<p>";</script></span></body></html>"""
     docs = spark.createDataFrame([(7, html, None), (8, None, None), (9, "<p>plain", " From nav "), (10, "", None)], "page_id long, html string, toc_title string")
     out = {r["page_id"]: r["markdown"] for r in xhtml.to_markdown(xhtml.page_blocks(docs)).collect()}
     assert out[7] == (
-        "# Top *it*\n\n## Under\n\nOne & **two** three[^fn-7-1] [out](http://x.y/) in\n\n- a\n  - b\n- c\n1. x\n2. y\n\n| H\\|1 | H2 |\n| --- | --- |\n| 1 |  |\n\n> q\n> r\n\n````\na ``` b\n c\n````\n\n\\# not a heading\n\n[^fn-7-1]: The note."
+        "# Top *it*\n\n## Under\n\nOne & **two** three[^fn-7-1] [out](http://x.y/) in\n\n- a\n  - b\n- c\n1. x\n2. y\n\n| H\\|1 | H2 |\n| --- | --- |\n| 1 |  |\n\n> q\n> r\n\n````\na ``` b\n c\n````\n\n\\# not a heading $x^2$.\n\n[^fn-7-1]: The note."
     )
     assert out[9] == "# From nav\n\nplain" and out[10] == "# Chapter 10"
     nav = spark.createDataFrame([(1, '<nav><ol><li><a href="a#x"> A  <b>b</b></a><ol><li><a href="b">B</a></li></ol></li><li><a href="a#y">C</a></li></ol></nav><nav><a href="z">Z</a></nav>')], "page_id long, html string")

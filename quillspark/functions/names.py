@@ -154,19 +154,16 @@ def batches(values: Column, n: int) -> Column:
 
 def sentence_cut(text: Column, budget: int) -> Column:
     """Up to the end of the first sentence at or beyond `budget` characters; whole if it is short or has no such end."""
-    ends = F.filter(F.transform(F.split(text, r"(?<=[.!?。！？])"), lambda s: F.length(s)), lambda n: n > 0)
-    total = F.transform(ends, lambda n, i: F.aggregate(F.slice(ends, F.lit(1), i + 1), F.lit(0), lambda a, b: a + b))
-    at = F.array_min(F.filter(total, lambda n: n >= budget))
-    return F.when(F.length(text) <= budget, text).otherwise(F.substring(text, F.lit(1), F.coalesce(at, F.length(text))))
+    cut = F.regexp_extract(text, rf"(?s)^(.{{{budget - 1},}}?[.!?。！？])", 1)
+    return F.when((F.length(text) <= budget) | (cut == ""), text).otherwise(cut)
 
 
 def word_boundary(text: Column, position: Column) -> Column:
     """The place nearest to a position, left first, that is not within a word."""
-    n = F.length(text)
-    at = F.greatest(F.lit(0), F.least(position, n)).cast("int")
-    edge = lambda p: (p <= 0) | (p >= n) | ~(F.substring(text, p, F.lit(1)).rlike(r"[\p{L}\p{N}]") & F.substring(text, p + 1, F.lit(1)).rlike(r"[\p{L}\p{N}]"))
-    near = F.filter(F.sequence(F.lit(0), n), lambda p: edge(p))
-    return F.aggregate(near, F.lit(-1), lambda a, p: F.when((a < 0) | (F.abs(p - at) < F.abs(a - at)), p).otherwise(a)).cast("bigint")
+    at = F.greatest(F.lit(0), F.least(position, F.length(text))).cast("int")
+    before = F.length(F.regexp_extract(F.left(text, at), r"([\p{L}\p{N}]*)$", 1))
+    after = F.length(F.regexp_extract(F.substring(text, at + 1, F.length(text)), r"^([\p{L}\p{N}]*)", 1))
+    return F.when((before == 0) | (after == 0), at).when(before <= after, at - before).otherwise(at + after).cast("bigint")
 
 
 def canonical_hash(**values: Column) -> Column:

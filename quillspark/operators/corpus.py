@@ -131,7 +131,7 @@ def dirty_name(c: Column) -> Column:
     r"""WITH l AS (SELECT doc_id, source, string_split(text, chr(10)) AS p FROM documents), s AS (SELECT *, len(p)::BIGINT AS n, list_sort(list_filter(list_distinct([1, 2, 3, greatest(1, len(p) // 2), len(p)]), lambda x: x >= 1 AND x <= len(p))) AS picks FROM l),
     t AS (SELECT doc_id, source, len(picks) AS k, array_to_string(list_transform(picks, lambda i: p[i]), chr(10)) || CASE WHEN doc_id % 4 = 0 THEN repeat(chr(57345), 9) ELSE '' END AS text FROM s),
     m AS (SELECT *, length(regexp_replace(text, '[ \t\n\v\f\r\x{00A0}\x{2000}-\x{200A}\x{3000}]', '', 'g')) AS chars, length(regexp_replace(text, '[^\x{E000}-\x{F8FF}]', '', 'g')) AS private FROM t), q AS (SELECT *, chars >= 1000 AND private / greatest(chars, 1)::DOUBLE >= 0.005 AS degraded FROM m)
-    SELECT doc_id, k AS pages, chars, chars >= least(600, 80 * k) AS extractable, degraded, CASE WHEN degraded THEN printf('private_use_ratio=%.3f>=0.005', private / chars::DOUBLE) ELSE '' END AS reason,
+    SELECT doc_id, k AS pages, chars, chars >= least(600, 80 * k) AS extractable, degraded, CASE WHEN degraded THEN 'private_use_ratio=' || ((private * 2000 + chars) // (2 * chars) // 1000) || '.' || lpad(((private * 2000 + chars) // (2 * chars) % 1000)::VARCHAR, 3, '0') || '>=0.005' ELSE '' END AS reason,
       CASE WHEN source = 'src3' THEN 'paddle' WHEN chars >= least(600, 80 * k) AND NOT degraded THEN 'pdf-text' WHEN chars >= least(600, 80 * k) THEN 'needs-mineru' WHEN source = 'src1' THEN 'mineru' ELSE 'paddle' END AS route FROM q""",
 )
 def text_layer_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -152,7 +152,9 @@ def layer_quality(samples: DataFrame, least: int = 1000, ratio: float = 0.005, e
     s = samples.withColumns({"chars": T.non_space(F.col("sample")), "private": F.length(F.regexp_replace("sample", r"[^\x{E000}-\x{F8FF}]", ""))})
     share = F.col("private") / F.greatest(F.col("chars"), F.lit(1))
     s = s.withColumns({"extractable": F.col("chars") >= F.least(F.lit(enough), a_page * F.col("pages")), "degraded": (F.col("chars") >= least) & (share >= ratio)})
-    return s.withColumn("reason", F.when(F.col("degraded"), F.format_string(f"private_use_ratio=%.3f>={ratio:.3f}", share)).otherwise(""))
+    thousandths = F.expr("(private * 2000 + chars) DIV (2 * greatest(chars, 1))")  # rounded in whole numbers: engines print halves differently
+    said = F.concat(F.lit("private_use_ratio="), F.floor(thousandths / 1000), F.lit("."), F.lpad((thousandths % 1000).cast("string"), 3, "0"), F.lit(f">={ratio:.3f}"))
+    return s.withColumn("reason", F.when(F.col("degraded"), said).otherwise(""))
 
 
 @query(

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 import corpus_pipeline
 
-from . import decontamination, exact_dedup, language, licenses, packing, pii, quality, simhash, toxicity, url_filter
+from . import decontamination, exact_dedup, language, licenses, packing, pii, quality, ranked_search, resampling, simhash, suffix_dedup, toxicity, url_filter
 
 
 def queries() -> dict[str, Callable]:
@@ -21,9 +21,12 @@ def queries() -> dict[str, Callable]:
         "op8_toxicity": toxicity.op8_toxicity,
         "op9_url_filter": url_filter.op9_url_filter,
         "op10_decontamination": decontamination.op10_decontamination,
+        "op11_importance_resampling": resampling.op11_importance_resampling,
+        "op12_suffix_dedup": suffix_dedup.op12_suffix_dedup,
+        "op13_ranked_search": ranked_search.op13_ranked_search,
         "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_exact_dedup": exact_dedup.OP5_SQL, "op9_url_filter": url_filter.OP9_SQL}
+    return {"op5_exact_dedup": exact_dedup.OP5_SQL, "op9_url_filter": url_filter.OP9_SQL, "op13_ranked_search": ranked_search.OP13_SQL}

@@ -171,3 +171,21 @@ def test_queries_on_empty_tables(spark, tmp_path):
     for name, query in queries().items():
         out = query(spark, str(tmp_path))
         assert out.columns and out.count() == 0, name
+
+
+@pytest.mark.parametrize("outcomes", [0, 1, 3, 300])
+def test_urls_little_known(spark, outcomes):
+    """Hosts of which nothing is known are allowed however few outcomes there are; a host that is bad throughout is blocked once there are enough."""
+    pages = spark.createDataFrame([(k, f"http://{h}/x") for k, h in enumerate(["bad.com"] * 300 + ["good.org", "new.net", "fine.co", "sub.bad.com"])], "page_id long, url string")
+    bad = spark.createDataFrame([(k, 1) for k in range(outcomes)] + [(300, 0)] * (outcomes > 1), "page_id long, bad int")
+    out = {r["host"]: r["verdict"] for r in url_filter.judge_pages(pages, bad).collect()}
+    assert {out[h] for h in ("good.org", "new.net", "fine.co")} == {"allow"}
+    assert out["bad.com"] == ("block" if outcomes == 300 else "allow")
+
+
+def test_urls_without_spread(spark):
+    """Three outcomes of two hosts are no evidence that all hosts are alike."""
+    pages = spark.createDataFrame([(1, "http://a.com/"), (2, "http://a.com/"), (3, "http://b.org/"), (4, "http://new.net/"), (5, "http://fine.co/")], "page_id long, url string")
+    bad = spark.createDataFrame([(1, 0), (2, 1), (3, 1)], "page_id long, bad int")
+    rows = url_filter.judge_pages(pages, bad).collect()
+    assert {r["verdict"] for r in rows} == {"allow"} and all(r["bad_rate_low"] < 0.5 for r in rows)

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..registry import query
@@ -17,11 +17,11 @@ from ..sources.shared import shared_dir
 from ..sources.tables import table
 
 
-def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events as a stream of files, event time in `ts`, late by ten minutes at most."""
+def event_stream(spark: SparkSession, sf_dir: str, some: Column | bool = True) -> DataFrame:
+    """Events, all or some, as a stream of files, event time in `ts`, late by ten minutes at most."""
     schema = table(spark, sf_dir, "events").schema
     e = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parquet*")
-    return e.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", "10 minutes")
+    return e.where(F.lit(some) if some is True else some).withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", "10 minutes")
 
 
 def run_to_end(stream: DataFrame, mode: str, keys: tuple[str, ...] = ()) -> DataFrame:

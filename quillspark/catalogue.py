@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .operators import acceptance, books, corpus, library, pages, retrieval, state, stores, structure, text_metrics, translation, xhtml  # noqa: F401
+from .operators import acceptance, books, corpus, index_sync, library, pages, retrieval, state, stores, structure, text_metrics, translation, xhtml  # noqa: F401
 from .plans import packs, scalars  # noqa: F401
 from .streaming import leases, windows  # noqa: F401
 

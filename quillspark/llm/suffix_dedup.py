@@ -265,24 +265,24 @@ def _key(text: Column) -> Column:
     return F.substring(F.unhex(F.sha2(text.cast("binary"), 256)), 1, 16)
 
 
-def repeated_spans(docs: DataFrame, length: int = 400, gram: int | None = None, id_col: str = "doc_id", text_col: str = "text", hot: int = 4_000, shard_bytes: int = 4_000_000, broadcast_rows: int = 400_000) -> DataFrame:
+def repeated_spans(docs: DataFrame, length: int = 400, gram: int | None = None, id_col: str = "doc_id", text_col: str = "text", hot: int = 4_000, shard_bytes: int = 4_000_000) -> DataFrame:
     """(key, spans) of each different text that holds a repeated window: ranges of bytes, by start, which may overlap."""
     spark, gram = docs.sparkSession, gram or max(1, length // 4)
     prepare(spark)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where(F.octet_length("text") >= length)
     texts = texts.select("doc_id", _key(F.col("text")).alias("key"), "text")
     every = materialise(texts.mapInArrow(_anchored(length, gram), STRETCH), "stretches")
-    shared = every.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
+    # counts are written, so that the join deals both sides itself and Spark can split a bucket of very many rows
+    shared = materialise(every.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket"), "shared")
     live = materialise(every.join(shared, "bucket", "left_semi"), "live")
     stretch = ["bucket", "s1", "s2"]
     kinds = live.groupBy(*stretch).agg(F.count("*").alias("copies"), F.max("reach").alias("reach"), F.max("starts").alias("starts"), F.min(F.struct("doc_id", "key", "first")).alias("of"))
     kinds = materialise(kinds, "kinds")
-    several = kinds.groupBy("bucket").agg(F.count("*").alias("stretches")).where("stretches > 1")
+    several = materialise(kinds.groupBy("bucket").agg(F.count("*").alias("stretches")).where("stretches > 1"), "several")
     wanted = materialise(kinds.join(several, "bucket"), "wanted")
-    whole = wanted.agg(F.count("*").alias("n"), F.sum(F.col("starts") + length).alias("bytes"), F.max("stretches").alias("most")).first()
+    whole = wanted.agg(F.sum(F.col("starts") + length).alias("bytes"), F.max("stretches").alias("most")).first()
     wants = wanted.select(F.col("of.doc_id").alias("of_id"), F.col("of.key").alias("key"), F.struct(*stretch, "copies", "stretches", "reach", "starts", F.col("of.first").alias("first")).alias("want"))
     wants = wants.groupBy("of_id", "key").agg(F.collect_list("want").alias("wants"))
-    wants = F.broadcast(wants) if whole["n"] <= broadcast_rows else wants
     cut = texts.join(wants, (texts["key"] == wants["key"]) & texts["doc_id"].eqNullSafe(wants["of_id"])).select("text", "wants")
     spans = materialise(cut.mapInArrow(_cut(length), SPAN), "spans")
     shards = max(shuffle_partitions(spark), (whole["bytes"] or 0) // shard_bytes)
@@ -314,7 +314,7 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(runs, span), pa.array(kept, pa.binary())], names=["doc_id", "n_bytes", "spans", "kept"])
 
 
-def without_repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col: str = "text", broadcast_marks: int = 400_000, **settings) -> DataFrame:
+def without_repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
     """(doc_id, n_bytes, spans, kept) of each row of docs: the maximal ranges of bytes that go, and the bytes that stay.
 
     A byte goes if a string of `length` bytes that covers it also starts anywhere else, in
@@ -324,9 +324,8 @@ def without_repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id",
     binary. Empty tables give an empty result; other columns are not read.
     """
     spans = materialise(repeated_spans(docs, length, id_col=id_col, text_col=text_col, **settings), "repeats")
-    few = (spans.agg(F.sum(F.size("spans")).alias("n")).first()["n"] or 0) <= broadcast_marks
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    rows = rows.withColumn("key", _key(F.col("text"))).join(F.broadcast(spans) if few else spans, "key", "left").select("doc_id", "text", "spans")
+    rows = rows.withColumn("key", _key(F.col("text"))).join(spans, "key", "left").select("doc_id", "text", "spans")
     return rows.mapInArrow(_kept, "doc_id long, n_bytes long, spans array<struct<start: int, stop: int>>, kept binary")
 
 

@@ -126,7 +126,7 @@ def spans_of(df):
     return sorted((r["doc_id"], r["n_bytes"], sum(s["stop"] - s["start"] for s in r["spans"]), len(r["spans"]), bytes(r["kept"])) for r in df.collect())
 
 
-@pytest.mark.parametrize("setting", [{}, {"hot": 1}, {"broadcast_rows": 0, "broadcast_marks": 0, "shard_bytes": 10_000}])
+@pytest.mark.parametrize("setting", [{}, {"hot": 1}, {"shard_bytes": 10_000}])
 def test_repeats_against_brute_force(spark, setting):
     docs = table(spark, SF, "documents")
     rows = docs.select("doc_id", "text").collect()

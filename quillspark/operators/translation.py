@@ -6,13 +6,17 @@ targets.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.repeats import codes_of, repeats_before, shares_run, winnowed
 from ..registry import query
-from ..sources.shared import prepare
+from ..sources.shared import materialise, prepare
 from ..sources.tables import table
 
 #: Terms of the glossary that the checks below use, with their variants.
@@ -108,24 +112,48 @@ def ngram_copy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return copied_spans(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-def copied_spans(docs: DataFrame, references: DataFrame, size: int = GRAM, stride: int = 40) -> DataFrame:
+def _winnowed(size: int) -> Callable:
+    """The winnowed grams of each text, each once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for key, text in zip(batch.column(0), batch.column(1), strict=True):
+                grams = np.unique(winnowed(codes_of(text.as_py()), size, size // 2)[0]).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array([key.as_py()] * len(grams), pa.int64()), pa.array(grams)], names=["id", "gram"])
+
+    return run
+
+
+def _sharing(size: int) -> Callable:
+    """The pairs whose texts have a run in common, sign by sign."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = zip(batch.column(2), batch.column(3), strict=True)
+            yield batch.filter(pa.array([shares_run(codes_of(a.as_py()), codes_of(b.as_py()), size) for a, b in texts], pa.bool_())).select([0, 1])
+
+    return run
+
+
+def copied_spans(docs: DataFrame, references: DataFrame, size: int = GRAM, broadcast_grams: int = 1_000_000) -> DataFrame:
     """(doc_id, item_id): all pairs of docs (doc_id, text) and references (item_id, text) with a common run of `size` characters.
 
-    A run of 160 characters of a text holds one of its spans of 121 that start at a multiple
-    of 40, whatever the run's own start: those spans of the references are looked for, all
-    at once, in whole texts, and pairs that hold one are then compared gram by gram. The
-    references are the smaller side and go to the tasks in blocks.
+    Of each `size` characters in a row of either side the least hashed run of half that
+    length is a fingerprint, so texts that share a run share one of its fingerprints,
+    wherever it stands. Fingerprints meet in a join: both sides are shuffled, unless those of
+    the references are at most `broadcast_grams`, and neither is held whole by the driver or
+    a task. Pairs that meet are compared sign by sign. Null texts and such that are shorter
+    share nothing.
     """
-    from .retrieval import keyword_hits
-
-    short = size - stride + 1
-    spans = F.filter(F.transform(F.sequence(F.lit(0), F.greatest(F.length("text") - short, F.lit(0)), F.lit(stride)), lambda i: F.substring("text", i + 1, F.lit(short))), lambda g: F.length(g) == short)
-    grams = references.where(F.length("text") >= size).select(F.col("item_id").alias("query_id"), F.explode(spans).alias("literal"))
-    d = docs.where(F.length("text") >= size)
-    found = keyword_hits(d.select(F.col("doc_id").alias("key"), F.lit("").alias("title"), F.col("text").alias("abstract")), grams).select("query_id", "key").distinct()
-    every = lambda c: F.transform(F.sequence(F.lit(1), F.length(c) - size + 1), lambda i: F.substring(c, i, F.lit(size)))
-    pairs = found.join(d.select(F.col("doc_id").alias("key"), F.col("text").alias("a")), "key").join(references.select(F.col("item_id").alias("query_id"), F.col("text").alias("b")), "query_id")
-    return pairs.where(F.exists(every("b"), lambda g: F.contains("a", g))).select(F.col("key").alias("doc_id"), F.col("query_id").alias("item_id")).distinct()
+    prepare(docs.sparkSession)
+    d = docs.where(F.length("text") >= size).select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").alias("a"))
+    r = references.where(F.length("text") >= size).select(F.col("item_id").cast("bigint").alias("item_id"), F.col("text").alias("b"))
+    grams = lambda rows: rows.mapInArrow(_winnowed(size), "id bigint, gram bigint")
+    wanted = materialise(grams(r).withColumnRenamed("id", "item_id"), "grams")
+    wanted = F.broadcast(wanted) if wanted.count() <= broadcast_grams else wanted
+    pairs = grams(d).join(wanted, "gram").select(F.col("id").alias("doc_id"), "item_id").distinct()
+    both = pairs.join(d, "doc_id").join(r, "item_id").select("doc_id", "item_id", "a", "b")
+    return both.mapInArrow(_sharing(size), "doc_id bigint, item_id bigint").distinct()
 
 
 @query(
@@ -142,22 +170,12 @@ def repetition_grams(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _repeated(text: str, size: int, least: int, most: int) -> tuple[int, int | None, int]:
-    code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-    n = len(code) - size + 1
-    if n < 1:
-        return 0, None, 0
-    value = np.zeros(n, np.uint64)
-    for k in range(size):
-        value = value * np.uint64(0x100000001B3) ^ code[k : k + n] * np.uint64(0x9E3779B97F4A7C15)
-    order = np.argsort(value, kind="stable")
-    here, before = order[1:], order[:-1]
-    near = (value[here] == value[before]) & (here - before >= least) & (here - before <= most)
-    here, before = here[near], before[near]
-    for k in range(size):
-        same = code[here + k] == code[before + k]
-        here, before = here[same], before[same]
-    regions = np.unique(np.floor((before + 1) / 0.03 / len(code) + 0.5))
-    return len(here), int(before.min() + 1) if len(before) else None, len(regions)
+    code = codes_of(text)
+    before = repeats_before(code, size)
+    here = np.arange(len(before))
+    before = before[(before >= 0) & (here - before >= least) & (here - before <= most)]
+    regions = np.unique(np.floor((before + 1) / 0.03 / max(1, len(code)) + 0.5))
+    return len(before), int(before.min() + 1) if len(before) else None, len(regions)
 
 
 def repeated_grams(text: Column, size: int = 16, least: int = 16, most: int = 600) -> Column:

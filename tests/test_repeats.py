@@ -78,3 +78,34 @@ def test_texts_with_a_common_run_share_a_winnowed_gram():
         sides = [repeats.codes_of("".join(rng.choice("abc") for _ in range(rng.randrange(60))) + run + "".join(rng.choice("abc") for _ in range(rng.randrange(60)))) for _ in range(2)]
         assert len(np.intersect1d(*(repeats.winnowed(s, 40, 20)[0] for s in sides)))
     assert len(repeats.winnowed(repeats.codes_of("a" * 39), 40, 20)[0]) == 0
+
+
+@pytest.mark.parametrize("few", [10**6, 0])
+def test_copied_spans_of_references_as_large_as_documents(spark, few):
+    """Both sides of many texts; every pair by brute force."""
+    from quillspark.operators.translation import copied_spans
+
+    rng = random.Random(9)
+    source = ["".join(rng.choice("abcé ") for _ in range(rng.randrange(20, 200))) for _ in range(40)]
+    docs, refs = [(i, source[i]) for i in range(20)], [(i, source[20 + i]) for i in range(20)]
+    for _ in range(25):
+        (i, a), (j, b) = rng.choice(docs), rng.choice(refs)
+        at, cut = rng.randrange(len(a)), rng.randrange(25, 40)
+        refs[j] = (j, b[: len(b) // 2] + a[at : at + cut] + b[len(b) // 2 :])
+    docs += [(20, None), (21, ""), (22, refs[0][1]), (22, refs[0][1])]
+    frame = lambda rows, key: spark.createDataFrame(rows, f"{key} long, text string").repartition(3)
+    got = sorted(map(tuple, copied_spans(frame(docs, "doc_id"), frame(refs, "item_id"), 30, few).collect()))
+    assert got == sorted({(i, j) for i, a in docs for j, b in refs if any((a or "")[k : k + 30] in b for k in range(len(a or "") - 29))})
+    assert len(got) > 10
+
+
+def test_alignment_and_salvage():
+    from quillspark.operators.acceptance import _put_in, _salvage
+
+    mark = lambda n: f"⟦PH_{n:06d}⟧"
+    assert _put_in(f"ab {mark(1)} cd", "abcdef ghij") == f"abcdef{mark(1)} ghij"
+    assert _put_in(f"{mark(1)}{mark(2)}", "") == f"{mark(1)}{mark(2)}" and _put_in("no marks", "plain") == "plain"
+    assert _put_in(f"{mark(1)}text{mark(2)}", "one two") == f"{mark(1)}one two{mark(2)}"
+    assert _put_in(f"a{mark(1)}a{mark(2)}aaaaaaaa", "abcdefghij") == f"{mark(1)}{mark(2)}abcdefghij"
+    assert _salvage('<think>[9]</think>x {bad ["a"] [{"a": ",]"},]') == "[]" and _salvage('{"terms": [{"a": ",]"}, 3,], }') == '[{"a": ",]"}]'
+    assert _salvage('<NER_JSON>```json\n[{"b": 1}]```</NER_JSON> [{"c": 2}]') == '[{"b": 1}]' and _salvage("none [ here") is None

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -19,6 +20,7 @@ FORMULA = r"\$\$|\\\[|\\begin\{(?:equation|align)"
 TOC_ENTRY = r"^\s*(?:[-*+]\s+|\d+[.)]\s+)?(.+?)\s+(\d{1,4})\s*$"
 _FENCE = re.compile(r"^ {0,3}(`{3,}|~{3,})(.*)$", re.DOTALL)
 _RUN = re.compile("`+")
+_STATEFUL = re.compile("`|~~~|<!--")
 
 
 def atx_level(line: Column) -> Column:
@@ -86,6 +88,9 @@ def line_states(lines: list[str]) -> list[tuple[bool, str, bool]]:
     """
     out, mark, inside, width = [], "", False, 0
     for line in lines:
+        if not (mark or inside or width or _STATEFUL.search(line)):
+            out.append((False, line, False))
+            continue
         fence = _FENCE.match(line)
         if mark:
             if fence and fence[1][0] == mark[0] and len(fence[1]) >= len(mark) and not fence[2].strip():
@@ -104,14 +109,49 @@ def line_states(lines: list[str]) -> list[tuple[bool, str, bool]]:
     return out
 
 
-def semantic_lines(lines: Column) -> Column:
-    """array<struct<fenced, visible, touched>> of an array of lines; null for null."""
+#: What a reader could see as a heading or a note.
+_MARKED = re.compile(r"\s*#{1,6}(?:[ \t]|\Z)|.*\[\^", re.DOTALL)
+_ANCHOR_LINE = re.compile(PAGE_ANCHOR, re.ASCII)
+
+LINE = "doc_id bigint, line_no bigint, line string, fenced boolean, visible string, touched boolean"
+MARK = "doc_id bigint, line_no bigint, visible string, n bigint, held bigint"
+
+
+def _is_anchor(line: str) -> bool:
+    found = _ANCHOR_LINE.match(line)
+    return found is not None and int(found[1]) < 1 << 63
 
-    @F.pandas_udf("array<struct<fenced: boolean, visible: string, touched: boolean>>")
-    def states(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda ls: None if ls is None else [{"fenced": f, "visible": v, "touched": t} for f, v, t in line_states(list(ls))])
 
-    return states(lines)
+def flat_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, lines) to LINE: a row for each line, its state beside it; the columns of a document are made as a whole."""
+    for batch in batches:
+        for key, lines in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            if lines:
+                fenced, visible, touched = zip(*line_states([x or "" for x in lines]), strict=True)
+                n = len(lines)
+                yield pa.RecordBatch.from_arrays([pa.array([key] * n, pa.int64()), pa.array(range(1, n + 1), pa.int64()), pa.array(lines, pa.string()), pa.array(fenced), pa.array(visible), pa.array(touched)], names=["doc_id", "line_no", "line", "fenced", "visible", "touched"])
+
+
+def flat_marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, lines) to MARK: a row for each line that may be a heading or a note, and one of number 0 for the document.
+
+    n is how many lines there are, held how many lines above hold anything but an anchor of a
+    page; in row 0 it is how many hold anything.
+    """
+    for batch in batches:
+        rows: list[tuple] = []
+        for key, lines in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            if not lines:
+                continue
+            lines = [x or "" for x in lines]
+            rows.append((key, 0, "", len(lines), sum(x.strip(" ") != "" for x in lines)))
+            held = 0
+            for i, (line, (_, visible, _)) in enumerate(zip(lines, line_states(lines), strict=True), 1):
+                if _MARKED.match(visible):
+                    rows.append((key, i, visible, len(lines), held))
+                held += line.strip(" ") != "" and not _is_anchor(line)
+        cols = zip(*rows, strict=True) if rows else [[]] * 5
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64()), strict=True)], names=["doc_id", "line_no", "visible", "n", "held"])
 
 
 #: Words of a heading that tell its kind, in the order in which they count: (kind, role, parts of the lower-cased title, whole titles, starts, ends).

@@ -9,6 +9,9 @@ turn is a page.
 
 from __future__ import annotations
 
+import heapq
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -43,14 +46,37 @@ def lines_of(spark: SparkSession, sf_dir: str) -> DataFrame:
 def read_lines(docs: DataFrame) -> DataFrame:
     """(doc_id, line_no, line, fenced, visible, touched) of docs (doc_id, lines): the state of each line beside it."""
     prepare(docs.sparkSession)
-    both = docs.select("doc_id", F.arrays_zip("lines", M.semantic_lines(F.col("lines")).alias("s")).alias("z")).select("doc_id", F.posexplode("z").alias("i", "z"))
-    return both.select("doc_id", (F.col("i") + 1).cast("bigint").alias("line_no"), F.col("z.lines").alias("line"), "z.s.*")
+    return docs.select("doc_id", "lines").mapInArrow(M.flat_lines, M.LINE)
+
+
+def read_marks(docs: DataFrame) -> DataFrame:
+    """(doc_id, line_no, visible, n, held) of docs (doc_id, lines): the lines that may be headings or notes, and line 0 for each document.
+
+    What sections and notes need of a document, in one pass over its lines; few lines are left to be shuffled.
+    """
+    prepare(docs.sparkSession)
+    return docs.select("doc_id", "lines").mapInArrow(M.flat_marks, M.MARK)
 
 
 def semantic_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_lines(markdown_documents(spark, sf_dir))
 
 
+def marks_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_marks(markdown_documents(spark, sf_dir))
+
+
+def _marks(lines: DataFrame) -> DataFrame:
+    """Marks as they are, or those of lines."""
+    if "held" in lines.columns:
+        return lines
+    filled = F.trim("line") != ""
+    above = F.count_if(filled & M.page_anchor(F.col("line")).isNull()).over(_by_doc().rowsBetween(Window.unboundedPreceding, -1))
+    own = lines.select("doc_id", "line_no", "visible", F.max("line_no").over(Window.partitionBy("doc_id")).alias("n"), above.alias("held"))
+    whole = lines.groupBy("doc_id").agg(F.lit(0).cast("bigint").alias("line_no"), F.lit("").alias("visible"), F.max("line_no").alias("n"), F.count_if(filled).alias("held"))
+    return own.where(M.atx_level(F.col("visible")).isNotNull() | F.contains("visible", F.lit("[^"))).unionByName(whole)
+
+
 _LINES = f"""src AS (SELECT doc_id, string_split(replace(text, '. ', '.' || chr(10)), chr(10)) AS l FROM documents WHERE text IS NOT NULL),
 lines AS (SELECT doc_id, i::BIGINT AS line_no, {_AS_MARKDOWN.format(i='i')} AS line FROM (SELECT doc_id, l[i] AS x, i FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM src)))"""
 
@@ -74,7 +100,7 @@ _HEADS = f"""{_SEM}, heads AS (SELECT doc_id, line_no, regexp_replace(regexp_rep
 
 def headings_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, line_no, title, level): headings that a reader sees."""
-    return headings(semantic_of(spark, sf_dir))
+    return headings(marks_of(spark, sf_dir))
 
 
 def headings(lines: DataFrame) -> DataFrame:
@@ -150,17 +176,21 @@ sections AS (SELECT doc_id, line_no AS start_line, title, level, coalesce(CASE l
 
 def sections_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, start_line, end_line, title, level): a section ends before the next heading of its level or a smaller one, else with the document."""
-    return sections(semantic_of(spark, sf_dir))
+    return sections(marks_of(spark, sf_dir))
 
 
 def sections(lines: DataFrame) -> DataFrame:
-    level, whole = M.atx_level(F.col("visible")), Window.partitionBy("doc_id")
-    h = lines.withColumns({"n": F.max("line_no").over(whole), "level": level}).where("level IS NOT NULL").withColumn("title", M.heading_title(F.col("visible")))
+    h = _marks(lines).withColumn("level", M.atx_level(F.col("visible"))).where("level IS NOT NULL")
+    return h.select("doc_id", F.col("line_no").alias("start_line"), M.heading_title(F.col("visible")).alias("title"), "level", F.coalesce(_section_end(), "n").alias("end_line"))
+
+
+def _section_end() -> Column:
+    """The line before the next heading of the level of this one or a smaller, null if there is none: one running minimum for each level."""
     w = _by_doc().rowsBetween(1, Window.unboundedFollowing)
     end = F.lit(None).cast("bigint")
     for k in range(1, 7):
         end = F.when(F.col("level") == k, F.min(F.when(F.col("level") <= k, F.col("line_no"))).over(w) - 1).otherwise(end)
-    return h.withColumn("end_line", end).select("doc_id", F.col("line_no").alias("start_line"), "title", "level", F.coalesce("end_line", "n").alias("end_line"))
+    return end
 
 
 @query("section_ranges", f"WITH RECURSIVE {_SECTIONS} SELECT doc_id, start_line, end_line, level FROM sections")
@@ -208,23 +238,28 @@ def roles(heads: DataFrame) -> DataFrame:
 )
 def recovered_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The sections of each document: what its headings begin, what can be read before the first, and the whole where there is none."""
-    return recover(semantic_of(spark, sf_dir))
+    return recover(marks_of(spark, sf_dir))
 
 
 def recover(lines: DataFrame) -> DataFrame:
-    """(doc_id, section_id, start_line, end_line, title, level, kind, role, confidence)."""
-    s = roles(sections(lines).withColumnRenamed("start_line", "line_no")).select("doc_id", F.col("line_no").alias("start_line"), "end_line", "title", "level", "kind", "role", F.lit(0.8).alias("confidence"))
-    level, filled = M.atx_level(F.col("visible")), F.trim("line") != ""
-    first = F.min(F.when(level.isNotNull(), F.col("line_no"))).over(Window.partitionBy("doc_id"))
-    read = lines.withColumns({"at": first, "level": level}).groupBy("doc_id").agg(
-        F.first("at").alias("at"), F.max("line_no").alias("n"), F.min("level").alias("top"), F.count_if(filled).alias("filled"),
-        F.count_if((F.col("line_no") < F.col("at")) & filled & M.page_anchor(F.col("line")).isNull()).alias("held"),
-    )
-    made = lambda end, title, level, kind, role: ("doc_id", F.lit(1).cast("bigint").alias("start_line"), end.alias("end_line"), F.lit(title).alias("title"), level.cast("bigint").alias("level"), F.lit(kind).alias("kind"), F.lit(role).alias("role"), F.lit(0.7).alias("confidence"))
-    front = read.where("at > 1 AND held > 0").select(*made(F.col("at") - 1, "Front Matter", F.col("top"), "frontmatter", "frontmatter"))
-    body = read.where("at IS NULL AND filled > 0").select(*made(F.col("n"), "Body", F.lit(1), "chapter", "bodymatter"))
+    """(doc_id, section_id, start_line, end_line, title, level, kind, role, confidence).
+
+    Line 0 of a document becomes what stands before its first heading, or the whole where
+    there is none; headings and that go through the same windows, by document, once.
+    """
+    m = _marks(lines).withColumn("level", M.atx_level(F.col("visible"))).where("level IS NOT NULL OR line_no = 0")
+    whole, order = Window.partitionBy("doc_id"), _by_doc()
+    m = m.withColumns({"top": F.min("level").over(whole), "at": F.min(F.when(F.col("level").isNotNull(), F.struct("line_no", "held"))).over(whole), "end": _section_end()})
+    m = m.withColumns({"title": M.heading_title(F.col("visible")), "_k": M.heading_kind(M.heading_title(F.col("visible")), F.col("level"), F.col("top"))})
+    begun = F.max(F.when(F.col("level").isNotNull() & (F.col("_k.role") == "backmatter"), 1).otherwise(0)).over(order.rowsBetween(Window.unboundedPreceding, 0)) == 1
+    row = lambda *values: F.struct(*(v.alias(n) for v, n in zip(values, ("start_line", "end_line", "title", "level", "kind", "role", "confidence"), strict=True)))
+    line, text = lambda x: F.lit(x).cast("bigint"), F.lit
+    own = row(F.col("line_no"), F.coalesce("end", "n"), F.col("title"), F.col("level"), F.col("_k.kind"), F.when(begun, "backmatter").otherwise(F.col("_k.role")), F.lit(0.8))
+    front = row(line(1), F.col("at.line_no") - 1, text("Front Matter"), F.col("top"), text("frontmatter"), text("frontmatter"), F.lit(0.7))
+    body = row(line(1), F.col("n"), text("Body"), line(1), text("chapter"), text("bodymatter"), F.lit(0.7))
+    s = F.when(F.col("level").isNotNull(), own).when((F.col("at.line_no") > 1) & (F.col("at.held") > 0), front).when(F.col("at").isNull() & (F.col("held") > 0), body)
+    every = m.select("doc_id", s.alias("s")).where("s IS NOT NULL").select("doc_id", "s.*")
     place = F.row_number().over(Window.partitionBy("doc_id").orderBy("start_line")).cast("string")
-    every = s.unionByName(front).unionByName(body)
     return every.withColumn("section_id", F.concat(F.lit("section_"), F.lpad(place, 3, "0"))).select("doc_id", "section_id", "start_line", "end_line", "title", "level", "kind", "role", "confidence")
 
 
@@ -236,16 +271,57 @@ _NOTES = r"""defs AS (SELECT doc_id, line_no, nullif(regexp_extract(visible, '^\
     f"WITH RECURSIVE {_SECTIONS}, {_NOTES} SELECT n.doc_id, n.note_line, arg_max(s.start_line, s.level * 1000000 + s.start_line) AS section_line FROM notes n JOIN sections s ON s.doc_id = n.doc_id AND n.note_line BETWEEN s.start_line AND s.end_line GROUP BY n.doc_id, n.note_line",
 )
 def section_of_range(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The deepest section that holds the definition of a note: an equi-join by document, then the range."""
-    lines = semantic_of(spark, sf_dir)
-    notes = lines.where(M.note_definition(F.col("visible")).isNotNull()).select("doc_id", F.col("line_no").alias("note_line"))
-    return deepest_section(notes, sections(lines)).select("doc_id", "note_line", F.col("s.start_line").alias("section_line"))
+    """The deepest section that holds the definition of a note."""
+    owned = with_owner(marks_of(spark, sf_dir)).where(M.note_definition(F.col("visible")).isNotNull() & F.col("owner").isNotNull())
+    return owned.select("doc_id", F.col("line_no").alias("note_line"), F.col("owner.line_no").alias("section_line"))
+
+
+def with_owner(marks: DataFrame) -> DataFrame:
+    """marks with owner, struct(level, line_no, title): the deepest section that holds the line.
+
+    A heading closes the sections of its level and deeper ones, and stays open until such
+    a heading follows; so the last heading at or above a line is open there, and every other
+    that is open has a smaller level. One running value finds it, without a join of ranges.
+    """
+    level = M.atx_level(F.col("visible"))
+    heading = F.when(level.isNotNull(), F.struct(level.alias("level"), "line_no", M.heading_title(F.col("visible")).alias("title")))
+    return marks.withColumn("owner", F.last(heading, ignorenulls=True).over(_by_doc().rowsBetween(Window.unboundedPreceding, 0)))
 
 
-def deepest_section(notes: DataFrame, sections: DataFrame) -> DataFrame:
-    """(doc_id, note_line, s): the section of the largest level, of these the last, that holds each line."""
-    held = notes.join(sections, "doc_id").where("note_line BETWEEN start_line AND end_line")
-    return held.groupBy("doc_id", "note_line").agg(F.max(F.struct("level", "start_line", "title")).alias("s"))
+def _open_ranges(ranges: pd.Series) -> pd.Series:
+    """Of each document's ranges the places from which on another one is the deepest that is open, by a sweep over starts and ends."""
+
+    def sweep(held) -> list[dict]:
+        every = [(int(r["level"]), int(r["start_line"]), int(r["end_line"]), str(r["id"])) for r in held if r["start_line"] is not None and r["end_line"] is not None and r["start_line"] <= r["end_line"]]
+        starts, begun, heap, out = sorted(every, key=lambda r: r[1]), 0, [], []
+        for at in sorted({r[1] for r in every} | {r[2] + 1 for r in every}):
+            while begun < len(starts) and starts[begun][1] <= at:
+                level, start, end, name = starts[begun]
+                heapq.heappush(heap, (-level, -start, [-ord(c) for c in name], end, name))
+                begun += 1
+            while heap and heap[0][3] < at:  # what has ended goes once it comes to the top
+                heapq.heappop(heap)
+            out.append({"at": at, "id": heap[0][4] if heap else None})
+        return out
+
+    return ranges.map(lambda held: sweep(held) if held is not None else [])
+
+
+def deepest_section(lines: DataFrame, sections: DataFrame) -> DataFrame:
+    """lines (doc_id, line, ...) with deepest: the id of the section (doc_id, id, start_line, end_line, level) of the largest level, of these the last, of these the last by id, that holds the line; null if none does.
+
+    For sections of any ranges, nested or not. The ranges of a document become the places
+    where its deepest open section changes, two for a range at most; lines and places are
+    sorted together and a line has what the last place at or above it says. Nothing is
+    joined by range.
+    """
+    prepare(lines.sparkSession)
+    change = F.pandas_udf(_open_ranges, "array<struct<at: bigint, id: string>>")
+    places = sections.groupBy("doc_id").agg(F.collect_list(F.struct("start_line", "end_line", "level", F.col("id").cast("string").alias("id"))).alias("r")).select("doc_id", F.explode(change("r")).alias("c"))
+    own = lines.withColumn("_row", F.struct(*lines.columns)).select("doc_id", F.col("line").cast("bigint").alias("_at"), F.lit(1).alias("_kind"), F.lit(None).cast("struct<id: string>").alias("_c"), "_row")
+    both = own.unionByName(places.select("doc_id", F.col("c.at").alias("_at"), F.lit(0).alias("_kind"), F.struct("c.id").alias("_c")), allowMissingColumns=True)
+    last = F.last("_c", ignorenulls=True).over(Window.partitionBy("doc_id").orderBy("_at", "_kind").rowsBetween(Window.unboundedPreceding, 0))
+    return both.withColumn("_last", last).where("_kind = 1").select("_row.*", F.col("_last.id").alias("deepest"))
 
 
 @query(
@@ -277,7 +353,7 @@ _REFS = r"refs AS (SELECT doc_id, line_no, label, k FROM (SELECT doc_id, line_no
 )
 def note_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The notes of each document: references and definitions side by side, what is missing on either side marked."""
-    return notes_of(semantic_of(spark, sf_dir))
+    return notes_of(marks_of(spark, sf_dir))
 
 
 def notes_of(lines: DataFrame) -> DataFrame:
@@ -288,16 +364,19 @@ def notes_of(lines: DataFrame) -> DataFrame:
     its definition, or else its first reference.
     """
     v = F.col("visible")
-    d = lines.select("doc_id", "line_no", M.note_definition(v).alias("label")).where("label IS NOT NULL").groupBy("doc_id", "label").agg(F.max("line_no").alias("def_line"))
-    r = lines.select("doc_id", "line_no", F.posexplode(M.note_references(v)).alias("k", "label")).groupBy("doc_id", "label").agg(F.count("*").alias("refs"), F.min(F.struct("line_no", "k")).alias("first"))
-    j = d.join(r, ["doc_id", "label"], "full")
-    order = Window.partitionBy("doc_id").orderBy(F.col("first").asc_nulls_last(), "def_line")
-    a = j.select("doc_id", "label", "def_line", F.coalesce("refs", F.lit(0)).cast("bigint").alias("refs"), F.coalesce("def_line", "first.line_no").alias("note_line"), F.row_number().over(order).cast("bigint").alias("ordinal"))
-    o = deepest_section(a.select("doc_id", "note_line").distinct(), sections(lines))
+    marked = with_owner(_marks(lines))
+    defined, no = M.note_definition(v), F.lit(None).cast("int")
+    every = F.concat(F.array_compact(F.array(F.when(defined.isNotNull(), F.struct(defined.alias("label"), no.alias("k"))))), F.transform(M.note_references(v), lambda x, k: F.struct(x.alias("label"), k.alias("k"))))
+    each = marked.select("doc_id", "line_no", "owner", F.explode(every).alias("x")).select("doc_id", "line_no", "owner", "x.label", "x.k")
+    spot, isdef = F.struct("line_no", "k", "owner"), F.col("k").isNull()
+    # the window above has dealt the lines by document; notes and their order need no further shuffle
+    j = each.groupBy("doc_id", "label").agg(F.max(F.when(isdef, F.struct("line_no", "owner"))).alias("def"), F.count("k").alias("refs"), F.min(F.when(~isdef, spot)).alias("first"))
+    order = Window.partitionBy("doc_id").orderBy(F.col("first.line_no").asc_nulls_last(), F.col("first.k").asc_nulls_last(), "def.line_no")
+    a = j.select("doc_id", "label", F.col("def.line_no").alias("def_line"), "refs", F.row_number().over(order).cast("bigint").alias("ordinal"), F.when(F.col("def").isNotNull(), F.col("def.owner")).otherwise(F.col("first.owner")).alias("s"))
     low, section = F.lower("label"), F.coalesce(F.lower("s.title"), F.lit(""))
     kind = F.when(F.startswith(low, F.lit("editor")), "editorial").when(F.startswith(low, F.lit("end")) | section.rlike("notes|anmerkungen|注释"), "endnote").otherwise("footnote")
     anomaly = F.when(F.col("def_line").isNull(), "note definition is missing").when(F.col("refs") == 0, "note has no references").otherwise("")
-    return a.join(o, ["doc_id", "note_line"], "left").select("doc_id", "label", "ordinal", "def_line", "refs", F.col("s.start_line").alias("section_line"), kind.alias("kind"), anomaly.alias("anomaly"))
+    return a.select("doc_id", "label", "ordinal", "def_line", "refs", F.col("s.line_no").alias("section_line"), kind.alias("kind"), anomaly.alias("anomaly"))
 
 
 @query(

@@ -269,3 +269,30 @@ def token_chunks_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunks of turns of bounded length in bytes: how many, the longest, and whether together they are the text."""
     c = turns(spark, sf_dir).select("conv_id", "turn", "text", token_chunks(F.col("text")).alias("c"))
     return c.select("conv_id", "turn", F.size("c").cast("bigint").alias("chunks"), F.array_max(F.transform("c", F.octet_length)).cast("bigint").alias("longest"), (F.array_join("c", "") == F.col("text")).alias("whole"))
+
+
+#: What the seat of the chunker is: numbers become placeholders, commas the ends of rows.
+_ROWS = "regexp_replace(replace(text, ', ', '</tr>'), '[0-9.]+', '⟦PH_000001⟧'{g})"
+
+
+@query(
+    "safe_chunks",
+    f"""WITH RECURSIVE t AS (SELECT conv_id, turn, {_ROWS.format(g=", 'g'")} AS text FROM conversations WHERE text <> ''),
+    c AS (SELECT conv_id, turn, 0 AS chunk, '' AS part, text AS rest FROM t
+      UNION ALL
+      SELECT conv_id, turn, chunk + 1, left(rest, fin), substr(rest, fin + 1) FROM (
+        SELECT *, CASE WHEN strlen(rest) <= 120 THEN CASE WHEN strlen(rest) > 60 AND len(ends) > 0 THEN coalesce(list_max(list_filter(ends, lambda p: strlen(left(rest, p)) <= 60)), ends[1]) ELSE length(rest) END
+          WHEN len(ends) > 0 THEN coalesce(list_max(list_filter(ends, lambda p: strlen(left(rest, p)) <= 60)), ends[1])
+          ELSE coalesce(nullif(length(regexp_replace(left(rest, hard), '[^ \t\n]*$', '')), 0), hard) END AS fin
+        FROM (SELECT *, list_filter(range(1, hard + 1), lambda p: right(left(rest, p), 5) = '</tr>') AS ends
+          FROM (SELECT *, length(regexp_replace(left(rest, list_max(list_filter(range(1, least(length(rest), 120) + 1), lambda k: strlen(left(rest, k)) <= 120))), '⟦[^⟧]*$', '')) AS hard FROM c WHERE rest <> ''))))
+    SELECT conv_id, turn, chunk - 1 AS chunk, md5(part) AS part_md5, strlen(part) AS bytes FROM c WHERE chunk > 0""",
+)
+def safe_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns in chunks of at most 120 bytes that end where it is safe: with a row, within 60 bytes where it can be, else with a blank; placeholders stay whole."""
+    from ..functions.cuts import chunks_of
+
+    prepare(spark)
+    t = turns(spark, sf_dir).where("text <> ''").select("conv_id", "turn", F.expr(_ROWS.format(g="")).alias("text"))
+    c = t.select("conv_id", "turn", F.posexplode(chunks_of(F.col("text"), 120, 60)).alias("chunk", "part"))
+    return c.select("conv_id", "turn", "chunk", F.md5("part").alias("part_md5"), F.octet_length("part").cast("bigint").alias("bytes"))

@@ -15,6 +15,7 @@ from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from itertools import product
+from math import ceil
 
 import numpy as np
 import pyarrow as pa
@@ -214,6 +215,19 @@ class Template:
         self.missing = int(len(self.words) * (1 - self.least) + 1e-9)
         self.close = len(self.words) + max(3, len(self.words) // 4)
         self.reach = self.close if len(self.words) < self.short else max(self.close, int(self.stretch * len(self.words)))
+        self.wanted = ceil(self.least * len(self.words) - 1e-9)
+        self.bits = [0] * len(self.vocabulary)
+        for at, w in enumerate(self.words):
+            self.bits[self.vocabulary[w]] |= 1 << at
+
+    def most(self, code: list[int]) -> int:
+        """How many words of the wording any alignment can match, in order, with some words in codes: the longest common subsequence, a row of bits at a time."""
+        full = (1 << len(self.words)) - 1
+        row = full
+        for c in code:
+            common = row & self.bits[c]
+            row = (row + common | row - common) & full
+        return len(self.words) - row.bit_count()
 
     def find(self, words: list[bytes], known: set[bytes]) -> Iterator[tuple[str, float, int, int]]:
         """(name, coverage, first word, words) of each place in a text, from left to right and apart; known: the text's words."""
@@ -223,11 +237,18 @@ class Template:
         hits = np.flatnonzero(code >= 0)
         total = np.concatenate(([0], np.cumsum(code >= 0)))
         near = hits[total[np.minimum(hits + self.reach, len(words))] - total[hits] >= len(self.words) - self.missing]
-        after = -1
+        after, hopeless, wide = -1, -1, self.reach + self.close
         for s in near.tolist():
-            if s < after or len(np.unique(part := code[s : s + self.reach])) - (part.min() < 0) < len(self.vocabulary) - self.missing:
+            if s < after or s < hopeless:
                 continue
-            window = words[s : s + self.reach + self.close]
+            end = min(s + wide, len(words))
+            if (best := self.most((own := code[s:end])[own >= 0].tolist())) < self.wanted:
+                # each word that comes in at the end adds one at most
+                hopeless = int(np.searchsorted(total, total[end] + self.wanted - best)) - wide
+                continue
+            if len(np.unique(part := code[s : s + self.reach])) - (part.min() < 0) < len(self.vocabulary) - self.missing:
+                continue
+            window = words[s : s + wide]
             # the narrowest that covers most: in a wide one a second copy leaves no word unique, in a narrow one the wording may begin late
             matched = max((patience(window[:n], self.words) for n in sorted({self.close, self.reach, len(window)})), key=len)
             if len(matched) >= self.least * len(self.words) and self.needed <= {window[i] for i, _ in matched}:

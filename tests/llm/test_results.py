@@ -496,3 +496,46 @@ def test_pipeline_against_plain_stages(spark, documents):
     left = {i: t for i, t in left.items() if i not in {d for d, _ in leaks}}
     assert 0 < len(left) < len(documents)
     assert_packed(corpus_pipeline.run(spark, SF).collect(), left)
+
+
+def test_bound_of_alignments_changes_no_span(monkeypatch):
+    """Places that cannot reach the coverage are passed over by the longest common subsequence; what is found is what trying every place finds."""
+    rng = random.Random(12)
+    templates = [licenses.Template(n, licenses.words_of(t), frozenset(w.encode() for w in need), 0.8) for n, (t, need) in licenses.TEMPLATES.items()]
+    every = [w for t in templates for w in t.words]
+    texts = []
+    for t in templates:
+        for _ in range(4):
+            kept = [w for w in t.words if rng.random() < rng.choice((0.75, 0.82, 0.9, 1))]
+            for _ in range(rng.randrange(12)):
+                kept.insert(rng.randrange(len(kept) + 1), rng.choice(every + [b"other"]))
+            texts.append([rng.choice(every) for _ in range(rng.randrange(200))] + kept + [rng.choice(t.words) for _ in range(rng.randrange(300))])
+    quick = [list(t.find(x, set(x))) for x in texts for t in templates]
+    monkeypatch.setattr(licenses.Template, "most", lambda self, code: len(self.words))
+    assert quick == [list(t.find(x, set(x))) for x in texts for t in templates]
+    assert sum(map(bool, quick)) > 40
+    mit = next(t for t in templates if t.name == "MIT")
+    assert all(mit.bits[mit.vocabulary[w]] >> k & 1 for k, w in enumerate(mit.words))
+
+
+def test_bound_of_alignments_is_the_longest_common_subsequence():
+    rng = random.Random(2)
+    t = licenses.Template("x", [b"a", b"b", b"a", b"c", b"d", b"b", b"a"], frozenset(), 0.8)
+    for _ in range(200):
+        words = [rng.choice(t.words) for _ in range(rng.randrange(12))]
+        row = [0] * (len(t.words) + 1)
+        for w in words:
+            last = row
+            row = [0]
+            for j, v in enumerate(t.words):
+                row.append(last[j] + 1 if v == w else max(last[j + 1], row[j]))
+        assert t.most([t.vocabulary[w] for w in words]) == row[-1]
+
+
+def test_license_like_text_takes_no_minutes():
+    import time
+
+    mit = next(t for t in (licenses.Template(n, licenses.words_of(x), frozenset(w.encode() for w in need), 0.8) for n, (x, need) in licenses.TEMPLATES.items()) if t.name == "MIT")
+    words = random.Random(1).choices(mit.words, k=20_000)
+    began = time.process_time()
+    assert list(mit.find(words, set(words))) == [] and time.process_time() - began < 2

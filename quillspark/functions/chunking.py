@@ -1,20 +1,45 @@
-"""Cutting texts into overlapping chunks, as folds over arrays that stay in the JVM."""
+"""Cutting texts into overlapping chunks and lists into groups: greedy, so a walk over the parts of each text, linear in its length.
+
+Tasks run these; a session of a cluster has to know the package (`sources.shared.prepare`).
+"""
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def paragraphs(text: Column, separator: str = "\n\n") -> Column:
-    """Stripped paragraphs that are not blank."""
-    parts = F.transform(F.split(text, separator.replace("\n", r"\n")), lambda p: F.regexp_replace(p, r"^[ \t\r\n]+|[ \t\r\n]+$", ""))
-    return F.filter(parts, lambda p: p != "")
+def packed(text: str, size: int, overlap: int, separator: str) -> list[str]:
+    """The chunks of one text; see chunk_text."""
+    plain: list[str] = []
+    held: list[str] = []
+    room = size
+    for p in filter(None, (x.strip(" \t\r\n") for x in text.split(separator))):
+        if held and (len(p) > size or len(p) + 2 > room):
+            plain.append("\n\n".join(held))
+            held, room = [], size
+        if len(p) > size:
+            plain += [p[i : i + size] for i in range(0, len(p), size - overlap)]
+        else:
+            room -= len(p) + 2 * bool(held)
+            held.append(p)
+    if held:
+        plain.append("\n\n".join(held))
+    return [before[-overlap:] + c if before is not None else c for before, c in zip([None, *plain], plain, strict=False)]
 
 
-def windows(p: Column, size: int, stride: int) -> Column:
-    """Windows of `size` characters at every `stride`; the last may lie within the one before."""
-    return F.transform(F.sequence(F.lit(0), F.length(p) - 1, F.lit(stride)), lambda i: F.substring(p, i + 1, F.lit(size)))
+def grouped(sizes: list[int], limit: int) -> list[int]:
+    """How many of some sizes in a row make each group."""
+    out, left = [], -1
+    for n in sizes:
+        if out and n <= left:
+            out[-1] += 1
+            left -= n
+        else:
+            out.append(1)
+            left = limit - n
+    return out
 
 
 def chunk_text(text: Column, size: int = 4000, overlap: int = 300, separator: str = "\n\n") -> Column:
@@ -25,31 +50,26 @@ def chunk_text(text: Column, size: int = 4000, overlap: int = 300, separator: st
     characters of the one before, as that was without such a start. A null or blank text
     has no chunk.
     """
-    start = F.struct(F.array().cast("array<string>").alias("chunks"), F.lit("").alias("cur"))
-    flush = lambda a: F.when(a["cur"] != "", F.concat(a["chunks"], F.array(a["cur"]))).otherwise(a["chunks"])
 
-    def step(a: Column, p: Column) -> Column:
-        fits = F.length(a["cur"]) + F.length(p) + 2 <= size
-        joined = F.when(a["cur"] == "", p).otherwise(F.concat(a["cur"], F.lit("\n\n"), p))
-        return (
-            F.when(F.length(p) > size, F.struct(F.concat(flush(a), windows(p, size, size - overlap)).alias("chunks"), F.lit("").alias("cur")))
-            .when(fits, F.struct(a["chunks"].alias("chunks"), joined.alias("cur")))
-            .otherwise(F.struct(flush(a).alias("chunks"), p.alias("cur")))
-        )
+    @F.pandas_udf("array<string>")
+    def cut(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: packed(t or "", size, overlap, separator))
 
-    plain = F.aggregate(paragraphs(F.coalesce(text, F.lit("")), separator), start, step, flush)
-    lap = lambda p: F.transform(p, lambda c, i: F.when(i == 0, c).otherwise(F.concat(F.right(F.get(p, i - 1), F.lit(overlap)), c)))
-    return F.get(F.transform(F.array(plain), lap), F.lit(0))  # bound by a lambda, the fold is made once
+    return cut(text)
 
 
 def byte_groups(units: Column, limit: int = 65536) -> Column:
     """array<array<string>>: units in order, grouped greedily while a group stays within `limit` bytes of UTF-8; a larger unit is a group of its own."""
-    start = F.struct(F.array().cast("array<array<string>>").alias("done"), F.array().cast("array<string>").alias("cur"), F.lit(0).cast("bigint").alias("n"))
-    flush = lambda a: F.when(F.size(a["cur"]) > 0, F.concat(a["done"], F.array(a["cur"]))).otherwise(a["done"])
 
-    def step(a: Column, u: Column) -> Column:
-        n = F.octet_length(u).cast("bigint")
-        fits = (a["n"] + n <= limit) | (F.size(a["cur"]) == 0)
-        return F.when(fits, F.struct(a["done"].alias("done"), F.concat(a["cur"], F.array(u)).alias("cur"), (a["n"] + n).alias("n"))).otherwise(F.struct(flush(a).alias("done"), F.array(u).alias("cur"), n.alias("n")))
+    @F.pandas_udf("array<struct<at: int, n: int>>")
+    def cut(sizes: pd.Series) -> pd.Series:
+        def spans(own) -> list[dict]:
+            out, at = [], 1
+            for n in grouped(list(own), limit):
+                out.append({"at": at, "n": n})
+                at += n
+            return out
+
+        return sizes.map(lambda own: [] if own is None else spans(own))
 
-    return F.aggregate(units, start, step, flush)
+    return F.transform(cut(F.transform(units, lambda u: F.octet_length(u))), lambda s: F.slice(units, s["at"], s["n"]))

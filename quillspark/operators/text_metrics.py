@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.chunking import byte_groups, chunk_text
 from ..registry import query
+from ..sources.shared import materialise, prepare
 from ..sources.tables import table
 
 
@@ -26,6 +27,7 @@ chunks AS (SELECT doc_id, (i - 1)::BIGINT AS chunk_idx, len(c)::BIGINT AS total_
 
 def chunks_of(docs: DataFrame, size: int = 400, overlap: int = 30, separator: str = "\n") -> DataFrame:
     """(doc_id, chunk_idx, total_chunks, chunk_text)."""
+    prepare(docs.sparkSession)
     c = docs.select("doc_id", chunk_text(F.col("text"), size, overlap, separator).alias("c"))
     return c.select("doc_id", F.size("c").cast("bigint").alias("total_chunks"), F.posexplode("c").alias("i", "chunk_text")).select("doc_id", F.col("i").cast("bigint").alias("chunk_idx"), "total_chunks", "chunk_text")
 
@@ -48,19 +50,16 @@ def chunk_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def fulltext_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For the literal of each document whose id is divisible by 50: the best chunk of each parent among all chunks, ten parents, each with the chunk before and after."""
-    from pyspark.sql import Window
-
     from .retrieval import keyword_hits, literals_of
 
-    c = chunks_of(documents(spark, sf_dir))
-    # at most 10^6 chunks a document: one number stands for both
-    keyed = c.select((F.col("doc_id") * 1_000_000 + F.col("chunk_idx")).alias("key"), F.lit("").alias("title"), F.col("chunk_text").alias("abstract"))
-    found = keyword_hits(keyed, literals_of(spark, sf_dir)).select("query_id", F.floor(F.col("key") / 1_000_000).cast("bigint").alias("doc_id"), (F.col("key") % 1_000_000).alias("chunk_idx"), F.col("abstract_hits").alias("hits"))
+    # a chunk has a number of its own, whatever its document's is, and is cut once
+    c = materialise(chunks_of(documents(spark, sf_dir)).withColumn("key", F.monotonically_increasing_id()), "chunks")
+    hits = keyword_hits(c.select("key", F.lit("").alias("title"), F.col("chunk_text").alias("abstract")), literals_of(spark, sf_dir))
+    found = hits.select("query_id", "key", F.col("abstract_hits").alias("hits")).join(c.select("key", "doc_id", "chunk_idx"), "key")
     best = found.groupBy("query_id", "doc_id").agg(F.max_by("chunk_idx", F.struct("hits", -F.col("chunk_idx"))).alias("chunk_idx"), F.max("hits").alias("hits"))
     top = best.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("hits"), "doc_id")).cast("bigint")).where("rank <= 10")
-    d = documents(spark, sf_dir).join(top.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", chunk_text(F.col("text"), 400, 30, "\n").alias("c"))
-    near = lambda k: F.md5(F.when(F.col("chunk_idx") + k >= 0, F.get("c", (F.col("chunk_idx") + k).cast("int"))))
-    return top.join(d, "doc_id").select("query_id", "doc_id", "chunk_idx", "hits", near(-1).alias("before_md5"), near(1).alias("after_md5"), "rank")
+    beside = lambda k, name: c.select("doc_id", (F.col("chunk_idx") - k).alias("chunk_idx"), F.md5("chunk_text").alias(name))
+    return top.join(beside(-1, "before_md5"), ["doc_id", "chunk_idx"], "left").join(beside(1, "after_md5"), ["doc_id", "chunk_idx"], "left").select("query_id", "doc_id", "chunk_idx", "hits", "before_md5", "after_md5", "rank")
 
 
 @query(
@@ -192,8 +191,6 @@ def next_in_group(rows: DataFrame, group: str, order: str, span: int = 65_536) -
     A group is cut into spans of the order, so one that holds a third of all rows is not one
     task; of each span only the first member, for the last of the span before, meets the group.
     """
-    from pyspark.sql import Window
-
     cut = rows.select(group, order, F.floor(F.col(order) / span).alias("_span"))
     within = F.lead(order).over(Window.partitionBy(group, "_span").orderBy(order))
     firsts = cut.groupBy(group, "_span").agg(F.min(order).alias("_first"))
@@ -277,8 +274,6 @@ def html_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("jsonl_pages", "SELECT event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS page_no, try_cast(json_extract(props, '$.k') AS BIGINT) AS k FROM events WHERE json_extract(props, '$.k') IS NOT NULL")
 def jsonl_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Objects read from lines of JSON, numbered as pages within their file; lines that can't be read are left out."""
-    from pyspark.sql import Window
-
     e = table(spark, sf_dir, "events").withColumn("k", F.from_json("props", "k bigint")["k"]).where("k IS NOT NULL")
     return e.select("event_id", F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")).cast("bigint").alias("page_no"), "k")
 
@@ -302,5 +297,6 @@ def string_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def byte_groups_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines grouped greedily up to 2000 bytes."""
+    prepare(spark)
     g = documents(spark, sf_dir).select("doc_id", byte_groups(F.split("text", "\n"), 2000).alias("g"))
     return g.select("doc_id", F.size("g").cast("bigint").alias("n_groups"), F.array_max(F.transform("g", F.size)).cast("bigint").alias("most_units"))

@@ -267,6 +267,7 @@ def token_chunks(text: Column, limit: int = 512) -> Column:
 @query("token_chunks")
 def token_chunks_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunks of turns of bounded length in bytes: how many, the longest, and whether together they are the text."""
+    prepare(spark)
     c = turns(spark, sf_dir).select("conv_id", "turn", "text", token_chunks(F.col("text")).alias("c"))
     return c.select("conv_id", "turn", F.size("c").cast("bigint").alias("chunks"), F.array_max(F.transform("c", F.octet_length)).cast("bigint").alias("longest"), (F.array_join("c", "") == F.col("text")).alias("whole"))
 

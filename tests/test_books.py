@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quillspark.functions import markdown as M
 from quillspark.functions import names as N
 from quillspark.functions import paths as P
+from quillspark.functions.repeats import repeated_regions
 from quillspark.operators import acceptance, books, pages, stores, structure, xhtml
 
 
@@ -98,8 +99,8 @@ def test_placeholders_and_alignment(spark):
     assert rows[1]["back"] == text and "http" not in rows[1]["marked"] and "# in" not in rows[1]["marked"] and rows[2]["marked"] is None and rows[3]["marked"] is None
     swapped = spark.createDataFrame([("⟦PH_000002⟧ ⟦PH_000001⟧", "⟦PH_000001⟧ ⟦PH_000002⟧", ["a", "b"])], "c string, m string, k array<string>")
     assert swapped.select(acceptance.restored(F.col("c"), F.col("m"), F.col("k"))).first()[0] is None
-    assert acceptance._align("ab ⟦PH_000001⟧cd⟦PH_000002⟧", "hello world") == "hello ⟦PH_000001⟧world⟦PH_000002⟧"
-    assert acceptance._align("⟦PH_000001⟧", "x") == "⟦PH_000001⟧x"
+    assert acceptance._put_in("ab ⟦PH_000001⟧cd⟦PH_000002⟧", "hello world") == "hello ⟦PH_000001⟧world⟦PH_000002⟧"
+    assert acceptance._put_in("⟦PH_000001⟧", "x") == "⟦PH_000001⟧x"
 
 
 def test_acceptance_of_candidates(spark):
@@ -110,7 +111,7 @@ def test_acceptance_of_candidates(spark):
     out = df.select("k", "good", acceptance.accepted(F.col("source"), F.col("target"), F.col("a"), F.col("b"))["accepted"].alias("x")).collect()
     assert {r["k"]: r["x"] for r in out} == {r["k"]: r["good"] for r in out}
     text = "the same sixteen signs and more. " * 2
-    assert len(acceptance._profile(text)) >= 1 and acceptance._profile("nothing here comes twice") == [] and acceptance._profile("") == []
+    assert len(repeated_regions(text)) >= 1 and len(repeated_regions("nothing here comes twice")) == len(repeated_regions("")) == 0
 
     def plain(source, candidate):
         i = 0

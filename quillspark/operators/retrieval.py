@@ -251,6 +251,45 @@ def keyword_short(spark: SparkSession, sf_dir: str) -> DataFrame:
     return items_of(spark, sf_dir).where(has(F.col("abstract")) | has(F.col("title"))).select("key", score.alias("score"))
 
 
+_SHORT = {"title": 8.0, "creators": 4.0, "abstract": 2.0, "chunk_text": 1.0}
+
+
+def short_hits(rows: DataFrame, queries: DataFrame, block: int = 4096) -> DataFrame:
+    """(query_id, key, score) of rows (key, title, creators, abstract, chunk_text) that hold a literal (query_id, literal) of one or two characters: minus the weights of the fields that hold it, case folded.
+
+    Such a literal has no trigram, so all rows are read, once for each block of literals;
+    different literals are looked for at once. A null field holds nothing.
+    """
+    prepare(rows.sparkSession)
+    low = rows.select("key", *(F.lower(F.coalesce(f, F.lit(""))).alias(f) for f in _SHORT))
+    asked, out = queries.select("query_id", F.lower(F.trim("literal")).alias("literal")).where("length(literal) IN (1, 2)"), None
+    for part in _blocks(asked, "query_id", block):
+        wanted = sorted({r["literal"] for r in part})
+        hits = F.transform(F.array(*map(F.lit, wanted)), lambda t: F.struct(t.alias("literal"), sum((F.when(F.contains(f, t), w).otherwise(0.0) for f, w in _SHORT.items()), F.lit(0.0)).alias("w")))
+        found = low.select("key", F.explode(F.filter(hits, lambda h: h["w"] > 0)).alias("h"))
+        names = F.broadcast(rows.sparkSession.createDataFrame([(r["query_id"], r["literal"]) for r in part], "query_id bigint, literal string"))
+        found = found.join(names, F.col("h.literal") == names["literal"]).select("query_id", "key", (-F.col("h.w")).alias("score"))
+        out = found if out is None else out.unionByName(found)
+    return out if out is not None else rows.sparkSession.createDataFrame([], "query_id bigint, key bigint, score double")
+
+
+@query(
+    "keyword_short_topk",
+    """WITH ix AS (SELECT doc_id AS key, lower(split_part(text, chr(10), 1)) AS title, lower(source || ' ' || lang) AS creators, lower(split_part(text, chr(10), -1)) AS abstract, lower(text) AS chunk_text FROM documents WHERE text IS NOT NULL),
+    q AS (SELECT doc_id AS query_id, lower(right(trim(split_part(text, chr(10), 1)), 2)) AS literal FROM documents WHERE doc_id % 50 = 0 AND trim(split_part(text, chr(10), 1)) <> ''),
+    s AS (SELECT query_id, key, -(CASE WHEN contains(title, literal) THEN 8.0 ELSE 0.0 END + CASE WHEN contains(creators, literal) THEN 4.0 ELSE 0.0 END + CASE WHEN contains(abstract, literal) THEN 2.0 ELSE 0.0 END + CASE WHEN contains(chunk_text, literal) THEN 1.0 ELSE 0.0 END)::DOUBLE AS score
+      FROM q, ix WHERE length(trim(literal)) IN (1, 2) AND literal = trim(literal))
+    SELECT query_id, key, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score, key) AS rank FROM s WHERE score < 0) WHERE rank <= 10""",
+)
+def keyword_short_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best rows for the last two characters of the title of each document whose id is divisible by 50."""
+    d = table(spark, sf_dir, "documents").where("text IS NOT NULL")
+    rows = d.select(F.col("doc_id").alias("key"), title_of(F.col("text")).alias("title"), F.concat_ws(" ", "source", "lang").alias("creators"), F.element_at(F.split("text", "\n"), -1).alias("abstract"), F.col("text").alias("chunk_text"))
+    q = d.where("doc_id % 50 = 0").select(F.col("doc_id").alias("query_id"), F.lower(F.right(F.trim(title_of(F.col("text"))), F.lit(2))).alias("literal")).where("literal = trim(literal)")
+    order = Window.partitionBy("query_id").orderBy("score", "key")
+    return short_hits(rows, q).withColumn("rank", F.row_number().over(order).cast("bigint")).where(F.col("rank") <= 10)
+
+
 @query(
     "embedding_text",
     """SELECT doc_id AS key, concat_ws(chr(10), nullif(split_part(text, chr(10), 1), ''), 'In: ' || source, 'Tags: ' || lang, nullif(text, '')) AS embedding_text FROM documents""",

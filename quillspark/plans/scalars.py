@@ -128,6 +128,34 @@ def reference_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.select("page_id", "ref", P.resolve(F.col("base"), F.col("ref")).alias("resolved"), P.is_external(F.col("ref")).alias("external"), P.escapes_root(F.col("base"), F.col("ref")).alias("escapes"), P.rewrite_references(link, "img").alias("rewritten"))
 
 
+_NORMAL = r"""list_reduce(list_transform(list_filter(string_split({j}, '/'), lambda p: p <> '' AND p <> '.'), lambda p: [p]), lambda a, x: CASE WHEN x[1] <> '..' THEN list_concat(a, x) WHEN len(a) > 0 AND a[-1] <> '..' THEN a[1:len(a) - 1] WHEN starts_with({j}, '/') THEN a ELSE list_append(a, '..') END, []::VARCHAR[])"""
+
+
+@query(
+    "page_references",
+    rf"""WITH p AS (SELECT page_id, url, html, split_part(split_part(url, '://', 2), '#', 1) AS spot FROM pages WHERE url IS NOT NULL AND html IS NOT NULL),
+    b AS (SELECT *, 'OPS/' || split_part(split_part(spot, '?', 1), '/', 2) || '/' || page_id || '.html' AS base, split_part(spot, '/', 1) AS host FROM p),
+    r AS (SELECT page_id, base, unnest(list_concat(regexp_extract_all(html, '(?:href|src)="([^"]*)"', 1), [url, '//' || spot, substr(spot, length(host) + 2), '../' || substr(spot, length(host) + 2), '../../../' || host, '#' || host, 'img\' || host])) AS ref FROM b),
+    t AS (SELECT *, regexp_extract(base, '^(.*)/[^/]*$', 1) AS folder FROM r), j AS (SELECT *, CASE WHEN starts_with(split_part(ref, '#', 1), '/') THEN split_part(ref, '#', 1) ELSE folder || '/' || split_part(ref, '#', 1) END AS j, folder || '/' || regexp_extract(ref, '^([^?#]*)', 1) AS k, regexp_extract(ref, '^([^?#]*)', 1) AS bare FROM t),
+    n AS (SELECT *, array_to_string({_NORMAL.format(j='j')}, '/') AS whole, array_to_string({_NORMAL.format(j='k')}, '/') AS inside FROM j)
+    SELECT page_id, ref, CASE WHEN split_part(ref, '#', 1) = '' THEN base WHEN starts_with(j, '/') THEN '/' || whole WHEN whole = '' THEN '.' ELSE whole END AS resolved, starts_with(ref, '//') OR regexp_matches(ref, '^[A-Za-z][A-Za-z0-9+.\-]*:') AS external,
+      contains(bare, '\') OR starts_with(bare, '/') OR inside = '..' OR starts_with(inside, '../') AS escapes, count(*) AS n FROM n WHERE NOT contains(ref, '%') GROUP BY ALL""",
+)
+def page_references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What every page refers to, its own address in several forms included: resolved against its place in a package, whether it is outside, whether it leaves the package."""
+    p = table(spark, sf_dir, "pages").where("url IS NOT NULL AND html IS NOT NULL")
+    at = F.substring_index(F.element_at(F.split("url", "://"), 2), "#", 1)
+    p = p.select("page_id", "url", "html", F.coalesce(at, F.lit("")).alias("at")).withColumn("host", F.substring_index("at", "/", 1))
+    rest = F.expr("substring(at, length(host) + 2)")
+    folder = F.get(F.split(F.substring_index("at", "?", 1), "/"), F.lit(1))
+    base = F.concat(F.lit("OPS/"), F.coalesce(folder, F.lit("")), F.lit("/"), F.col("page_id").cast("string"), F.lit(".html"))
+    own = [F.col("url"), F.concat(F.lit("//"), "at"), rest, F.concat(F.lit("../"), rest), F.concat(F.lit("../../../"), "host"), F.concat(F.lit("#"), "host"), F.concat(F.lit("img\\"), "host")]
+    refs = F.concat(F.regexp_extract_all("html", F.lit('(?:href|src)="([^"]*)"'), F.lit(1)), F.array(*own))
+    r = p.select("page_id", base.alias("base"), F.explode(refs).alias("ref")).where("NOT contains(ref, '%')")
+    out = r.select("page_id", "ref", P.resolve(F.col("base"), F.col("ref")).alias("resolved"), P.is_external(F.col("ref")).alias("external"), P.escapes_root(F.col("base"), F.col("ref")).alias("escapes"))
+    return out.groupBy("page_id", "ref", "resolved", "external", "escapes").agg(F.count("*").alias("n"))
+
+
 @query(
     "local_paths",
     r"""WITH t AS (SELECT page_id, CASE page_id % 5 WHEN 0 THEN 'see C:\x' WHEN 1 THEN 'at /home/me/a' WHEN 2 THEN 'http://a/home/me' WHEN 3 THEN '/mnt/c/x' ELSE html END AS s FROM pages)

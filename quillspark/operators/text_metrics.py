@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -178,6 +178,40 @@ def knowledge_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contains.union(theme)
 
 
+#: The pattern of a keyword, words that are none, and what stands for a text without any.
+KEYWORD = r"[\x{4E00}-\x{9FFF}]{2,}|[A-Za-z][A-Za-z-]{3,}"
+NO_KEYWORDS = ("这是", "这个", "说明", "主要", "内容", "chapter", "section", "with", "from", "that", "this")
+CORE = "核心主题"
+
+
+def theme_keywords(text: Column) -> Column:
+    """array<string>: the different keywords of a text, runs of Han signs and Latin words as they are written, in the order in which they first come; one that stands for all where there is none."""
+    words = F.array_distinct(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(f"({KEYWORD})"), F.lit(1)))
+    found = F.filter(words, lambda w: ~F.lower(w).isin(*NO_KEYWORDS))
+    return F.when(F.size(found) > 0, found).otherwise(F.array(F.lit(CORE)))
+
+
+_THEMES = rf"""x AS (SELECT doc_id, source, regexp_replace(text, '\b(un|le|der|and) ', '中文' || length(source) || '的 ', 'g') AS text FROM documents WHERE text IS NOT NULL), w AS (SELECT doc_id, source, regexp_extract_all(text, '{KEYWORD}') AS l FROM x),
+    u AS (SELECT doc_id, source, w, min(i) AS i FROM (SELECT doc_id, source, unnest(l) AS w, unnest(range(1, len(l) + 1)) AS i FROM w) WHERE lower(w) NOT IN ({", ".join(f"'{n}'" for n in NO_KEYWORDS)}) GROUP BY doc_id, source, w),
+    k AS (SELECT doc_id, source, w, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS k FROM u UNION ALL SELECT doc_id, source, '{CORE}', 1 FROM x WHERE NOT EXISTS (SELECT 1 FROM u WHERE u.doc_id = x.doc_id))"""
+
+
+@query(
+    "theme_graph",
+    f"""WITH {_THEMES} SELECT source AS book, 'book' AS source_node, 'section-' || doc_id AS target_node, 'contains' AS kind FROM x UNION ALL SELECT source, 'section-' || doc_id, 'keyword-' || w, 'theme' FROM k WHERE k <= 2
+      UNION ALL SELECT DISTINCT source, NULL, 'keyword-' || w, 'node' FROM k WHERE k <= 2""",
+)
+def theme_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Books, their sections, and the first two keywords of the whole text of each; every keyword of a book is one node. Some frequent words are made Han, as the tables hold none."""
+    text = F.regexp_replace("text", " (un|le|der|and) ", " 中文@的 ")
+    d = documents(spark, sf_dir).where("text IS NOT NULL").select("doc_id", F.col("source").alias("book"), F.replace(text, F.lit("@"), F.length("source").cast("string")).alias("text"))
+    section = F.concat(F.lit("section-"), F.col("doc_id"))
+    contains = d.select("book", F.lit("book").alias("source_node"), section.alias("target_node"), F.lit("contains").alias("kind"))
+    theme = d.select("book", section.alias("source_node"), F.explode(F.slice(theme_keywords(F.col("text")), 1, 2)).alias("w")).select("book", "source_node", F.concat(F.lit("keyword-"), "w").alias("target_node"), F.lit("theme").alias("kind"))
+    nodes = theme.select("book", F.lit(None).cast("string").alias("source_node"), "target_node", F.lit("node").alias("kind")).distinct()
+    return contains.union(theme).union(nodes)
+
+
 @query("topology_edges", "SELECT source AS book, doc_id AS section, next AS following FROM (SELECT source, doc_id, lead(doc_id) OVER (PARTITION BY source ORDER BY doc_id) AS next FROM documents) WHERE next IS NOT NULL")
 def topology_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Edges from each section to the next of its book, repeated ids in a row too."""

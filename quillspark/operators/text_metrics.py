@@ -191,7 +191,7 @@ def theme_keywords(text: Column) -> Column:
     return F.when(F.size(found) > 0, found).otherwise(F.array(F.lit(CORE)))
 
 
-_THEMES = rf"""x AS (SELECT doc_id, source, regexp_replace(text, '\b(un|le|der|and) ', '中文' || length(source) || '的 ', 'g') AS text FROM documents WHERE text IS NOT NULL), w AS (SELECT doc_id, source, regexp_extract_all(text, '{KEYWORD}') AS l FROM x),
+_THEMES = rf"""x AS (SELECT doc_id, source, regexp_replace(text, ' (un|le|der|and) ', ' 中文' || length(source) || '的 ', 'g') AS text FROM documents WHERE text IS NOT NULL), w AS (SELECT doc_id, source, regexp_extract_all(text, '{KEYWORD}') AS l FROM x),
     u AS (SELECT doc_id, source, w, min(i) AS i FROM (SELECT doc_id, source, unnest(l) AS w, unnest(range(1, len(l) + 1)) AS i FROM w) WHERE lower(w) NOT IN ({", ".join(f"'{n}'" for n in NO_KEYWORDS)}) GROUP BY doc_id, source, w),
     k AS (SELECT doc_id, source, w, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS k FROM u UNION ALL SELECT doc_id, source, '{CORE}', 1 FROM x WHERE NOT EXISTS (SELECT 1 FROM u WHERE u.doc_id = x.doc_id))"""
 

@@ -143,7 +143,8 @@ def _matched(some: DataFrame, rows_per_salt: int) -> DataFrame:
     """Routed rows with the group that their bytes put them in; groups of many rows are salted by the count of their fingerprint."""
     groups = some.groupBy("text_sha256", "norm").agg(F.count("*").alias("group_size"), F.max(F.struct("points", F.bitwise_not("doc_id").alias("id"))).alias("best"), F.max("n").alias("n"))
     groups = groups.select("text_sha256", "norm", "group_size", F.bitwise_not("best.id").alias("keep_id"), F.col("best.points").alias("most"), F.explode(F.sequence(F.lit(0), F.floor(F.col("n") / rows_per_salt).cast("int"))).alias("salt"))
-    salted = some.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.floor(F.col("n") / rows_per_salt) + 1).cast("int"))
+    # by the place of a row, not its id: rows that repeat one id, or have none, are spread too
+    salted = some.withColumn("salt", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.floor(F.col("n") / rows_per_salt) + 1).cast("int"))
     return salted.join(groups, ["text_sha256", "norm", "salt"])
 
 
@@ -167,7 +168,7 @@ def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """One row, with all its columns, of each group of equal texts: the one that exact_duplicates keeps; any one of rows that repeat it."""
     routed = _routed(docs, id_col, text_col, broadcast_rows)
     kept = _matched(routed.where("n is not null"), rows_per_salt).where("doc_id <=> keep_id and points = most")
-    return routed.where("n is null").select("row.*").union(kept.dropDuplicates(["text_sha256", "norm", "salt"]).select("row.*"))
+    return routed.where("n is null").select("row.*").union(kept.dropDuplicates(["text_sha256", "norm"]).select("row.*"))
 
 
 def op5_exact_dedup(spark, sf_dir: str) -> DataFrame:

@@ -16,11 +16,12 @@ n + k words from a start on must hold all but 2k of the different pairs of one i
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
-from itertools import repeat
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -99,8 +100,8 @@ def repeats_of(n: int, edits: int, sampled: int, walks: int, recall: float, pair
     a = rng.integers(0, vocabulary, (pairs, n)).astype(np.int32)
     b = []
     for row in a.tolist():
-        for kind, new in zip(rng.integers(0, 3, edits).tolist(), rng.integers(0, vocabulary, edits).tolist(), strict=True):
-            at = int(rng.integers(0, len(row)))
+        # at places apart, so that no edit undoes another
+        for at, kind, new in zip(sorted(rng.choice(n, edits, replace=False).tolist(), reverse=True), rng.integers(0, 3, edits).tolist(), rng.integers(0, vocabulary, edits).tolist(), strict=True):
             row[at : at + (kind != 0)] = [new] * (kind != 1)
         b.append((row + rng.integers(0, vocabulary, n).tolist())[:n])
     agree = []
@@ -113,7 +114,7 @@ def repeats_of(n: int, edits: int, sampled: int, walks: int, recall: float, pair
         met |= agree[r % walks][rng.integers(0, steps_of(n), sampled)].all(axis=0)
         if r >= 2 * walks - 1 and met.mean() >= recall:
             return r + 1
-    return most
+    raise ValueError(f"{most} keys of {sampled} outputs do not reach a recall of {recall} for items of {n} words and {edits} edits")
 
 
 @dataclass
@@ -327,13 +328,34 @@ def contaminated_passages(docs: DataFrame, benchmark: DataFrame, id_col: str = "
     return out
 
 
+def _leaky(index: ItemIndex) -> Callable:
+    """The sha256 of each text that holds an item."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = sorted({first + r[0] for first, texts in _groups(batch.column(0), index) for r in index.search(texts)})
+            yield pa.RecordBatch.from_arrays([pa.array([hashlib.sha256(batch.column(0)[k].as_py().encode()).hexdigest() for k in at], pa.string())], names=["_leak"])
+
+    return run
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", **settings) -> DataFrame:
-    """The rows of docs, with all columns, whose text holds no item of the benchmark; blocks as in contaminated_passages."""
+    """The rows of docs, with all columns, whose text holds no item of the benchmark.
+
+    A benchmark of one block filters the rows as they are read. Of one of several, each block
+    reads the texts and writes the hashes of those that hold an item; one join then drops
+    their rows, so the documents are written by nobody and shuffled once.
+    """
     prepare(docs.sparkSession)
-    for index, several in indexes(benchmark, **settings):
-        docs = docs.mapInArrow(_clean(index, docs.columns.index(text_col)), docs.schema)
-        docs = materialise(docs, "clean") if several else docs
-    return docs
+    blocks = indexes(benchmark, **settings)
+    index, several = next(blocks)
+    if not several:
+        return docs.mapInArrow(_clean(index, docs.columns.index(text_col)), docs.schema)
+    texts, leaks = docs.select(F.col(f"`{text_col}`").alias("text")), None
+    for index, _ in chain([(index, several)], blocks):
+        found = materialise(texts.mapInArrow(_leaky(index), "_leak string").distinct(), "leaks")
+        leaks = found if leaks is None else leaks.union(found)
+    return docs.join(leaks.distinct(), F.sha2(F.col(f"`{text_col}`").cast("binary"), 256) == F.col("_leak"), "left_anti")
 
 
 def op10_decontamination(spark, sf_dir: str) -> DataFrame:

@@ -539,3 +539,42 @@ def test_license_like_text_takes_no_minutes():
     words = random.Random(1).choices(mit.words, k=20_000)
     began = time.process_time()
     assert list(mit.find(words, set(words))) == [] and time.process_time() - began < 2
+
+
+def test_leaks_of_long_items(spark):
+    """Items of hundreds of words at the limit of edits, each in a text of its own."""
+    rng = random.Random(21)
+    items, texts = {}, {}
+    for n in (100, 400):
+        for _ in range(20):
+            words = [f"w{rng.randrange(4000)}" for _ in range(n)]
+            items[len(items)] = " ".join(words)
+            edited = list(words)
+            for at in sorted(rng.sample(range(n), n // 5), reverse=True):
+                edited[at : at + 1] = rng.choice(([], ["other"], [edited[at], "more"]))
+            texts[len(texts)] = " ".join([*(f"x{rng.randrange(900)}" for _ in range(50)), *edited, *(f"y{rng.randrange(900)}" for _ in range(50))])
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4)
+    found = {(r["doc_id"], r["item_id"]) for r in decontamination.contaminated_passages(docs, spark.createDataFrame(list(items.items()), "item_id long, text string")).collect()}
+    assert found == {(i, i) for i in items}
+
+
+def test_blocks_of_the_benchmark_drop_the_same_rows(spark):
+    """Null and repeated texts, and columns with names of their own, through one block and through several."""
+    items = spark.createDataFrame([(1, "some wild zebras ran past"), (2, "quite another sentence is this"), (3, None)], "item_id long, text string")
+    rows = [(1, "some wild zebras ran past", "a"), (1, "some wild zebras ran past", "a"), (2, None, "b"), (3, "", "c"), (None, "well quite another sentence is this indeed", "d"), (4, "clean words", "e"), (4, "clean words", "e")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, key string")
+    for size in (4_000_000, 10):
+        out = decontamination.decontaminate(docs, items, block_chars=size)
+        assert out.columns == docs.columns and sorted(map(tuple, out.collect()), key=repr) == sorted((r for r in rows if r[0] in (2, 3, 4)), key=repr)
+
+
+def test_exact_dedup_of_rows_that_repeat_one_id(spark):
+    """A third of all rows have no id and no text; they are spread over salts, and one of them stays."""
+    rows = [(None, "")] * 300 + [(5000, None)] * 30 + [(k, f"text {k % 200}") for k in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    out = exact_dedup.exact_duplicates(docs, rows_per_salt=10).collect()
+    blank = [r for r in out if r["group_size"] == 330]
+    assert len(out) == 930 and len(blank) == 330 and {r["keep_id"] for r in blank} == {5000} and sum(r["kept"] for r in blank) == 30
+    assert {r["group_size"] for r in out} == {330, 3}
+    kept = exact_dedup.drop_exact_duplicates(docs, rows_per_salt=10)
+    assert kept.count() == 201 and kept.where("doc_id = 5000").count() == 1

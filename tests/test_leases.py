@@ -1,6 +1,7 @@
 """Leases: the table of outcomes, races, takeovers by a timer; against the SQL over the event log in test_queries."""
 
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -37,6 +38,7 @@ def run(spark, folder, files):
     schema = "job long, event_id long, ts timestamp, kind string, owner string"
     for i, rows in enumerate(files):
         (folder / f"{i}.json").write_text("".join(json.dumps(dict(zip(("job", "event_id", "ts", "kind", "owner"), r, strict=True))) + "\n" for r in rows))
+        os.utime(folder / f"{i}.json", (1_700_000_000 + i, 1_700_000_000 + i))  # files are read in the order of their time
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(str(folder)).withWatermark("ts", "10 minutes")
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     try:

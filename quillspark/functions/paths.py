@@ -30,12 +30,6 @@ def resolve(base: Column, href: Column) -> Column:
     return F.when(target == "", base).otherwise(normal_path(joined))
 
 
-def is_relative(c: Column) -> Column:
-    """Whether a reference points beside its document: no scheme, no host, no root, no fragment alone."""
-    bare = F.regexp_replace(c, "^<|>$", "")
-    return (bare != "") & ~bare.rlike(r"^(?:[A-Za-z][A-Za-z0-9+.\-]*:|/|#|\\)")
-
-
 RELATIVE = r"(?![A-Za-z][A-Za-z0-9+.\-]*:|/|#|\\|<)"
 
 

@@ -142,11 +142,6 @@ def markdown_shape(spark: SparkSession, sf_dir: str) -> DataFrame:
     return l.groupBy("doc_id").agg(F.array_join(levels, ",").alias("shape"), F.count_if("begins").alias("content_blocks"), count(r"\\n").alias("escaped_breaks"), count(r"(?i)<br\s*/?>").alias("tag_breaks"))
 
 
-def structure_preserved(source: Column, target: Column) -> Column:
-    """Whether two structs (shape, content_blocks, escaped_breaks, tag_breaks) have the same shape and blocks, and the target no more breaks."""
-    return (source["shape"] == target["shape"]) & (source["content_blocks"] == target["content_blocks"]) & (target["escaped_breaks"] <= source["escaped_breaks"]) & (target["tag_breaks"] <= source["tag_breaks"])
-
-
 @query(
     "markdown_counts",
     rf"""WITH RECURSIVE {_SEM.split(', sem AS (', 1)[0]}, fence AS (SELECT *, left(regexp_extract(line, '^\s*(```|~~~)', 1), 3) AS mark FROM lines),

@@ -91,7 +91,7 @@ def last_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def lease_claim(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which jobs can be claimed: free ones, and those whose lease has run out. The present is the newest event of all."""
-    now = F.lit(table(spark, sf_dir, "events").agg(F.max("ts")).first()[0]).cast("timestamp_ntz")
+    now = table(spark, sf_dir, "events").agg(F.max("ts")).scalar()
     claim = F.when(F.col("state").isin("signup", "view"), "claimed").when((F.col("state") == "click") & (F.col("made_at") <= now - F.expr("INTERVAL 1 HOUR")), "taken_over").otherwise("held")
     return last_events(spark, sf_dir).select("user_id", claim.alias("claim"))
 

@@ -221,7 +221,7 @@ def jobs_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     last = F.max(F.struct("ts", "event_id", "event_type"))
     state = F.create_map(*(F.lit(x) for p in (("signup", "local"), ("view", "retryable"), ("click", "uploading"), ("purchase", "replaced"), ("error", "blocked_dirty")) for x in p))
     g = e.groupBy("user_id").agg(last.alias("b"), F.count("*").alias("n"))
-    now = F.lit(e.agg(F.max("ts")).first()[0]).cast("timestamp_ntz")
+    now = e.agg(F.max("ts")).scalar()  # a subquery of the plan, no action
     return g.select("user_id", "n", F.col("b.ts").alias("at_ts"), F.try_element_at(state, F.col("b.event_type")).alias("state"), now.alias("now"))
 
 

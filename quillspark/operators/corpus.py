@@ -197,11 +197,11 @@ def digest_reason(title: Column, sections: Column) -> Column:
 
 @query(
     "error_redaction",
-    r"""SELECT conv_id, turn, 'get https://h/a' || turn || '?<redacted> Bearer <redacted> X_API_KEY=<redacted> MY_TOKEN is not set ' || left(text, 20) AS message FROM conversations""",
+    r"""SELECT conv_id, turn, 'get https://h/a' || turn || '?<redacted> Bearer <redacted> X_API_KEY=<redacted> MY_TOKEN is not set ' || text AS message FROM conversations""",
 )
 def error_redaction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Messages without signed addresses, bearer values and values of tokens, keys and secrets."""
-    message = F.concat(F.lit("get https://h/a"), "turn", F.lit("?sig=a&b="), F.md5("text"), F.lit(" Bearer "), F.sha1("text"), F.lit(" X_API_KEY=abc123 MY_TOKEN is not set "), F.left("text", F.lit(20)))
+    message = F.concat(F.lit("get https://h/a"), "turn", F.lit("?sig=a&b="), F.md5("text"), F.lit(" Bearer "), F.sha1("text"), F.lit(" X_API_KEY=abc123 MY_TOKEN is not set "), F.col("text"))
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", redacted(message).alias("message"))
 
 
@@ -286,13 +286,13 @@ def sync(index: DataFrame, fresh: DataFrame, full: bool = False) -> DataFrame:
 
 @query(
     "duplicate_items",
-    r"""WITH k AS (SELECT doc_id, CASE WHEN doc_id % 9 = 0 THEN 'doi' || doc_id % 27 END AS doi, regexp_replace(lower(left(split_part(text, chr(10), 1), 9)), '[^\p{L}\p{N}_]+', '', 'g') AS t FROM documents), d AS (SELECT doi AS g, doc_id, count(*) OVER (PARTITION BY doi) AS n FROM k WHERE doi IS NOT NULL),
+    r"""WITH k AS (SELECT doc_id, CASE WHEN doc_id % 9 = 0 THEN 'doi' || doc_id % 27 END AS doi, regexp_replace(lower(split_part(text, chr(10), 1)), '[^\p{L}\p{N}_]+', '', 'g') AS t FROM documents), d AS (SELECT doi AS g, doc_id, count(*) OVER (PARTITION BY doi) AS n FROM k WHERE doi IS NOT NULL),
     t AS (SELECT t AS g, doc_id, count(*) OVER (PARTITION BY t) AS n FROM k WHERE t <> '' AND doc_id NOT IN (SELECT doc_id FROM d WHERE n > 1)) SELECT 'doi' AS by, g, doc_id FROM d WHERE n > 1 UNION ALL SELECT 'title', g, doc_id FROM t WHERE n > 1""",
 )
 def duplicate_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Items that share an identifier, and of the others those that share a title."""
     doi = F.when(F.col("doc_id") % 9 == 0, F.concat(F.lit("doi"), F.col("doc_id") % 27))
-    k = table(spark, sf_dir, "documents").select("doc_id", doi.alias("doi"), T.title_key(F.left(T.title_of(F.col("text")), F.lit(9))).alias("t"))
+    k = table(spark, sf_dir, "documents").select("doc_id", doi.alias("doi"), T.title_key(T.title_of(F.col("text"))).alias("t"))
 
     def shared(rows: DataFrame, key: str, by: str) -> DataFrame:
         often = rows.groupBy(key).agg(F.count("*").alias("n")).where("n > 1").select(key)

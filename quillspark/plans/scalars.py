@@ -50,7 +50,7 @@ def name_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "name_collisions",
-    r"""WITH n AS (SELECT doc_id, left(regexp_replace(left(split_part(text, chr(10), 1), 9), '[\\/:*?"<>|\s]+', '_', 'g'), 8) AS base FROM documents), r AS (SELECT *, row_number() OVER (PARTITION BY replace(lower(base), 'ß', 'ss') ORDER BY doc_id) AS k FROM n)
+    r"""WITH n AS (SELECT doc_id, regexp_replace(split_part(text, chr(10), 1), '[\\/:*?"<>|\s]+', '_', 'g') AS base FROM documents), r AS (SELECT *, row_number() OVER (PARTITION BY replace(lower(base), 'ß', 'ss') ORDER BY doc_id) AS k FROM n)
     SELECT doc_id, base, CASE WHEN k = 1 THEN base ELSE base || '_' || left(sha256(doc_id::VARCHAR), 12) END AS name, CASE WHEN k = 1 THEN base ELSE base || '-' || k END AS counted FROM r""",
 )
 def name_collisions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,7 +58,7 @@ def name_collisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import Window
 
     prepare(spark)
-    base = F.left(F.regexp_replace(F.left(T.title_of(F.col("text")), F.lit(9)), r'[\\/:*?"<>|\s]+', "_"), F.lit(8))
+    base = F.regexp_replace(T.title_of(F.col("text")), r'[\\/:*?"<>|\s]+', "_")
     n = table(spark, sf_dir, "documents").select("doc_id", base.alias("base")).withColumn("key", N.directory_key(F.col("base")))
     k = F.row_number().over(Window.partitionBy("key").orderBy("doc_id"))
     other = lambda tail: F.when(F.col("k") == 1, F.col("base")).otherwise(F.concat("base", tail))
@@ -170,13 +170,13 @@ def local_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "commit_messages",
-    r"""WITH m AS (SELECT conv_id, turn, left(regexp_replace(text, '\s+', ' ', 'g'), 60) AS t FROM conversations),
+    r"""WITH m AS (SELECT conv_id, turn, regexp_replace(text, '\s+', ' ', 'g') AS t FROM conversations),
     j AS (SELECT conv_id, turn, length(replace(t, ' ', '')) AS n, turn % 3 AS k FROM m)
     SELECT conv_id, turn, array_to_string(list_filter([CASE WHEN n < 40 THEN 'ZH summary section is too short' END, CASE WHEN k = 1 THEN 'missing EN summary section' WHEN n < 40 THEN 'EN summary section is too short' END, CASE WHEN k = 2 THEN 'JA label must be on its own line' END, CASE WHEN k = 2 THEN 'missing JA summary section' WHEN n < 40 THEN 'JA summary section is too short' END], lambda x: x IS NOT NULL), '; ') AS issues FROM j""",
 )
 def commit_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is wrong with messages that need a section in each of three languages."""
-    t = F.left(F.regexp_replace("text", r"\s+", " "), F.lit(60))
+    t = F.regexp_replace("text", r"\s+", " ")
     k = F.col("turn") % 3
     english = F.when(k == 1, F.lit("")).otherwise(F.concat(F.lit("EN:\n"), t, F.lit("\n")))
     japanese = F.when(k == 2, F.concat(F.lit("JA: inline\n"))).otherwise(F.concat(F.lit("JA:\n"), t))

@@ -363,20 +363,22 @@ def notes_of(lines: DataFrame) -> DataFrame:
     several definitions the last counts. A note belongs to the deepest section that holds
     its definition, or else its first reference.
     """
-    v = F.col("visible")
-    marked = with_owner(_marks(lines))
-    defined, no = M.note_definition(v), F.lit(None).cast("int")
-    every = F.concat(F.array_compact(F.array(F.when(defined.isNotNull(), F.struct(defined.alias("label"), no.alias("k"))))), F.transform(M.note_references(v), lambda x, k: F.struct(x.alias("label"), k.alias("k"))))
-    each = marked.select("doc_id", "line_no", "owner", F.explode(every).alias("x")).select("doc_id", "line_no", "owner", "x.label", "x.k")
-    spot, isdef = F.struct("line_no", "k", "owner"), F.col("k").isNull()
-    # the window above has dealt the lines by document; notes and their order need no further shuffle
-    j = each.groupBy("doc_id", "label").agg(F.max(F.when(isdef, F.struct("line_no", "owner"))).alias("def"), F.count("k").alias("refs"), F.min(F.when(~isdef, spot)).alias("first"))
-    order = Window.partitionBy("doc_id").orderBy(F.col("first.line_no").asc_nulls_last(), F.col("first.k").asc_nulls_last(), "def.line_no")
-    a = j.select("doc_id", "label", F.col("def.line_no").alias("def_line"), "refs", F.row_number().over(order).cast("bigint").alias("ordinal"), F.when(F.col("def").isNotNull(), F.col("def.owner")).otherwise(F.col("first.owner")).alias("s"))
-    low, section = F.lower("label"), F.coalesce(F.lower("s.title"), F.lit(""))
-    kind = F.when(F.startswith(low, F.lit("editor")), "editorial").when(F.startswith(low, F.lit("end")) | section.rlike("notes|anmerkungen|注释"), "endnote").otherwise("footnote")
+    v, level = F.col("visible"), M.atx_level(F.col("visible"))
+    # the last heading at or above a line, and whether it is one of notes, as one number: it rises with the line, so that of the last definition is the largest
+    heading = F.when(level.isNotNull(), F.col("line_no") * 2 + F.lower(M.heading_title(v)).rlike("notes|anmerkungen|注释").cast("bigint"))
+    marked = _marks(lines).withColumn("owner", F.coalesce(F.last(heading, ignorenulls=True).over(_by_doc().rowsBetween(Window.unboundedPreceding, 0)), F.lit(0)))
+    defined, no = M.note_definition(v), F.lit(None).cast("bigint")
+    every = F.concat(F.array_compact(F.array(F.when(defined.isNotNull(), F.struct(defined.alias("label"), no.alias("spot"))))), F.transform(M.note_references(v), lambda x, k: F.struct(x.alias("label"), (F.shiftleft("line_no", 20) + k).alias("spot"))))
+    each = marked.select("doc_id", "line_no", "owner", F.explode(every).alias("x")).select("doc_id", "line_no", "owner", "x.label", "x.spot")
+    isdef = F.col("spot").isNull()
+    # the window above has dealt the lines by document; notes and their order need no further shuffle, and sums of numbers no sort
+    j = each.groupBy("doc_id", "label").agg(F.max(F.when(isdef, F.col("line_no"))).alias("def_line"), F.max(F.when(isdef, F.col("owner"))).alias("def_owner"), F.count("spot").alias("refs"), F.min("spot").alias("first"), F.min(F.when(~isdef, F.col("owner"))).alias("first_owner"))
+    order = Window.partitionBy("doc_id").orderBy(F.col("first").asc_nulls_last(), "def_line")
+    a = j.select("doc_id", "label", "def_line", "refs", F.row_number().over(order).cast("bigint").alias("ordinal"), F.coalesce("def_owner", "first_owner").alias("owner"))
+    low = F.lower("label")
+    kind = F.when(F.startswith(low, F.lit("editor")), "editorial").when(F.startswith(low, F.lit("end")) | (F.col("owner") % 2 == 1), "endnote").otherwise("footnote")
     anomaly = F.when(F.col("def_line").isNull(), "note definition is missing").when(F.col("refs") == 0, "note has no references").otherwise("")
-    return a.select("doc_id", "label", "ordinal", "def_line", "refs", F.col("s.line_no").alias("section_line"), kind.alias("kind"), anomaly.alias("anomaly"))
+    return a.select("doc_id", "label", "ordinal", "def_line", "refs", F.when(F.col("owner") > 0, F.shiftright("owner", 1)).alias("section_line"), kind.alias("kind"), anomaly.alias("anomaly"))
 
 
 @query(

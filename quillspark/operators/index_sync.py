@@ -29,6 +29,11 @@ def item_scoped(source: Column, sha: Column, contract: Column, profile: Column)
     return F.coalesce(source == SCOPED, F.lit(False)) | (source.isNull() & whole[0] & whole[1] & whole[2])
 
 
+def _merged(df: DataFrame) -> DataFrame:
+    """A side of a join that grows with the index: keys alone lie in files so small that Spark would broadcast them, and they fill the driver."""
+    return df.hint("merge")
+
+
 def sync_index(store: VersionedTable, items: DataFrame, chunks: DataFrame, contract: str, profile: str, full: bool = False) -> dict[str, int]:
     """Bring a stored index up to items (parent, date_modified, body) and chunks (parent, chunk_idx, body, sha); what was done, in numbers.
 
@@ -46,8 +51,8 @@ def sync_index(store: VersionedTable, items: DataFrame, chunks: DataFrame, contr
     fresh = chunks.where(F.trim(F.coalesce("body", F.lit(""))) != "").withColumns({"contract": F.lit(contract), "profile": F.lit(profile)})
     identity = lambda rows, name: rows.groupBy("parent").agg(same.alias(name))
     was = old_chunks.groupBy("parent").agg(same.alias("was"), F.bool_or("scoped").alias("has_scoped"), F.bool_or(~F.col("scoped")).alias("has_managed"))
-    plan = items.select("parent", "date_modified").join(old_items.select("parent", F.col("date_modified").alias("old_date"), F.lit(True).alias("there")), "parent", "left")
-    plan = plan.join(identity(fresh, "now"), "parent", "left").join(was, "parent", "left")
+    plan = items.select("parent", "date_modified").join(old_items.select("parent", F.col("date_modified").alias("old_date"), F.lit(True).alias("there")).transform(_merged), "parent", "left")
+    plan = plan.join(_merged(identity(fresh, "now")), "parent", "left").join(_merged(was), "parent", "left")
     meta = F.lit(full) | F.col("there").isNull() | ~F.col("date_modified").eqNullSafe(F.col("old_date"))
     text = F.when(F.lit(full) & F.coalesce("has_scoped", F.lit(False)), "scoped").when(F.col("now").isNull(), F.when(F.coalesce("has_managed", F.lit(False)), "remove").otherwise("none")).when(F.col("now").eqNullSafe(F.col("was")) & F.lit(not full), "keep").otherwise("replace")
     plan = materialise(plan.select("parent", meta.alias("meta"), text.alias("text")), "plan")
@@ -56,17 +61,17 @@ def sync_index(store: VersionedTable, items: DataFrame, chunks: DataFrame, contr
 
     columns, now = [f.name for f in store.schema.fields], F.lit(base + 1).alias("written")
     nulls = [F.lit(None).cast("string").alias(c) for c in ("sha", "contract", "profile", "source")]
-    item_rows = items.join(plan.where("meta").select("parent"), "parent", "left_semi").select("parent", F.lit(None).cast("int").alias("chunk_idx"), "date_modified", "body", *nulls, now)
+    item_rows = items.join(_merged(plan.where("meta").select("parent")), "parent", "left_semi").select("parent", F.lit(None).cast("int").alias("chunk_idx"), "date_modified", "body", *nulls, now)
     date = F.lit(None).cast("timestamp_ntz").alias("date_modified")
-    chunk_rows = fresh.join(plan.where("text = 'replace'").select("parent"), "parent", "left_semi").select("parent", "chunk_idx", date, "body", "sha", "contract", "profile", F.lit(MANAGED).alias("source"), now)
+    chunk_rows = fresh.join(_merged(plan.where("text = 'replace'").select("parent")), "parent", "left_semi").select("parent", "chunk_idx", date, "body", "sha", "contract", "profile", F.lit(MANAGED).alias("source"), now)
     made = item_rows.select(*columns).unionByName(chunk_rows.select(*columns))
     if full:
         # items that the source lacks lose their managed rows too; item-scoped chunks outlive them
-        store.overwrite(made.unionByName(old_chunks.join(plan.where("text = 'replace'").select("parent"), "parent", "left_anti").where("scoped").select(*columns)))
+        store.overwrite(made.unionByName(old_chunks.join(_merged(plan.where("text = 'replace'").select("parent")), "parent", "left_anti").where("scoped").select(*columns)))
         return stats
     changed = plan.where("meta OR text IN ('replace', 'remove')")
-    kept_items = old_items.join(changed.where("NOT meta").select("parent"), "parent", "left_semi")
-    kept_chunks = old_chunks.join(changed.where("text <> 'replace'").select("parent", "text"), "parent").where("scoped OR text <> 'remove'")
+    kept_items = old_items.join(_merged(changed.where("NOT meta").select("parent")), "parent", "left_semi")
+    kept_chunks = old_chunks.join(_merged(changed.where("text <> 'replace'").select("parent", "text")), "parent").where("scoped OR text <> 'remove'")
     store.replace(changed.select("parent"), made.unionByName(kept_items.select(*columns)).unionByName(kept_chunks.select(*columns)), base)
     return stats
 
@@ -89,7 +94,7 @@ def _stored(spark: SparkSession, sf_dir: str) -> VersionedTable:
     store = VersionedTable(spark, f"{shared_dir(spark)}/index-{uuid.uuid4().hex}", "parent", INDEX, buckets=8)
     sync_index(store, items, chunks, "c1", "p1")
     urgent = table(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_orderkey").alias("parent"))
-    own = store.read().join(urgent, "parent", "left_semi").withColumn("source", F.when(F.col("chunk_idx").isNotNull(), SCOPED))
+    own = store.read().join(_merged(urgent), "parent", "left_semi").withColumn("source", F.when(F.col("chunk_idx").isNotNull(), SCOPED))
     store.replace(own.select("parent"), own)
     return store
 

@@ -94,14 +94,15 @@ class VersionedTable:
         """A version in which all rows of `keys` (one column, named as the key) are gone and `rows` there instead.
 
         Only buckets that hold one of keys are read and written anew; rows must be of keys.
-        Without any key there is nothing to do and no new version.
+        Without any key there is nothing to do and no new version. Keys may be as many as
+        rows, so they are merged, never broadcast.
         """
         base = self.version() if base is None else base
         held = self.folders(base)
         touched = [r[0] for r in keys.select(self.bucket().alias("b")).distinct().collect()]  # at most as many as there are buckets
         if not touched:
             return base
-        old = self._rows([held[b] for b in touched if b in held]).join(keys.select(self.key).distinct(), self.key, "left_anti")
+        old = self._rows([held[b] for b in touched if b in held]).join(keys.select(self.key).distinct().hint("merge"), self.key, "left_anti")
         new = self._write(old.select(*self.schema.names).unionByName(rows.select(*self.schema.names)))
         return self._commit(base, {b: f for b, f in held.items() if b not in touched} | new)
 

@@ -8,6 +8,7 @@ what is left keeps the best of all. No pair of rows is formed by a join.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +33,23 @@ def _blocks(queries: DataFrame, id_col: str, size: int) -> Iterator[list]:
             yield rows
 
 
+def asked_once(queries: DataFrame, what: str) -> tuple[DataFrame, DataFrame]:
+    """Each different `what` of queries (query_id, what) under the least id that asks for it, and (first, query_id) of all that ask.
+
+    Queries that ask for the same have the same answer, so it is found once: rows that are
+    repeated do not multiply with the queries that are repeated with them.
+    """
+    q = queries.select("query_id", what)
+    each = materialise(q.groupBy(what).agg(F.min("query_id").alias("query_id")).select("query_id", what), "asked")
+    return each, q.join(each.withColumnRenamed("query_id", "first"), what).select("first", "query_id")
+
+
+def for_all(found: DataFrame, members: DataFrame) -> DataFrame:
+    """Answers to the first that asks as answers to all."""
+    rest = [c for c in found.columns if c != "query_id"]
+    return found.withColumnRenamed("query_id", "first").join(members, "first").select("query_id", *rest)
+
+
 def _nearest(ids: list[int], vectors: np.ndarray, k: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best: list[tuple[np.ndarray, np.ndarray]] = [(np.empty(0), np.empty(0, np.int64)) for _ in ids]
@@ -68,7 +86,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_i
     prepare(vectors.sparkSession)
     whole = lambda df: df.select(F.col(id_col).cast("bigint").alias("id"), F.col(vector_col).cast("array<float>").alias("v")).where("id IS NOT NULL AND size(v) > 0 AND NOT exists(v, x -> x IS NULL)")
     rows, out = whole(vectors), None
-    for part in _blocks(whole(queries), "id", block):
+    each, members = asked_once(whole(queries).select(F.col("id").alias("query_id"), "v"), "v")
+    for part in _blocks(each, "query_id", block):
         for dim in sorted({len(r[1]) for r in part}):
             ids, vs = [r[0] for r in part if len(r[1]) == dim], np.array([r[1] for r in part if len(r[1]) == dim], np.float64)
             found = rows.where(F.size("v") == dim).mapInArrow(_nearest(ids, vs, k), "query_id bigint, key bigint, distance double")
@@ -76,7 +95,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_i
     if out is None:
         out = vectors.sparkSession.createDataFrame([], "query_id bigint, key bigint, distance double")
     order = Window.partitionBy("query_id").orderBy(F.round("distance", 9), "key")
-    return out.withColumn("rank", F.row_number().over(order).cast("bigint")).where(F.col("rank") <= k)
+    return for_all(out.withColumn("rank", F.row_number().over(order).cast("bigint")).where(F.col("rank") <= k), members)
 
 
 def _hits(ids: list[int], literals: list[str]) -> Callable:
@@ -127,14 +146,15 @@ def bm25(items: DataFrame, queries: DataFrame, k: int, among: str | None = None)
     length = (F.greatest(F.length("title") - 2, F.lit(0)) + F.greatest(F.length("abstract") - 2, F.lit(0))).cast("double")
     whole = items.agg(F.count("*").alias("n"), F.avg(length).alias("avgdl")).first()
     some = items.where(among) if among else items
-    hits = materialise(keyword_hits(some.withColumn("dl", length), queries), "hits")
+    each, members = asked_once(queries.select("query_id", F.lower("literal").alias("literal")), "literal")
+    hits = materialise(keyword_hits(some.withColumn("dl", length), each), "hits")
     df = hits.groupBy("query_id").agg(F.count("*").cast("double").alias("df"))
     n, f = F.lit(float(whole["n"])), F.col("title_hits") * WEIGHTS["title"] + F.col("abstract_hits") * WEIGHTS["abstract"]
     idf = F.greatest(F.log((n - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
     score = -idf * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("dl") / F.lit(whole["avgdl"] or 1.0)))
     order = Window.partitionBy("query_id").orderBy(F.round("score", 9), "key")
     ranked = hits.join(df, "query_id").select("query_id", "key", score.alias("score"))
-    return ranked.withColumn("rank", F.row_number().over(order).cast("bigint")).where(F.col("rank") <= k)
+    return for_all(ranked.withColumn("rank", F.row_number().over(order).cast("bigint")).where(F.col("rank") <= k), members)
 
 
 def fuse(vector: DataFrame, keyword: DataFrame, k: int) -> DataFrame:
@@ -251,26 +271,69 @@ def keyword_short(spark: SparkSession, sf_dir: str) -> DataFrame:
     return items_of(spark, sf_dir).where(has(F.col("abstract")) | has(F.col("title"))).select("key", score.alias("score"))
 
 
+def _short(ids: list[int], literals: list[str], k: int | None) -> Callable:
+    """The literals of one or two characters that each row holds: those among its own single characters and pairs. With k a task keeps its k best for each."""
+    of = dict(zip(literals, ids, strict=True))
+
+    def made(rows: list[tuple[int, int, float]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], t) for c, t in enumerate((pa.int64(), pa.int64(), pa.float64()))], names=["query_id", "key", "score"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple[int, int, float]] = []
+        best: dict[int, list[tuple[float, int]]] = {i: [] for i in ids}
+        last: dict[int, tuple[float, int]] = {}
+        for batch in batches:
+            for key, *fields in zip(*(batch.column(c).to_pylist() for c in range(5)), strict=True):
+                score: dict[str, float] = {}
+                for text, w in zip(fields, _SHORT.values(), strict=True):
+                    for literal in of.keys() & {*text, *map("".join, pairwise(text))}:
+                        score[literal] = score.get(literal, 0.0) - w
+                if k is None:
+                    rows += [(of[t], key, s) for t, s in score.items()]
+                    if len(rows) > 50_000:
+                        yield made(rows)
+                        rows.clear()
+                    continue
+                for t, s in score.items():
+                    i = of[t]
+                    if i in last and (s, key) >= last[i]:
+                        continue
+                    best[i].append((s, key))
+                    if len(best[i]) >= 4 * k:
+                        best[i] = sorted(best[i])[:k]
+                        last[i] = best[i][-1]
+        for i in best:
+            rows += [(i, key, s) for s, key in sorted(best[i])[:k]]
+        yield made(rows)
+
+    return run
+
+
 _SHORT = {"title": 8.0, "creators": 4.0, "abstract": 2.0, "chunk_text": 1.0}
 
 
-def short_hits(rows: DataFrame, queries: DataFrame, block: int = 4096) -> DataFrame:
+def short_hits(rows: DataFrame, queries: DataFrame, block: int = 4096, k: int | None = None) -> DataFrame:
     """(query_id, key, score) of rows (key, title, creators, abstract, chunk_text) that hold a literal (query_id, literal) of one or two characters: minus the weights of the fields that hold it, case folded.
 
     Such a literal has no trigram, so all rows are read, once for each block of literals;
-    different literals are looked for at once. A null field holds nothing.
+    different literals are looked for at once, and each once for all queries that ask for it.
+    With k the rows are the k best of each query, ties by key, and have their rank. A null
+    field holds nothing.
     """
     prepare(rows.sparkSession)
     low = rows.select("key", *(F.lower(F.coalesce(f, F.lit(""))).alias(f) for f in _SHORT))
-    asked, out = queries.select("query_id", F.lower(F.trim("literal")).alias("literal")).where("length(literal) IN (1, 2)"), None
-    for part in _blocks(asked, "query_id", block):
-        wanted = sorted({r["literal"] for r in part})
-        hits = F.transform(F.array(*map(F.lit, wanted)), lambda t: F.struct(t.alias("literal"), sum((F.when(F.contains(f, t), w).otherwise(0.0) for f, w in _SHORT.items()), F.lit(0.0)).alias("w")))
-        found = low.select("key", F.explode(F.filter(hits, lambda h: h["w"] > 0)).alias("h"))
-        names = F.broadcast(rows.sparkSession.createDataFrame([(r["query_id"], r["literal"]) for r in part], "query_id bigint, literal string"))
-        found = found.join(names, F.col("h.literal") == names["literal"]).select("query_id", "key", (-F.col("h.w")).alias("score"))
+    asked = queries.select("query_id", F.lower(F.trim("literal")).alias("literal")).where("length(literal) IN (1, 2)")
+    each, members = asked_once(asked, "literal")
+    out = None
+    for part in _blocks(each, "query_id", block):
+        found = low.mapInArrow(_short([r["query_id"] for r in part], [r["literal"] for r in part], k), "query_id bigint, key bigint, score double")
         out = found if out is None else out.unionByName(found)
-    return out if out is not None else rows.sparkSession.createDataFrame([], "query_id bigint, key bigint, score double")
+    if out is None:
+        return rows.sparkSession.createDataFrame([], "query_id bigint, key bigint, score double" + (", rank bigint" if k else ""))
+    if k:
+        order = Window.partitionBy("query_id").orderBy("score", "key")
+        out = out.withColumn("rank", F.row_number().over(order).cast("bigint")).where(F.col("rank") <= k)
+    return for_all(out, members)
 
 
 @query(
@@ -286,8 +349,7 @@ def keyword_short_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents").where("text IS NOT NULL")
     rows = d.select(F.col("doc_id").alias("key"), title_of(F.col("text")).alias("title"), F.concat_ws(" ", "source", "lang").alias("creators"), F.element_at(F.split("text", "\n"), -1).alias("abstract"), F.col("text").alias("chunk_text"))
     q = d.where("doc_id % 50 = 0").select(F.col("doc_id").alias("query_id"), F.lower(F.right(F.trim(title_of(F.col("text"))), F.lit(2))).alias("literal")).where("literal = trim(literal)")
-    order = Window.partitionBy("query_id").orderBy("score", "key")
-    return short_hits(rows, q).withColumn("rank", F.row_number().over(order).cast("bigint")).where(F.col("rank") <= 10)
+    return short_hits(rows, q, k=10)
 
 
 @query(

@@ -23,7 +23,7 @@ from ..functions.text import title_of
 from ..registry import query
 from ..sources.shared import materialise, prepare
 from ..sources.tables import table
-from .retrieval import _LITERALS, B, K1, literals_of
+from .retrieval import _LITERALS, B, K1, asked_once, for_all, literals_of
 
 #: The weights of the fields.
 FIELDS = {"title": 8.0, "creators": 4.0, "abstract": 2.0, "chunk_text": 1.0}
@@ -148,7 +148,8 @@ def search(index: KeywordIndex, queries: DataFrame, k: int, first: int = 4, seen
     others whose bound reaches the k-th weight of these. `seen` gets how many blocks were
     candidates and how many were read.
     """
-    every = materialise(candidates(index, queries), "candidates")
+    each, members = asked_once(queries.select("query_id", F.lower("literal").alias("literal")), "literal")
+    every = materialise(candidates(index, each), "candidates")
     order = Window.partitionBy("query_id").orderBy(F.desc("bound"), "block")
     placed = materialise(every.withColumn("place", F.row_number().over(order)), "placed")
     best = lambda rows: rows.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.round("weight", 9)), "key")).cast("bigint")).where(F.col("rank") <= k)
@@ -157,7 +158,7 @@ def search(index: KeywordIndex, queries: DataFrame, k: int, first: int = 4, seen
     rest = materialise(placed.where(F.col("place") > first).join(least, "query_id", "left").where("least IS NULL OR bound >= least"), "rest")
     if seen is not None:
         seen += [every.count(), placed.where(F.col("place") <= first).count() + rest.count()]
-    return best(one.drop("rank").unionByName(_scored(index, rest)))
+    return for_all(best(one.drop("rank").unionByName(_scored(index, rest))), members)
 
 
 def rows_of(spark: SparkSession, sf_dir: str) -> DataFrame:

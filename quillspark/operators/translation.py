@@ -208,10 +208,23 @@ def boundary_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def overlap(a: Column, b: Column, most: int = 800) -> Column:
-    """The longest end of a, up to `most` characters, that b starts with."""
-    a, b = F.right(a, F.lit(most)), F.left(b, F.lit(most))
-    same = F.filter(F.sequence(F.lit(1), F.lit(most)), lambda k: (k <= F.least(F.length(a), F.length(b))) & (F.right(a, k) == F.left(b, k)))
-    return F.coalesce(F.array_max(same), F.lit(0)).cast("bigint")
+    """The longest end of a, up to `most` characters, that b starts with; 0 if either is null."""
+
+    @F.pandas_udf("bigint")
+    def longest(ends: pd.Series, starts: pd.Series) -> pd.Series:
+        def one(end: str | None, start: str | None) -> int:
+            if not end or not start:
+                return 0
+            at = max(len(end) - len(start), 0)
+            while (at := end.find(start[0], at)) >= 0:
+                if start.startswith(end[at:]):
+                    return len(end) - at
+                at += 1
+            return 0
+
+        return pd.Series([one(e, s) for e, s in zip(ends, starts, strict=True)], dtype="int64")
+
+    return longest(F.right(a, F.lit(most)), F.left(b, F.lit(most)))
 
 
 @query(

@@ -50,16 +50,18 @@ def chunk_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def fulltext_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For the literal of each document whose id is divisible by 50: the best chunk of each parent among all chunks, ten parents, each with the chunk before and after."""
-    from .retrieval import keyword_hits, literals_of
+    from .retrieval import asked_once, for_all, keyword_hits, literals_of
 
     # a chunk has a number of its own, whatever its document's is, and is cut once
     c = materialise(chunks_of(documents(spark, sf_dir)).withColumn("key", F.monotonically_increasing_id()), "chunks")
-    hits = keyword_hits(c.select("key", F.lit("").alias("title"), F.col("chunk_text").alias("abstract")), literals_of(spark, sf_dir))
+    each, members = asked_once(literals_of(spark, sf_dir).select("query_id", F.lower("literal").alias("literal")), "literal")
+    hits = keyword_hits(c.select("key", F.lit("").alias("title"), F.col("chunk_text").alias("abstract")), each)
     found = hits.select("query_id", "key", F.col("abstract_hits").alias("hits")).join(c.select("key", "doc_id", "chunk_idx"), "key")
     best = found.groupBy("query_id", "doc_id").agg(F.max_by("chunk_idx", F.struct("hits", -F.col("chunk_idx"))).alias("chunk_idx"), F.max("hits").alias("hits"))
     top = best.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("hits"), "doc_id")).cast("bigint")).where("rank <= 10")
     beside = lambda k, name: c.select("doc_id", (F.col("chunk_idx") - k).alias("chunk_idx"), F.md5("chunk_text").alias(name))
-    return top.join(beside(-1, "before_md5"), ["doc_id", "chunk_idx"], "left").join(beside(1, "after_md5"), ["doc_id", "chunk_idx"], "left").select("query_id", "doc_id", "chunk_idx", "hits", "before_md5", "after_md5", "rank")
+    near = top.join(beside(-1, "before_md5"), ["doc_id", "chunk_idx"], "left").join(beside(1, "after_md5"), ["doc_id", "chunk_idx"], "left")
+    return for_all(near, members).select("query_id", "doc_id", "chunk_idx", "hits", "before_md5", "after_md5", "rank")
 
 
 @query(

@@ -6,9 +6,12 @@ Tasks run these; a session of a cluster has to know the package (`sources.shared
 from __future__ import annotations
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .slices import by_slices
+
 
 def packed(text: str, size: int, overlap: int, separator: str) -> list[str]:
     """The chunks of one text; see chunk_text."""
@@ -51,9 +54,9 @@ def chunk_text(text: Column, size: int = 4000, overlap: int = 300, separator: st
     has no chunk.
     """
 
-    @F.pandas_udf("array<string>")
-    def cut(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: packed(t or "", size, overlap, separator))
+    @F.arrow_udf("array<string>")
+    def cut(texts: pa.Array) -> pa.Array:
+        return by_slices(texts, pa.list_(pa.string()), lambda t: packed(t or "", size, overlap, separator))
 
     return cut(text)
 

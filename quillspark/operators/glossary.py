@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.slices import slices
 from ..registry import query
 from ..sources.shared import materialise, prepare
 from ..sources.tables import table
@@ -44,19 +45,22 @@ def _found(forms: list[tuple[int, str, bool]]) -> Callable:
         if same:
             machine.make_automaton()
         word = lambda c: c.isalnum() or c == "_"
-        for batch in batches:
-            rows: list[tuple[int, int, int, int]] = []
-            for i, text in enumerate(batch.column(batch.num_columns - 1).to_pylist()):
-                after: dict[int, int] = {}
-                for last, (n, own) in machine.iter(_folded(text or "")) if same else ():
-                    start, stop = last + 1 - n, last + 1
-                    apart = word(text[start]) != (start > 0 and word(text[start - 1])) and word(text[last]) != (stop < len(text) and word(text[stop]))
-                    for number, form, cjk in own:
-                        if after.get(number, 0) <= start and (text[start:stop] == form if cjk else apart):
-                            rows.append((i, number, start, stop))
-                            after[number] = stop
-            of, *spans = zip(*rows, strict=True) if rows else [[]] * 4
-            yield pa.RecordBatch.from_arrays([c.take(pa.array(of, pa.int64())) for c in batch.columns[:-1]] + [pa.array(s, pa.int64()) for s in spans], names=[*batch.schema.names[:-1], "form", "start", "stop"])
+        for whole in batches:
+            at = 0
+            for part in slices(whole.column(whole.num_columns - 1)):
+                batch, at = whole.slice(at, len(part)), at + len(part)
+                rows: list[tuple[int, int, int, int]] = []
+                for i, text in enumerate(batch.column(batch.num_columns - 1).to_pylist()):
+                    after: dict[int, int] = {}
+                    for last, (n, own) in machine.iter(_folded(text or "")) if same else ():
+                        start, stop = last + 1 - n, last + 1
+                        apart = word(text[start]) != (start > 0 and word(text[start - 1])) and word(text[last]) != (stop < len(text) and word(text[stop]))
+                        for number, form, cjk in own:
+                            if after.get(number, 0) <= start and (text[start:stop] == form if cjk else apart):
+                                rows.append((i, number, start, stop))
+                                after[number] = stop
+                of, *spans = zip(*rows, strict=True) if rows else [[]] * 4
+                yield pa.RecordBatch.from_arrays([c.take(pa.array(of, pa.int64())) for c in batch.columns[:-1]] + [pa.array(s, pa.int64()) for s in spans], names=[*batch.schema.names[:-1], "form", "start", "stop"])
 
     return run
 

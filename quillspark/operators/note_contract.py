@@ -40,6 +40,11 @@ def facts(lines: DataFrame) -> DataFrame:
     return lines.select("doc_id", "line_no", M.note_definition(v).alias("defines"), M.note_references(v).alias("refers"), anchor.alias("anchor"), page.alias("page"), F.max("line_no").over(by).alias("n"))
 
 
+def _merged(df: DataFrame) -> DataFrame:
+    """A side of a join that grows with the documents: compressed it may lie below the limit of broadcasts, and its rows would fill the driver."""
+    return df.hint("merge")
+
+
 def findings(contracts: DataFrame, notes: DataFrame, own_sections: DataFrame, sections: DataFrame, sources: DataFrame, lines: DataFrame) -> DataFrame:
     """(doc_id, place, id, finding): a row for each rule that a pair breaks, and for each note that has no other side.
 
@@ -51,19 +56,19 @@ def findings(contracts: DataFrame, notes: DataFrame, own_sections: DataFrame, se
     of_doc = lambda df, name, *columns: df.groupBy("doc_id").agg(F.collect_list(F.struct(*columns)).alias(name))
     ranges = ("level", "start_line", "id", "end_line", "title")
     c = contracts.withColumns({"id_nth": F.row_number().over(Window.partitionBy("doc_id", "id").orderBy("place")), "label_nth": F.row_number().over(Window.partitionBy("doc_id", "label").orderBy("place"))})
-    both = c.alias("c").join(notes.alias("n"), (F.col("c.doc_id") == F.col("n.doc_id")) & (F.col("c.place") == F.col("n.place")), "full")
+    both = c.alias("c").join(_merged(notes).alias("n"), (F.col("c.doc_id") == F.col("n.doc_id")) & (F.col("c.place") == F.col("n.place")), "full")
     both = both.select(F.coalesce("c.doc_id", "n.doc_id").alias("doc_id"), F.coalesce("c.place", "n.place").alias("place"), F.coalesce("c.id", "n.id").alias("id"), F.when(F.col("c.doc_id").isNotNull(), F.struct(*(F.col(f"c.{x}").alias(x) for x in c.columns))).alias("c"), F.when(F.col("n.doc_id").isNotNull(), F.struct(*(F.col(f"n.{x}").alias(x) for x in notes.columns))).alias("n"))
     start = f.select("doc_id", F.col("line_no").alias("_line"), F.struct("defines", "page").alias("at"))
-    both = both.withColumn("_line", F.col("c.start_line")).join(start, ["doc_id", "_line"], "left").drop("_line")
-    both = both.join(f.groupBy("doc_id").agg(F.max("n").alias("lines")), "doc_id", "left")
+    both = both.withColumn("_line", F.col("c.start_line")).join(_merged(start), ["doc_id", "_line"], "left").drop("_line")
+    both = both.join(_merged(f.groupBy("doc_id").agg(F.max("n").alias("lines"))), "doc_id", "left")
     # labels at the lines that refer, pages on the lines that define
     asked = both.where("c IS NOT NULL").select("doc_id", "place", "c")
-    refs = asked.select("doc_id", "place", F.col("c.label").alias("label"), F.explode("c.ref_lines").alias("line_no")).join(f, ["doc_id", "line_no"], "left")
+    refs = asked.select("doc_id", "place", F.col("c.label").alias("label"), F.explode("c.ref_lines").alias("line_no")).join(_merged(f), ["doc_id", "line_no"], "left")
     refs = refs.groupBy("doc_id", "place").agg(F.bool_and(F.coalesce(F.array_contains("refers", F.col("label")), F.lit(False))).alias("refs_there"))
     spread = F.sequence(F.greatest(F.col("c.start_line"), F.lit(1)), F.col("c.end_line"))
-    held = asked.where("c.end_line >= greatest(c.start_line, 1)").select("doc_id", "place", F.explode(spread).alias("line_no")).join(f.where("anchor IS NOT NULL"), ["doc_id", "line_no"]).groupBy("doc_id", "place").agg(F.collect_set("anchor").alias("anchors"))
-    both = both.join(refs, ["doc_id", "place"], "left").join(held, ["doc_id", "place"], "left")
-    both = both.join(of_doc(own_sections, "own", *ranges), "doc_id", "left").join(of_doc(sections, "made", *ranges, "corrected"), "doc_id", "left").join(of_doc(sources, "sources", "path", "href", "start_line", "end_line", "pages"), "doc_id", "left")
+    held = asked.where("c.end_line >= greatest(c.start_line, 1)").select("doc_id", "place", F.explode(spread).alias("line_no")).join(_merged(f.where("anchor IS NOT NULL")), ["doc_id", "line_no"]).groupBy("doc_id", "place").agg(F.collect_set("anchor").alias("anchors"))
+    both = both.join(_merged(refs), ["doc_id", "place"], "left").join(_merged(held), ["doc_id", "place"], "left")
+    both = both.join(_merged(of_doc(own_sections, "own", *ranges)), "doc_id", "left").join(_merged(of_doc(sections, "made", *ranges, "corrected")), "doc_id", "left").join(_merged(of_doc(sources, "sources", "path", "href", "start_line", "end_line", "pages")), "doc_id", "left")
 
     col, lo, hi = (lambda x: F.col(f"c.{x}")), F.col("c.start_line"), F.col("c.end_line")
     some = lambda name: F.coalesce(F.col(name), F.array())
@@ -108,11 +113,11 @@ def note_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
     first = at.where("defines IS NOT NULL").groupBy("doc_id", F.col("defines").alias("label")).agg(F.min("line_no").alias("first_line"))
     name = F.concat(F.lit("note_"), F.lpad(F.col("ordinal").cast("string"), 3, "0"))
     empty = F.array().cast("array<bigint>")
-    n = real.join(refs, ["doc_id", "label"], "left").join(first, ["doc_id", "label"]).join(sections.select("doc_id", F.col("start_line").alias("section_line"), F.col("id").alias("section_id")), ["doc_id", "section_line"], "left")
+    n = real.join(_merged(refs), ["doc_id", "label"], "left").join(_merged(first), ["doc_id", "label"]).join(_merged(sections.select("doc_id", F.col("start_line").alias("section_line"), F.col("id").alias("section_id"))), ["doc_id", "section_line"], "left")
     n = materialise(n.withColumns({"id": name, "ref_lines": F.coalesce("ref_lines", empty)}).withColumn("ref_ids", F.transform("ref_lines", lambda _, i: F.concat(F.lit("noteref_"), F.col("id"), F.lit("_"), F.lpad((i + 1).cast("string"), 3, "0")))), "notes")
     notes = n.select("doc_id", F.col("ordinal").alias("place"), "id", "label", "kind", F.col("def_line").alias("start_line"), F.col("def_line").alias("end_line"), "section_id", "ref_lines", "ref_ids")
     where = facts(lines).select("doc_id", F.col("line_no").alias("first_line"), "page")
     pages = F.array_compact(F.array("page"))
-    c = n.join(where, ["doc_id", "first_line"]).select("doc_id", F.col("ordinal").alias("place"), "id", "label", "kind", F.col("first_line").alias("start_line"), F.col("first_line").alias("end_line"), "section_id", "ref_lines", "ref_ids", pages.alias("pages"), F.array(F.lit("book.md")).alias("files"), F.concat(F.lit("book.xhtml#"), "id").alias("anchor"), F.array(F.lit("marker")).alias("evidence"), F.array().cast("array<string>").alias("anomalies"))
+    c = n.join(_merged(where), ["doc_id", "first_line"]).select("doc_id", F.col("ordinal").alias("place"), "id", "label", "kind", F.col("first_line").alias("start_line"), F.col("first_line").alias("end_line"), "section_id", "ref_lines", "ref_ids", pages.alias("pages"), F.array(F.lit("book.md")).alias("files"), F.concat(F.lit("book.xhtml#"), "id").alias("anchor"), F.array(F.lit("marker")).alias("evidence"), F.array().cast("array<string>").alias("anomalies"))
     whole = docs.select("doc_id", F.lit("book.md").alias("path"), F.lit("book.xhtml").alias("href"), F.lit(1).cast("bigint").alias("start_line"), F.size("lines").cast("bigint").alias("end_line"), empty.alias("pages"))
     return findings(c, notes, sections, sections, whole, lines).groupBy("finding").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("documents"))

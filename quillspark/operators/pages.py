@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import markdown as M
 from ..registry import query
+from ..sources.shared import materialise
 from ..sources.tables import table
 
 _PAGED = """CASE {i} % 5
@@ -45,15 +46,19 @@ _PLINES = f"""plines AS (SELECT doc_id, p + 1 AS page, (i + 1)::BIGINT AS line_n
 
 def bare_number(line: Column) -> Column:
     """Whether a line is a folio: an Arabic or a Roman number with nothing but marks around it."""
-    return line.rlike(rf"^{_NO}*{NUMBER}{_NO}*$") & line.rlike(r"[\p{L}\p{N}_]")
+    return line.rlike(rf"^{_NO}*+(?=[\p{{L}}\p{{N}}_]){NUMBER}{_NO}*+$")
 
 
 def head_key(line: Column) -> Column:
-    """A line without what changes from page to page: hashes, stars, a number at either end, case, marks at the ends."""
+    """A line without what changes from page to page: hashes, stars, a number at either end, case, marks at the ends.
+
+    That a number goes only if MIN_STEM characters stay is said in the patterns: the first match alone counts,
+    and each step names the one before once, as Spark evaluates an expression again wherever it is named.
+    """
     stem = F.trim(F.regexp_replace(F.regexp_replace(F.replace(F.regexp_replace(line, "^#+", ""), F.lit("*"), F.lit("")), r"\x{00A0}", " "), r"\s+", " "))
-    for pattern in (rf"^{_NO}*{NUMBER}{_NO}+", rf"{_NO}+{NUMBER}{_NO}*$"):
-        shorter = F.regexp_replace(stem, pattern, "")
-        stem = F.when(F.length(shorter) >= MIN_STEM, shorter).otherwise(stem)
+    stem = F.regexp_replace(stem, rf"(?s)^(?>{_NO}*{NUMBER}{_NO}+)(?=.{{{MIN_STEM}}})", "")
+    last = rf"{_NO}+{NUMBER}{_NO}*$"
+    stem = F.regexp_replace(stem, rf"(?s)^(?!.{{0,{MIN_STEM - 1}}}{last})(.{{{MIN_STEM},}}?){last}", "$1")
     return F.regexp_replace(F.lower(stem), r"^[ .,:;\-—–_|]+|[ .,:;\-—–_|]+$", "")
 
 
@@ -81,10 +86,17 @@ def page_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def edges_of(lines: DataFrame) -> DataFrame:
     """lines (doc_id, page, line_no, line) at the edge of a page, with head, level and opens; folios and blank lines are stepped over."""
+    return _edge_lines(lines).where("head <> ''")
+
+
+def _edge_lines(lines: DataFrame) -> DataFrame:
+    """The same with those whose head is empty."""
     w = Window.partitionBy("doc_id", "page")
-    live = lines.where((F.trim("line") != "") & ~bare_number(F.trim("line"))).withColumns({"top": F.min("line_no").over(w), "bottom": F.max("line_no").over(w)})
-    edge = live.where((F.col("line_no") == F.col("top")) | (F.col("line_no") == F.col("bottom"))).where(F.length(F.trim("line")) <= MAX_HEAD_CHARS)
-    return edge.select("doc_id", "page", "line_no", "line", (F.col("line_no") == F.col("top")).alias("opens"), head_key(F.col("line")).alias("head"), printed_level(F.col("line")).alias("level")).where("head <> ''")
+    # a column, not a filter: a filter would be moved into the making of the lines, which then would be made for each place that names them
+    live = lines.withColumn("live", (F.trim("line") != "") & ~bare_number(F.trim("line")))
+    live = live.withColumns({"top": F.min(F.when(F.col("live"), F.col("line_no"))).over(w), "bottom": F.max(F.when(F.col("live"), F.col("line_no"))).over(w)})
+    edge = live.where(F.col("live") & ((F.col("line_no") == F.col("top")) | (F.col("line_no") == F.col("bottom")))).where(F.length(F.trim("line")) <= MAX_HEAD_CHARS)
+    return edge.select("doc_id", "page", "line_no", "line", (F.col("line_no") == F.col("top")).alias("opens"), head_key(F.col("line")).alias("head"), printed_level(F.col("line")).alias("level"))
 
 
 _RUNNING = f"""{_EDGES}, sizes AS (SELECT *, min(level) OVER (PARTITION BY doc_id, head) AS low FROM edges WHERE head <> '' AND doc_id IN (SELECT doc_id FROM plines GROUP BY doc_id HAVING count(DISTINCT page) >= 4)),
@@ -98,15 +110,16 @@ def running_heads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return heads_of(paged_lines(spark, sf_dir)).select("doc_id", "head", "pages", F.round("density", 6).alias("density"), "title_level")
 
 
-def heads_of(lines: DataFrame) -> DataFrame:
+def heads_of(lines: DataFrame, edges: DataFrame | None = None) -> DataFrame:
     """(doc_id, head, pages, density, title_level): forms at the edge of at least three pages, dense among the pages that they span, in documents of at least four.
 
-    The title level is the smallest one, if it was printed once and others are deeper.
+    The title level is the smallest one, if it was printed once and others are deeper. Edges
+    are those of the lines, for callers that have them.
     """
     long = lines.groupBy("doc_id").agg(F.countDistinct("page").alias("n")).where(F.col("n") >= MIN_PAGES).select("doc_id")
-    e = edges_of(lines).join(long, "doc_id", "left_semi")
-    sizes = e.groupBy("doc_id", "head", "level").agg(F.count("*").alias("n"), F.collect_set("page").alias("on"))
-    h = sizes.groupBy("doc_id", "head").agg(F.size(F.array_distinct(F.flatten(F.collect_list("on")))).cast("bigint").alias("pages"), F.min(F.array_min("on")).alias("first"), F.max(F.array_max("on")).alias("last"), F.min("level").alias("low"), F.max("level").alias("high"), F.min_by("n", "level").alias("times"))
+    e = (edges_of(lines) if edges is None else edges).join(long, "doc_id", "left_semi")
+    times = F.coalesce(*(F.nullif(F.count_if(F.col("level") == k), F.lit(0)) for k in range(1, NOT_A_HEADING + 1)))  # how often the smallest level was printed
+    h = e.groupBy("doc_id", "head").agg(F.countDistinct("page").alias("pages"), F.min("page").alias("first"), F.max("page").alias("last"), F.min("level").alias("low"), F.max("level").alias("high"), times.alias("times"))
     h = h.withColumn("density", F.col("pages") / (F.col("last") - F.col("first") + 1).cast("double")).where((F.col("pages") >= MIN_REPEATS) & (F.col("density") >= MIN_DENSITY))
     return h.select("doc_id", "head", "pages", "density", F.when((F.col("times") == 1) & (F.col("high") > F.col("low")), F.col("low")).alias("title_level"))
 
@@ -126,15 +139,18 @@ def pages_without_heads(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def without_heads(lines: DataFrame) -> DataFrame:
     """The lines that are no running head; the one printing of a head that is a title stays."""
-    e = edges_of(lines).join(heads_of(lines).select("doc_id", "head", "title_level"), ["doc_id", "head"]).where("title_level IS NULL OR level <> title_level")
-    return lines.join(e.select("doc_id", "line_no"), ["doc_id", "line_no"], "left_anti").select(*lines.columns)
+    # written, so that heads are taken from lines once; those of a page go with the page, whose lines meet there next
+    e = materialise(_edge_lines(lines).select("doc_id", "page", "line_no", "head", "level"), "edges").where("head <> ''")
+    dropped = e.join(heads_of(lines, e).select("doc_id", "head", "title_level"), ["doc_id", "head"]).where("title_level IS NULL OR level <> title_level")
+    gone = dropped.groupBy("doc_id", "page").agg(F.collect_set("line_no").alias("gone"))
+    return lines.join(gone, ["doc_id", "page"], "left").where("gone IS NULL OR NOT array_contains(gone, line_no)").select(*lines.columns)
 
 
 def pages_of_lines(lines: DataFrame) -> DataFrame:
     """(doc_id, page, text, lines) of the pages that hold anything."""
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), "\n")
     p = lines.groupBy("doc_id", "page").agg(text.alias("text"), F.count("*").alias("lines"))
-    return p.withColumn("text", F.regexp_replace("text", r"^[ \n]+|[ \n]+$", "")).where("text <> ''")
+    return p.withColumn("text", F.btrim("text", F.lit(" \n"))).where("text <> ''")
 
 
 def heading_parts(lines: DataFrame) -> DataFrame:

@@ -8,7 +8,9 @@ free for the next claim even if its owner never comes back.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
+from itertools import islice
 
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
@@ -19,6 +21,8 @@ from ..sources.shared import prepare
 from .windows import event_stream, run_to_end
 
 MINUTE = 60_000
+#: Events that wait go into state so many at a time: each entry is a message of its own to the store.
+HELD = 1_000
 OUT = "job long, event_id long, at_ms long, outcome string, owner string, until_ms long"
 
 
@@ -51,17 +55,21 @@ class Leases(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.lease = handle.getValueState("lease", "state string, owner string, until long, event_id long")
-        self.waiting = handle.getListState("waiting", "at long, event_id long, kind string, owner string")
+        self.waiting = handle.getListState("waiting", "events string")
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        came = [(r["at_ms"], r["event_id"], r["kind"], r["owner"]) for r in rows]
-        self.waiting.appendList(came)
-        self.handle.registerTimer(min(c[0] for c in came))
+        first = None
+        while some := [r["event"] for r in islice(rows, HELD)]:
+            held = f"[{','.join(some)}]"
+            self.waiting.appendValue((held,))
+            least = min(e["at"] for e in json.loads(held))
+            first = least if first is None else min(first, least)
+        self.handle.registerTimer(first)
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         now = timerValues.getCurrentWatermarkInMs()
-        held = [tuple(w) for w in self.waiting.get()] if self.waiting.exists() else []
+        held = [(e["at"], e["event_id"], e["kind"], e["owner"]) for (events,) in self.waiting.get() for e in json.loads(events)]
         due, later = sorted(w for w in held if w[0] <= now), [w for w in held if w[0] > now]
         *lease, granted = tuple(self.lease.get()) if self.lease.exists() else ("local", None, 0, None)
         lease, out = tuple(lease), []
@@ -81,7 +89,8 @@ class Leases(StatefulProcessor):
         end(now)
         self.lease.update((*lease, granted))
         if len(due) and later:
-            self.waiting.put(later)
+            kept = [dict(zip(("at", "event_id", "kind", "owner"), w, strict=True)) for w in later]
+            self.waiting.put([(json.dumps(kept[at : at + HELD]),) for at in range(0, len(kept), HELD)])
         elif len(due):
             self.waiting.clear()
         if later:
@@ -101,7 +110,9 @@ def leases(events: DataFrame, minutes: int = 30) -> DataFrame:
     Kinds are claim, commit, deliver and fail; ts needs a watermark, below which events
     that are late are lost, as in any stream. Of equal times the smaller event_id counts first.
     """
-    rows = events.withColumn("at_ms", F.unix_millis("ts"))
+    # an event is one value on its way to Python, into state and back, as each value costs there; ts is what the watermark looks at
+    event = F.to_json(F.struct(F.unix_millis("ts").alias("at"), "event_id", "kind", "owner"), {"ignoreNullFields": "false"})
+    rows = events.select("job", "ts", event.alias("event"))
     return rows.groupBy("job").transformWithState(statefulProcessor=Leases(minutes * MINUTE), outputStructType=OUT, outputMode="Append", timeMode="EventTime")
 
 

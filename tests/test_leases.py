@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillspark.sources.shared import prepare
-from quillspark.streaming.leases import MINUTE, leases, step
+from quillspark.streaming.leases import HELD, MINUTE, Leases, leases, step
 from quillspark.streaming.windows import run_to_end
 
 
@@ -65,3 +65,52 @@ def test_one_owner_and_takeover_by_a_timer(spark, tmp_path):
     ]
     held = [r for r in out if r[3] in ("granted", "taken_over")]
     assert len(held) == 4 and [r[2] for r in held if r[0] == 1] == [10, 14]
+
+
+class Handle:
+    """State that counts what is sent to it."""
+
+    def __init__(self):
+        self.sent, self.timers = [], []
+
+    def getValueState(self, name, schema):
+        return self
+
+    getListState = getValueState
+
+    def appendValue(self, value):
+        self.sent.append(value)
+
+    def appendList(self, values):
+        self.sent.extend(values)
+
+    def registerTimer(self, at):
+        self.timers.append(at)
+
+
+def test_events_wait_together():
+    """A value in state for each thousand events of a batch, not one for each."""
+    n, held = 2 * HELD + 1, Leases(MINUTE)
+    held.init(handle := Handle())
+    rows = ({"at_ms": n - i, "event_id": i, "kind": "claim", "owner": "a", "event": json.dumps({"at": n - i, "event_id": i, "kind": "claim", "owner": "a"})} for i in range(n))
+    assert list(held.handleInputRows((1,), rows, None)) == [] and handle.timers == [1]
+    assert len(handle.sent) == 3 and sum(len(json.loads(v[0])) for v in handle.sent) == n
+
+
+def test_many_events_of_one_job(spark, tmp_path):
+    """More than go into one value of state; owners as they are written."""
+    owners = ["a", 'b "x"', "é\\n,]", None]
+    events = [(7, i, at(i % 1380), "claim" if i % 3 else "fail", owners[i % 4]) for i in range(2 * HELD + 300)]
+    lease, granted, want = ("local", None, 0), None, []
+    for _, i, _, kind, owner in sorted(events, key=lambda e: (e[1] % 1380, e[1])):
+        minute = i % 1380
+        if lease[0] == "uploading" and lease[2] <= minute:
+            want.append((7, lease[2], granted, "expired", lease[1]))
+            lease = ("expired", None, 0)
+        lease, outcome = step(lease, minute, kind, owner, 30)
+        granted = i if outcome in ("granted", "taken_over") else granted
+        want.append((7, minute, i, outcome, owner))
+    if lease[0] == "uploading":
+        want.append((7, lease[2], granted, "expired", lease[1]))
+    got = [tuple(r) for r in run(spark, tmp_path, [[*events, (9, 90_000, at(1430), "commit", None)]])]
+    assert sorted(map(repr, got)) == sorted(map(repr, want))

@@ -25,6 +25,8 @@ from ..sources.shared import materialise, prepare
 from ..sources.tables import table
 from .retrieval import _VEC
 
+#: Numbers that a task works on at once; a batch of Spark's can hold a hundred times as many.
+TOGETHER = 1_000_000
 BLOCKS = "block long, n long, ids array<long>, vectors array<float>, low array<double>, high array<double>"
 
 
@@ -34,7 +36,7 @@ def _matrix(column: pa.Array, rows: int) -> np.ndarray:
 
 def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Of each row of a to each of b: differences squared and summed, in parts of bounded size."""
-    step = max(1, 4_000_000 // max(1, a.shape[1] * len(a)))
+    step = max(1, TOGETHER // max(1, a.shape[1] * len(a)))
     return np.concatenate([np.sqrt(((a[:, None] - b[None, lo : lo + step]) ** 2).sum(axis=2)) for lo in range(0, max(1, len(b)), step)], axis=1) if len(b) else np.empty((len(a), 0))
 
 
@@ -111,6 +113,13 @@ def build(vectors: DataFrame, dim: int, id_col: str = "vec_id", vector_col: str
     return VectorIndex(blocks, chosen, blocks.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
 
 
+def _slices(batches: Iterator[pa.RecordBatch], queries: int) -> Iterator[pa.RecordBatch]:
+    """Batches of blocks in slices, so that those bounded at once for all queries don't grow with the index."""
+    step = max(1, TOGETHER // max(1, queries))
+    for batch in batches:
+        yield from (batch.slice(lo, step) for lo in range(0, batch.num_rows, step))
+
+
 def _bounds(batch: pa.RecordBatch, far: np.ndarray) -> np.ndarray:
     """Of each query and block the least distance that the pivots allow; far: queries by pivots."""
     low, high = (_matrix(batch.column(i), batch.num_rows) for i in (1, 2))
@@ -125,7 +134,7 @@ def _first(far: np.ndarray, first: int) -> Callable:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best: list[list] = [[] for _ in far]
-        for batch in batches:
+        for batch in _slices(batches, len(far)):
             bounds, blocks = _bounds(batch, far), batch.column(0).to_pylist()
             for q, own in enumerate(best):
                 some = np.argsort(bounds[q], kind="stable")[:first].tolist()
@@ -139,7 +148,7 @@ def _within(far: np.ndarray, least: np.ndarray) -> Callable:
     """All blocks whose bound is within the distance of each query."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches, len(far)):
             q, b = np.nonzero(_bounds(batch, far) <= least[:, None])
             yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), batch.column(0).take(pa.array(b, pa.int64()))], names=["q", "block"])
 

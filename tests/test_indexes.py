@@ -1,8 +1,10 @@
 """Stored indexes: the same answers as reading everything, and most of it not read."""
 
 import random
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from quillspark.operators import trigram_index, vector_index
@@ -83,3 +85,25 @@ def test_vector_index_of_few(spark):
     assert [(r["query_id"], r["key"], r["distance"]) for r in out] == [(1, 1, 0.0), (1, 2, 1.0), (2, 2, 0.0), (2, 1, 1.0)]
     assert vector_index.search(vector_index.build(frame.where("false"), 2), frame, 5).count() == 0
     assert vector_index.search(vector_index.build(frame, 2), frame.where("false"), 5).count() == 0
+
+
+def test_bounds_of_many_blocks_are_small():
+    """Ten thousand blocks in one batch: what a task holds follows the slice, and the bounds are those of the whole batch."""
+    rng = np.random.default_rng(5)
+    low, far = rng.random((10_000, 4)), rng.random((1_000, 4)) + 1
+    flat = [pa.ListArray.from_arrays(pa.array(np.arange(0, low.size + 1, 4), pa.int32()), pa.array(x.ravel())) for x in (low, low + 0.1)]
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(10_000)), *flat], names=["block", "low", "high"])
+    bounds = vector_index._bounds(batch, far[:20])
+    least = np.sort(bounds, axis=1)[:, 3]
+    got = [set() for _ in range(20)]
+    for out in vector_index._within(far[:20], least)(iter([batch])):
+        for q, b in zip(*(c.to_pylist() for c in out.columns), strict=True):
+            got[q].add(b)
+    assert got == [set(np.flatnonzero(bounds[q] <= least[q]).tolist()) for q in range(20)]
+    tracemalloc.start()
+    for step in (vector_index._first(far, 4), vector_index._within(far, np.zeros(1_000))):
+        tracemalloc.reset_peak()
+        for _ in step(iter([batch])):
+            pass
+        assert tracemalloc.get_traced_memory()[1] < 80_000_000
+    tracemalloc.stop()

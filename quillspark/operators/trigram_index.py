@@ -321,7 +321,7 @@ def _searched(index: KeywordIndex, part: list, k: int, first: int, seen: list |
     return one.drop("rank").unionByName(some(blocks).mapInArrow(_read(asked, ids, index.mean, k, had, least), _SCORED))
 
 
-def search(index: KeywordIndex, queries: DataFrame, k: int, first: int = 4, seen: list | None = None, block: int = 32_768) -> DataFrame:
+def search(index: KeywordIndex, queries: DataFrame, k: int, first: int = 4, seen: list | None = None, block: int = 65_536) -> DataFrame:
     """(query_id, key, weight, rank) of the k best rows for each literal: by weight, ties by key.
 
     `weight` is BM25 without the factor of the literal itself, which changes no order. Two
